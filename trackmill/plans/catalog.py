@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from trackmill.plans import events  # noqa: F401
+from trackmill.plans import events, tracks  # noqa: F401
