@@ -114,6 +114,8 @@ def find_makes(track: DataFrame, b: Box, block_ms: int = TRACK_BLOCK_MS) -> Data
         F.sort_array(F.collect_list(F.when(F.col("_core"), entry))).alias("passes"),
         F.collect_list(F.when(~F.col("_core") & ~F.col("bounced"), F.col("t_ms"))).alias("before"),
     ).where(F.size("passes") > 0)
+    # passes are rare next to track rows: keep them, so the track is read and sorted once
+    blocks = cut_lineage(blocks)
 
     end = (F.col(BLK) + 1) * block_ms
 

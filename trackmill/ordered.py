@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.session import cut_lineage
+
 BLK = "_blk"
 SAMPLE_ROWS = 4096
 
@@ -87,6 +89,16 @@ def with_ordinal(df, keys, block, order, name) -> DataFrame:
     return with_prefix_sum(df, keys, block, order, F.lit(1), name)
 
 
+def with_rank_order(df, keys, order, name) -> DataFrame:
+    """row_number() per key for an order that is not time.
+
+    The rows are materialised once, then sampled for split points, counted per
+    range and numbered, so nothing upstream runs again.
+    """
+    d = cut_lineage(df)
+    return with_ordinal(d, keys, split_block(d, [*keys, *order]), order, name)
+
+
 def with_last_seen(df, keys, block, order, value, name) -> DataFrame:
     """Last non-null `value` at or before each row."""
     d = df.withColumn(BLK, block).withColumn("_val", col(value))
@@ -118,12 +130,13 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, extra: dict[str,
     `n` rows hold the value, `below` rows hold a smaller one and `total` is the
     key's size; `extra` adds summed columns (name -> per-row number) with the
     same `<name>`, `<name>_below`, `<name>_total`. Counting collapses ties before
-    any ordering, so a value shared by many rows costs one row.
+    any ordering, so a value shared by many rows costs one row. The counts are
+    materialised once; sampling and both passes over blocks read those.
     """
     extra = extra or {}
     sums = {"n": F.lit(1), **extra}
-    counts = df.groupBy(*keys, value).agg(*[F.sum(e).alias(k) for k, e in sums.items()])
-    d = counts.withColumn(BLK, split_block(df, [*keys, value]))
+    counts = cut_lineage(df.groupBy(*keys, value).agg(*[F.sum(e).alias(k) for k, e in sums.items()]))
+    d = counts.withColumn(BLK, split_block(counts, [*keys, value]))
     blocks = d.groupBy(*keys, BLK).agg(*[F.sum(k).alias(f"_s_{k}") for k in sums])
     whole = Window.partitionBy(*keys)
     carry = blocks.select(
