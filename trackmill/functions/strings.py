@@ -14,7 +14,7 @@ RATING_FIELDS = (
 def scorer_slug(name: Column) -> Column:
     """File-name part for a player: no blanks or path punctuation, other letters kept."""
     s = F.regexp_replace(name, r'[\s/\\:*?"<>|]+', "")
-    return F.coalesce(F.nullif(s, F.lit("")), F.lit("player"))
+    return F.when(s == "", "player").otherwise(s)
 
 
 def account_slug(account: Column) -> Column:

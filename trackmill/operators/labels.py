@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions.strings import scorer_slug, star_from_name
 from trackmill.ordered import with_rank_order
+from trackmill.session import cut_lineage
 
 VALID_LABELS = ("goal", "no_goal")
 MAKE_FROM = 0.6
@@ -66,6 +67,7 @@ def fold_label_actions(actions: DataFrame) -> DataFrame:
     resets = a.where(wipes | misses).groupBy("clip").agg(
         F.max("ord").alias("r"), F.max_by(F.struct(misses.alias("miss"), "ts"), "ord").alias("rs")
     )
+    resets = cut_lineage(resets)  # one row per clip; the log itself is never copied
     since = a.join(resets, "clip", "left").where(F.col("r").isNull() | (F.col("ord") > F.col("r")))
     missed = F.coalesce(F.col("rs.miss"), F.lit(False))
     goal_click = is_label & (label == "goal")
@@ -81,6 +83,7 @@ def fold_label_actions(actions: DataFrame) -> DataFrame:
         "clip", "click", F.when(early, F.col("made")).alias("opened"),
         F.when(early & made_goal, F.col("made.ord")).otherwise(F.col("click")).alias("s"),
     )
+    starts = cut_lineage(starts)
     after = since.join(starts, "clip").where(F.col("s").isNotNull() & (F.col("ord") >= F.col("s")))
     rated = (act == "star") | (goal_click & F.col("stars").isNotNull())
     names = act.isin("scorer", "name_group") | (goal_click & F.col("scorer").isNotNull())

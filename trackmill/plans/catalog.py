@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from trackmill.plans import events, selection, tracks  # noqa: F401
+from trackmill.plans import events, identity, labels, ops, selection, tracks  # noqa: F401
