@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from trackmill.plans import events, identity, labels, ops, people, selection, tracks  # noqa: F401
+from trackmill.plans import events, files, identity, labels, ops, people, selection, streams, tracks  # noqa: F401

@@ -46,15 +46,18 @@ def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parse_event_times(text: Column) -> Column:
+    """Milliseconds from {"makes_sec": [seconds]} or a bare list; null when it is neither."""
+    sec = F.coalesce(F.from_json(text, "makes_sec ARRAY<DOUBLE>")["makes_sec"], F.from_json(text, "ARRAY<DOUBLE>"))
+    return F.transform(sec, lambda s: F.bround(s * 1000).cast("bigint"))
+
+
 def read_event_times(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """(video_id, i, t_ms) from {"makes_sec": [...]} or a bare list per file."""
-    times = F.coalesce(
-        F.from_json("value", "makes_sec ARRAY<DOUBLE>")["makes_sec"], F.from_json("value", "ARRAY<DOUBLE>")
-    )
+    """(video_id, i, t_ms), one document per recording."""
     d = _documents(spark, path, glob).select(
-        F.regexp_replace(_stem(), "_detected$", "").alias("video_id"), F.posexplode(times).alias("i", "sec")
+        F.regexp_replace(_stem(), "_detected$", "").alias("video_id"), F.posexplode(parse_event_times(F.col("value"))).alias("i", "t_ms")
     )
-    return d.select("video_id", "i", F.bround(F.col("sec") * 1000).cast("bigint").alias("t_ms"))
+    return d.select("video_id", "i", "t_ms")
 
 
 def read_scores(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -76,11 +79,11 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_gallery(spark: SparkSession, path: str) -> DataFrame:
     """(key, session, name, emb) from JSON lines; a key's last line wins.
 
-    Lines of a file keep their order through monotonically_increasing_id, which
-    follows file splits.
+    Lines are ordered by file, then split, then position within the split.
     """
     d = spark.read.schema("key STRING, session STRING, name STRING, emb ARRAY<DOUBLE>").json(path)
-    d = d.where("key is not null").withColumn("_line", F.monotonically_increasing_id())
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    d = d.select("*", at.alias("_line")).where("key is not null")
     return d.groupBy("key").agg(F.max_by(F.struct("session", "name", "emb"), "_line").alias("e")).select("key", "e.*")
 
 
