@@ -46,12 +46,14 @@ def star_from_name(stem: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """B without decimals, then KB..TB with one; 1024 steps."""
+    """B without decimals, then KB..TB with one; 1024 steps, exact halves round to even."""
     x = n.cast("double")
-    out = F.when(x < 1024, F.format_string("%.0f B", x))
-    for power, unit in ((1, "KB"), (2, "MB"), (3, "GB")):
-        out = out.when(x < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", x / 1024.0**power))
-    return out.otherwise(F.format_string("%.1f TB", x / 1024.0**4))
+    steps = ("B", "KB", "MB", "GB", "TB")
+    size = lambda p: F.format_string(f"%.{min(p, 1)}f {steps[p]}", F.bround(x / 1024.0**p, min(p, 1)))
+    out = F.when(x < 1024, size(0))
+    for p in (1, 2, 3):
+        out = out.when(x < 1024.0 ** (p + 1), size(p))
+    return out.otherwise(size(4))
 
 
 def format_duration(seconds: Column) -> Column:

@@ -303,12 +303,9 @@ def match_events(
         state = cut_lineage(state)
         while True:
             edge = (F.col(BLK) + 1) * width - tol_ms
-            given = state.select(
-                *keys, "comp", (F.col(BLK) + 1).alias(BLK),
-                F.array_sort(F.transform(
-                    F.filter("pairs", lambda p: p["g"].isNotNull() & (p["g"]["t_ms"] >= edge)), lambda p: p["g"]
-                )).alias("now"),
-            )
+            late = F.filter("pairs", lambda p: p["g"].isNotNull() & (p["g"]["t_ms"] >= edge))
+            given = state.withColumn("now", F.array_sort(F.transform(late, lambda p: p["g"])))
+            given = given.select(*keys, "comp", (F.col(BLK) + 1).alias(BLK), "now")
             nxt = state.join(given, on, "left").withColumn("now", F.coalesce("now", nothing))
             nxt = nxt.withColumn("moved", F.col("now") != F.col("taken"))
             if nxt.where("moved").isEmpty():

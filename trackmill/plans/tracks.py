@@ -255,18 +255,18 @@ base AS (SELECT video_id, coalesce(avg(diff) FILTER (t_ms BETWEEN 0 AND 500), 0.
   coalesce(avg(coherence) FILTER (t_ms BETWEEN 0 AND 500), 0.0) AS baseline_flow_coherence_mean FROM m GROUP BY 1),
 series AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY t_ms) - 1 AS i, diff AS v
   FROM post WHERE diff IS NOT NULL), {SHAPE.format(k='video_id')}
-SELECT video_id, round(baseline_mean, 6) AS baseline_mean, round(flow_coherence_peak, 6) AS flow_coherence_peak,
-  round(flow_coherence_mean, 6) AS flow_coherence_mean, round(baseline_flow_coherence_mean, 6) AS baseline_flow_coherence_mean,
-  round(coalesce(peak, 0.0), 6) AS diff_peak, round(coalesce(time_to_peak, 0.0), 6) AS diff_time_to_peak,
-  round(coalesce(decay_ratio, 0.0), 6) AS diff_decay_ratio, round(coalesce(impulsiveness, 0.0), 6) AS diff_impulsiveness,
-  round(coalesce(peak, 0.0) / (baseline_mean + 1e-3), 6) AS diff_peak_over_baseline
+SELECT video_id, round(baseline_mean, 9) AS baseline_mean, round(flow_coherence_peak, 9) AS flow_coherence_peak,
+  round(flow_coherence_mean, 9) AS flow_coherence_mean, round(baseline_flow_coherence_mean, 9) AS baseline_flow_coherence_mean,
+  round(coalesce(peak, 0.0), 9) AS diff_peak, round(coalesce(time_to_peak, 0.0), 9) AS diff_time_to_peak,
+  round(coalesce(decay_ratio, 0.0), 9) AS diff_decay_ratio, round(coalesce(impulsiveness, 0.0), 9) AS diff_impulsiveness,
+  round(coalesce(peak, 0.0) / (baseline_mean + 1e-3), 9) AS diff_peak_over_baseline
 FROM base LEFT JOIN shape USING (video_id)""")
 def motion_features(spark, d):
     m = b.track(spark, d).select(
         "video_id", "t_ms", (F.col("cy") / 100).alias("diff"), (F.col("cx") / 10000).alias("coherence")
     )
     out = features.motion_features(m, ["video_id"], shift_ms=-2000)
-    return out.select("video_id", *[F.round(c, 6).alias(c) for c in out.columns if c != "video_id"])
+    return out.select("video_id", *[F.round(c, 9).alias(c) for c in out.columns if c != "video_id"])
 
 
 SHOTS = """shots AS (SELECT user_id AS video_id, event_id // 7 AS clip, event_id AS shot_idx, value AS f1,
