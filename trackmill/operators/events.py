@@ -295,30 +295,37 @@ def match_events(
         free = F.filter("truths", lambda g: ~F.array_contains(taken, g))
         return p.withColumn("pairs", _greedy(F.col("dets"), free, tol_ms))
 
+    parts = cut_lineage(parts)
     nothing = F.array().cast("array<struct<t_ms:bigint,seq:bigint>>")
-    state = matched(parts, nothing).withColumn("taken", nothing)
-    on = [*keys, "comp", BLK]
-    spans = parts.groupBy(*keys, "comp").agg(F.countDistinct(BLK).alias("n")).where(F.col("n") > 1)
-    if not spans.isEmpty():
-        state = cut_lineage(state)
-        while True:
-            edge = (F.col(BLK) + 1) * width - tol_ms
-            late = F.filter("pairs", lambda p: p["g"].isNotNull() & (p["g"]["t_ms"] >= edge))
-            given = state.withColumn("now", F.array_sort(F.transform(late, lambda p: p["g"])))
-            given = given.select(*keys, "comp", (F.col(BLK) + 1).alias(BLK), "now")
-            nxt = state.join(given, on, "left").withColumn("now", F.coalesce("now", nothing))
-            nxt = nxt.withColumn("moved", F.col("now") != F.col("taken"))
-            if nxt.where("moved").isEmpty():
-                break
-            redone = matched(nxt.drop("pairs"), F.col("now"))
-            state = cut_lineage(redone.select(*on, "dets", "truths", "pairs", F.col("now").alias("taken")))
-    pairs = state.select(*keys, "comp", F.explode("pairs").alias("p"))
+    on, comp_keys = [*keys, "comp", BLK], [*keys, "comp"]
+    spans = parts.groupBy(*comp_keys).agg(F.countDistinct(BLK).alias("n")).where(F.col("n") > 1).select(*comp_keys)
+    if spans.isEmpty():
+        return _outcomes(matched(parts, nothing).select(*on, "pairs"), parts, keys, width)
+    done = matched(parts.join(spans, comp_keys, "left_anti"), nothing).select(*on, "pairs")
+    state = cut_lineage(matched(parts.join(spans, comp_keys, "left_semi"), nothing).withColumn("taken", nothing))
+    edge = (F.col(BLK) + 1) * width - tol_ms
+    while True:
+        late = F.filter("pairs", lambda p: p["g"].isNotNull() & (p["g"]["t_ms"] >= edge))
+        given = state.withColumn("now", F.array_sort(F.transform(late, lambda p: p["g"])))
+        given = given.select(*comp_keys, (F.col(BLK) + 1).alias(BLK), "now")
+        moved = state.join(given, on).where(F.col("now") != F.col("taken")).select(*on, "dets", "truths", "now")
+        moved = cut_lineage(matched(moved, F.col("now")).withColumnRenamed("now", "taken"))
+        if moved.isEmpty():
+            break
+        state = cut_lineage(state.join(moved, on, "left_anti").unionByName(moved))
+    return _outcomes(done.unionByName(state.select(*on, "pairs")), parts, keys, width)
+
+
+def _outcomes(matched: DataFrame, parts: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Matched pairs, detections without a partner and truths nobody took."""
+    pairs = matched.select(*keys, F.explode("pairs").alias("p"))
     found = pairs.select(
         *keys, F.col("p.d.t_ms").alias("detected_ms"), F.col("p.g.t_ms").alias("truth_ms"),
         F.col("p.g.seq").alias("seq"),
     )
     used = found.where("truth_ms is not null").select(*keys, F.col("truth_ms").alias("t_ms"), "seq")
-    missed = comp.where("side = 'g'").join(used, [*keys, "t_ms", "seq"], "left_anti")
+    own = parts.select(*keys, BLK, F.explode("truths").alias("g")).where(time_block("g.t_ms", width) == F.col(BLK))
+    missed = own.select(*keys, "g.*").join(used, [*keys, "t_ms", "seq"], "left_anti")
     return found.select(
         *keys, "detected_ms", "truth_ms",
         F.when(F.col("truth_ms").isNull(), "false_positive").otherwise("matched").alias("outcome"),

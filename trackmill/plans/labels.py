@@ -288,7 +288,7 @@ def account_slug(spark, d):
 
 
 @query("format_sizes", """WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
-  CAST(l_extendedprice * pow(31, l_linenumber - 1) AS DOUBLE) AS b, CAST(floor(l_extendedprice / 3) AS BIGINT) AS s FROM lineitem)
+  floor(l_extendedprice * pow(31, l_linenumber - 1)) AS b, CAST(floor(l_extendedprice / 3) AS BIGINT) AS s FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN b < 1024 THEN format('{:.0f} B', b)
   WHEN b < pow(1024, 2) THEN format('{:.1f} KB', b / 1024) WHEN b < pow(1024, 3) THEN format('{:.1f} MB', b / pow(1024, 2))
   WHEN b < pow(1024, 4) THEN format('{:.1f} GB', b / pow(1024, 3)) ELSE format('{:.1f} TB', b / pow(1024, 4)) END AS bytes,
@@ -296,7 +296,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN b <
        ELSE s || 's' END AS duration FROM t""")
 def format_sizes(spark, d):
     li = table(spark, d, "lineitem")
-    size = F.col("l_extendedprice") * F.pow(F.lit(31.0), F.col("l_linenumber") - 1)
+    size = F.floor(F.col("l_extendedprice") * F.pow(F.lit(31.0), F.col("l_linenumber") - 1))
     return li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", strings.format_bytes(size).alias("bytes"),
         strings.format_duration(F.col("l_extendedprice") / 3).alias("duration"),
