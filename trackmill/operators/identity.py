@@ -95,21 +95,22 @@ def _merge_round(big: DataFrame, distance: float, limit: int) -> DataFrame:
         (F.col("lo") <= F.col("ohi") + reach) & (F.col("olo") <= F.col("hi") + reach)
     ).select("session", "blk", "oblk")
     left = d.join(meets, ["session", "blk"]).select("session", "blk", "oblk", "cid", "n", "total")
-    right = d.withColumnRenamed("blk", "oblk").join(meets, ["session", "oblk"]).select(
-        "session", "blk", "oblk", "cid", "n", "total"
+    fresh = [F.col(c).alias(a) for c, a in (("session", "session"), ("blk", "oblk"), ("cid", "ocid"), ("n", "on"), ("total", "ototal"))]
+    right = d.select(*fresh).join(meets, ["session", "oblk"]).select(
+        *[F.col(c).alias(c) for c in ("session", "blk", "oblk")], "ocid", "on", "ototal"
     )
 
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"session": [], "cid": [], "near": [], "sim": []})
+            return pd.DataFrame()
         nn, top = _nearest(
             np.stack(a["total"].to_numpy()), a["n"].to_numpy(float), a["cid"].to_numpy(),
-            np.stack(b["total"].to_numpy()), b["n"].to_numpy(float), b["cid"].to_numpy(), 1 - distance,
+            np.stack(b["ototal"].to_numpy()), b["on"].to_numpy(float), b["ocid"].to_numpy(), 1 - distance,
         )
         hit = nn >= 0
         return pd.DataFrame({
             "session": a["session"].to_numpy()[hit], "cid": a["cid"].to_numpy()[hit],
-            "near": b["cid"].to_numpy()[nn[hit]], "sim": top[hit],
+            "near": b["ocid"].to_numpy()[nn[hit]], "sim": top[hit],
         })
 
     keys = ["session", "blk", "oblk"]
@@ -190,7 +191,7 @@ def name_similarity(groups: DataFrame, protos: DataFrame, block: int = MAX_IN_TA
 
     def two_best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"session": [], "group_no": [], "name": [], "sim": []})
+            return pd.DataFrame()
         names, inv = np.unique(b["name"].to_numpy().astype(str), return_inverse=True)
         sims = np.stack(a["emb"].to_numpy()) @ np.stack(b["emb"].to_numpy()).T
         per_name = np.full((len(a), len(names)), -np.inf)

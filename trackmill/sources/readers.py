@@ -6,6 +6,10 @@ read whole, one per row, by the text source; parsing stays in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,35 @@ def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
     )
 
 
+def _hidden_documents(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Documents whose name starts with an underscore, which Spark's own sources never list.
+
+    The driver globs their paths, as a file index would; tasks open them, so the
+    folder must be mounted on every executor.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file":
+        raise ValueError(f"{name} is readable from a mounted folder only; store it without the underscore elsewhere")
+    deep = [f"{path.rstrip('/')}{'/*' * n}/{name}" for n in (1, 2)]  # <video> or <account>/<video>
+    found = [str(f.getPath()) for g in deep for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(g)) or []]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = []
+            for uri in pdf["file"]:
+                try:
+                    with open(unquote(urlparse(uri).path), encoding="utf-8") as f:
+                        texts.append(f.read())
+                except OSError:
+                    texts.append(None)
+            yield pdf.assign(value=texts)
+
+    paths = spark.createDataFrame([(f,) for f in found], "file string")
+    return paths.repartition(max(1, len(found) // 64)).mapInPandas(read, "file string, value string")
+
+
 def _part(n: int) -> Column:
     """n-th path part from the end, URL escapes undone."""
     return F.url_decode(F.element_at(F.split("file", "/"), -n))
@@ -62,7 +95,7 @@ def read_event_times(spark: SparkSession, path: str, glob: str = "*.json") -> Da
 
 def read_scores(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(kind, video, clip, score) from each folder's _<kind>_scores.json; unreadable files are skipped."""
-    d = _documents(spark, path, f"_{kind}_scores.json").select(
+    d = _hidden_documents(spark, path, f"_{kind}_scores.json").select(
         _part(2).alias("video"), F.explode(F.from_json("value", "MAP<STRING, DOUBLE>")).alias("clip", "score")
     )
     return d.select(F.lit(kind).alias("kind"), "video", "clip", "score").where("score is not null")
