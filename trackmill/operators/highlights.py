@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trackmill.functions.strings import recording_start, title_date
 from trackmill.operators.labels import is_human
 from trackmill.ordered import with_rank_order
+from trackmill.session import cut_lineage
 
 # Fixed values of the selection rules.
 STAR_SHARES = ((5, 0.15), (4, 0.30), (3, 0.30), (2, 0.15), (1, 0.10))
@@ -79,12 +80,9 @@ def session_times(goals: DataFrame, first_shots: DataFrame) -> DataFrame:
     among all of the session's recordings.
     """
     vids = goals.select("session", "video").distinct().withColumn("_start", recording_start(F.col("video")))
-    w = Window.partitionBy("session")
-    vids = vids.select(
-        "session", "video", "_start",
-        F.min("_start").over(w).alias("_first"), F.max("_start").over(w).alias("_last"),
-        (F.row_number().over(w.orderBy("video")) - 1).alias("_i"),
-    )
+    vids = with_rank_order(vids, ["session"], ["video"], "_n").withColumn("_i", F.col("_n") - 1)
+    ends = vids.groupBy("session").agg(F.min("_start").alias("_first"), F.max("_start").alias("_last"))
+    vids = vids.join(ends, "session")
     late = F.when(F.col("_last").isNull(), 0).otherwise(F.col("_last") + 86400)
     base = F.coalesce("_start", late + F.col("_i") * 86400) - F.coalesce("_first", F.lit(0))
     shot = F.nullif(F.regexp_extract(F.col("clip").cast("string"), r"(\d+)", 1), F.lit("")).cast("bigint")
@@ -194,9 +192,11 @@ def goals_by_player(groups: DataFrame) -> DataFrame:
     g = groups.where("group is not null").groupBy(
         "session", F.when(named, F.col("suggested")).alias("name"), F.when(~named, F.col("group")).alias("grp")
     ).agg(F.count("*").alias("n"), F.min(F.struct("video", "clip")).alias("seen"))
-    w = Window.partitionBy("session", F.col("name").isNull()).orderBy("seen")
-    label = F.coalesce("name", F.concat(F.lit("Player "), F.row_number().over(w).cast("string")))
-    return g.select("session", label.alias("player"), "n").groupBy("session", "player").agg(F.sum("n").alias("goals"))
+    g = cut_lineage(g)
+    known = g.where("name is not null").select("session", F.col("name").alias("player"), "n")
+    others = with_rank_order(g.where("name is null").select("session", "seen.*", "n"), ["session"], ["video", "clip"], "_i")
+    others = others.select("session", F.concat(F.lit("Player "), F.col("_i").cast("string")).alias("player"), "n")
+    return known.unionByName(others).groupBy("session", "player").agg(F.sum("n").alias("goals"))
 
 
 def session_summary(clips: DataFrame, goals: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ source means a person decided.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.functions.strings import scorer_slug, star_from_name
@@ -253,8 +253,9 @@ def players_view(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """
     g = groups.where("group is not null")
     sizes = g.groupBy("session", "group").agg(F.count("*").alias("size"), F.first("suggested").alias("suggested"))
-    newest = g.select("session").distinct()
-    newest = newest.withColumn("session_pos", F.row_number().over(Window.orderBy(F.desc("session"))))
+    oldest = with_rank_order(g.select("session").distinct(), [], ["session"], "_i")
+    n = oldest.agg(F.count("*").alias("_n"))  # one row
+    newest = oldest.crossJoin(F.broadcast(n)).select("session", (F.col("_n") + 1 - F.col("_i")).alias("session_pos"))
     order = ["_neg", "group"]
     sizes = sizes.withColumn("_neg", -F.col("size"))
     sizes = with_rank_order(sizes, ["session"], order, "group_pos").drop("_neg")

@@ -8,10 +8,11 @@ window filter runs before anything is collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.functions.geometry import Box, at_hands, box_of, iou
+from trackmill.ordered import with_rank_order
 
 # Fixed values of the shooter rules.
 SAME_BOX_IOU = 0.7
@@ -58,6 +59,10 @@ def frames(dets: DataFrame) -> DataFrame:
     """One row per frame: merged people in detector order and the balls' boxes."""
     b = F.struct("x1", "y1", "x2", "y2").cast(BOX_TYPE).alias("box")
     d = dets.select("clip", "frame_idx", "t_ms", "cls", F.col("conf").cast("double").alias("conf"), "seq", b)
+    # of equal boxes of one class only the first, most confident one can matter: drop copies before collecting
+    d = d.groupBy("clip", "frame_idx", "t_ms", "cls", "box").agg(
+        F.max(F.struct("conf", (-F.col("seq")).alias("k"))).alias("m")
+    ).select("clip", "frame_idx", "t_ms", "cls", "box", "m.conf", (-F.col("m.k")).alias("seq"))
     person = F.col("cls").isin("player", "scorer", "holder")
     return d.groupBy("clip", "frame_idx", "t_ms").agg(
         F.sort_array(F.collect_list(F.when(person, F.struct((-F.col("conf")).alias("k"), "seq", "cls", "conf", "box")))).alias("p"),
@@ -151,18 +156,17 @@ def clean_frames(track: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def even_spaced_pick(rows: DataFrame, key: str, order: str, k: int = MAX_CROPS) -> DataFrame:
-    """At most k rows per key, evenly spaced in order; rows per key are one shot window."""
-    w = Window.partitionBy(key)
-    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
-    d = rows.withColumn("_n", n).withColumn("_at", at)
+    """At most k rows per key, evenly spaced in order."""
+    d = with_rank_order(rows, [key], [order], "_at")
+    d = d.join(d.groupBy(key).agg(F.count("*").alias("_n")), key)
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / (k - 1)))
-    return d.where((F.col("_n") <= k) | F.array_contains(wanted, F.col("_at").cast("bigint"))).drop("_n", "_at")
+    return d.where((F.col("_n") <= k) | F.array_contains(wanted, F.col("_at") - 1)).select(*rows.columns)
 
 
 def crop_frames(cleaned: DataFrame) -> DataFrame:
     """Frames to crop: the clean ones, or the whole track when fewer than three are clean."""
-    enough = F.count_if("clean").over(Window.partitionBy("clip")) >= MIN_CLEAN
-    usable = cleaned.withColumn("_e", enough).where(~F.col("_e") | F.col("clean")).drop("_e")
+    enough = cleaned.groupBy("clip").agg((F.count_if("clean") >= MIN_CLEAN).alias("_e"))
+    usable = cleaned.join(enough, "clip").where(~F.col("_e") | F.col("clean")).select(*cleaned.columns)
     return even_spaced_pick(usable, "clip", "frame_idx")
 
 
