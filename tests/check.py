@@ -8,7 +8,7 @@ from tests.compare import connect, diff
 from trackmill.session import local_session
 
 if __name__ == "__main__":
-    sf, names = f"/root/testdata/{sys.argv[1]}", sys.argv[2:]
+    sf, names = sys.argv[1] if "/" in sys.argv[1] else f"/root/testdata/{sys.argv[1]}", sys.argv[2:]
     spark = local_session("8", 8)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)

@@ -47,13 +47,14 @@ def write_scores(spark, d):
 @query("replace_video_outputs", f"""WITH {b.CLIPS} SELECT video, count(*) AS n, CAST(sum(clip) AS BIGINT) AS clips FROM clips
 WHERE CAST(substr(video, 4) AS BIGINT) % 2 = 0 OR clip % 3 = 0 GROUP BY 1""")
 def replace_video_outputs(spark, d):
-    """A second run over odd recordings replaces only their rows."""
+    """A second run over odd recordings replaces only theirs, also where it finds nothing."""
     c = b.clips(spark, d).select("video", "clip", "score")
     path = folder(spark, "replace")
-    writers.replace_video_outputs(c, path, "video")
-    odd = F.substring("video", 4, 20).cast("bigint") % 2 == 1
-    writers.replace_video_outputs(c.where(odd & (F.col("clip") % 3 == 0)), path, "video")
-    return spark.read.parquet(path).groupBy("video").agg(F.count("*").alias("n"), F.sum("clip").alias("clips"))
+    writers.write_scores(c, c, path, "v1", "video")
+    again = c.where(F.substring("video", 4, 20).cast("bigint") % 2 == 1)
+    writers.write_scores(again.where("clip % 3 = 0"), again, path, "v1", "video")
+    rows, _ = writers.read_current(spark, path, "video")
+    return rows.groupBy("video").agg(F.count("*").alias("n"), F.sum("clip").alias("clips"))
 
 
 @query("write_ranked_csv", f"""WITH {STARRED} SELECT session, pos, clip, stars, round(ai_score, 3) AS ai_score FROM starred""")

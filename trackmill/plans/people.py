@@ -9,7 +9,7 @@ from trackmill.plans.registry import query, table
 MAKE_MS = 3000
 
 
-def detections(spark, d):
+def detections(spark, d, *extra):
     """lineitem -> boxes in the frames of a clip (50 orders each)."""
     k, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     kind = s % 6
@@ -19,9 +19,9 @@ def detections(spark, d):
     return table(spark, d, "lineitem").select(
         F.expr("l_orderkey div 50").alias("clip"), (k % 50).alias("frame_idx"), (k % 50 * 67).alias("t_ms"),
         cls.alias("cls"), (0.2 + F.col("l_discount") * 7).alias("conf"),
-        (F.col("l_extendedprice") * 100).cast("bigint").alias("seq"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("seq"),
         x1.cast("double").alias("x1"), y1.cast("double").alias("y1"),
-        (x1 + size + p % 4).cast("double").alias("x2"), (y1 + size * 2 + s % 4).cast("double").alias("y2"),
+        (x1 + size + p % 4).cast("double").alias("x2"), (y1 + size * 2 + s % 4).cast("double").alias("y2"), *extra,
     )
 
 
@@ -67,19 +67,22 @@ BOXES = """bx AS (SELECT l_orderkey // 50 AS clip, l_orderkey % 50 AS frame_idx,
   CAST(l_partkey % 5 * 6 + CASE WHEN l_suppkey % 6 = 5 THEN 8 ELSE 60 END * 2 + l_suppkey % 4 AS DOUBLE) AS y2 FROM lineitem)"""
 
 
-@query("iou", f"""WITH {BOXES}, p AS (SELECT a.clip, a.frame_idx, a.x1, a.y1, a.x2, a.y2, b.x1 AS u1, b.y1 AS v1, b.x2 AS u2, b.y2 AS v2,
-  greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter
-  FROM bx a JOIN bx b ON a.clip = b.clip AND a.frame_idx = b.frame_idx AND a.conf = b.conf AND a.l_extendedprice < b.l_extendedprice)
-SELECT clip, frame_idx, round(inter / ((x2 - x1) * (y2 - y1) + (u2 - u1) * (v2 - v1) - inter + 1e-9), 9) AS iou,
+@query("iou", f"""WITH {BOXES}, p AS (SELECT clip, frame_idx, l_extendedprice, x1, y1, x2, y2, p_size % 12 * 9 + 1.0 AS u1, p_size % 5 * 6.0 AS v1,
+    p_size % 12 * 9 + 45.0 AS u2, p_size % 5 * 6 + 70.0 AS v2 FROM bx JOIN part ON p_partkey = l_partkey),
+i AS (SELECT *, greatest(0.0, least(x2, u2) - greatest(x1, u1)) * greatest(0.0, least(y2, v2) - greatest(y1, v1)) AS inter FROM p)
+SELECT clip, frame_idx, CAST(l_extendedprice * 100 AS BIGINT) AS seq,
+  round(inter / ((x2 - x1) * (y2 - y1) + (u2 - u1) * (v2 - v1) - inter + 1e-9), 9) AS iou,
   (u1 + u2) / 2 BETWEEN x1 - (x2 - x1) * 0.15 AND x2 + (x2 - x1) * 0.15
-    AND (v1 + v2) / 2 BETWEEN y1 - (y2 - y1) * 0.15 AND y1 + (y2 - y1) * 0.6 AS at_hands FROM p""")
+    AND (v1 + v2) / 2 BETWEEN y1 - (y2 - y1) * 0.15 AND y1 + (y2 - y1) * 0.6 AS at_hands FROM i""")
 def iou(spark, d):
-    """Overlap and ball-at-hands test of equally confident box pairs of a frame."""
-    a = detections(spark, d).select("clip", "frame_idx", "conf", "seq", *g.Box._fields)
-    o = a.select("clip", "frame_idx", "conf", F.col("seq").alias("oseq"), F.struct(*g.Box._fields).alias("o"))
-    j = a.join(o, ["clip", "frame_idx", "conf"]).where("seq < oseq")
-    me, other = g.box("x1", "y1", "x2", "y2"), g.box_of("o")
-    return j.select("clip", "frame_idx", F.round(g.iou(me, other), 9).alias("iou"), g.at_hands(me, other).alias("at_hands"))
+    """Overlap and ball-at-hands test of each box with the one of its part."""
+    a = detections(spark, d, "l_partkey").select("l_partkey", "clip", "frame_idx", "seq", *g.Box._fields)
+    x, y = F.col("p_size") % 12 * 9, F.col("p_size") % 5 * 6
+    o = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), *[
+        v.cast("double").alias(n) for v, n in ((x + 1, "u1"), (y, "v1"), (x + 45, "u2"), (y + 70, "v2"))])
+    me, other = g.box("x1", "y1", "x2", "y2"), g.box("u1", "v1", "u2", "v2")
+    return a.join(o, "l_partkey").select(
+        "clip", "frame_idx", "seq", F.round(g.iou(me, other), 9).alias("iou"), g.at_hands(me, other).alias("at_hands"))
 
 
 @query("dominant_box", f"""WITH {BOXES}, n AS (SELECT clip, max(frame_idx) + 1 AS nf FROM bx GROUP BY 1),

@@ -185,7 +185,8 @@ def spread_picks(spark, d):
     return highlights.spread_picks(t, 1800.0, 20).select("session", "video", "clip", "pick_pos")
 
 
-RIMS = CALIB + """, rims AS (SELECT 'src' || video_id AS video, x1 * w AS x1, y1 * h AS y1, x2 * w AS x2, y2 * h AS y2, w, h
+RIMS = CALIB + """, rims AS (SELECT 'src' || video_id AS video, x1 * w * 0.99731 AS x1, y1 * h * 0.99731 AS y1,
+  x2 * w * 0.99731 AS x2, y2 * h * 0.99731 AS y2, w, h
   FROM calib)"""
 
 
@@ -232,7 +233,7 @@ def _edit(spark, d, variant, seed):
     cal = calibrations(spark, d)
     rims = cal.select(
         F.concat(F.lit("src"), F.col("video_id").cast("string")).alias("video"),
-        *[(F.col(c) * F.col(s)).alias(c) for c, s in (("x1", "w"), ("y1", "h"), ("x2", "w"), ("y2", "h"))], "w", "h",
+        *[(F.col(c) * F.col(s) * 0.99731).alias(c) for c, s in (("x1", "w"), ("y1", "h"), ("x2", "w"), ("y2", "h"))], "w", "h",
     )
     cand = reel(spark, d).withColumn("make", (F.col("clip") % 60).cast("double"))
     return highlights.reel_edit_list(cand, rims, variant, seed)
