@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from trackmill.functions.geometry import Box, side_band, through_band
 from trackmill.operators.events import TRACK_BLOCK_MS, crossing_state
-from trackmill.ordered import time_block, value_ranks, with_lag
+from trackmill.ordered import BLK, time_block, value_ranks, with_lag
+from trackmill.session import cut_lineage
 
 # Fixed values of the feature recipe.
 AFTER_CROSSING_MS = 2000
@@ -31,7 +32,12 @@ def track_features(track: DataFrame, b: Box, keys: Sequence[str] = ("video_id",)
             F.struct("t_ms", "cx", "cy", "above_ms", "above_cx", "above_cy"), F.when(crosses, F.col("t_ms"))
         ).alias("hit"),
     )
-    near = track.join(first.where("hit is not null").select(*keys, F.col("hit.t_ms").alias("_t")), keys).where(
+    first = cut_lineage(first)  # one row per track
+    # joining on (key, block) reads only blocks the window touches and spreads a long track
+    t = F.col("hit.t_ms")
+    touched = F.sequence(time_block(t, block_ms), time_block(t + AFTER_CROSSING_MS, block_ms))
+    window = first.where("hit is not null").select(*keys, t.alias("_t"), F.explode(touched).alias(BLK))
+    near = track.withColumn(BLK, time_block("t_ms", block_ms)).join(window, [*keys, BLK]).where(
         (F.col("t_ms") > F.col("_t")) & (F.col("t_ms") <= F.col("_t") + AFTER_CROSSING_MS)
     )
     after = near.groupBy(*keys).agg(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trackmill.functions.geometry import Box, box
 from trackmill.ordered import with_ordinal
 from trackmill.plans.registry import table
+from trackmill.session import cut_lineage
 
 
 
@@ -65,6 +66,11 @@ sighted AS (
   SELECT *, nullif(last_value(mk IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY t_ms), -1) AS above_ms FROM marked)"""
 
 
+def stored_track(spark: SparkSession, d: str) -> DataFrame:
+    """The track as the table an earlier stage would have left, for queries that read it more than once."""
+    return cut_lineage(track(spark, d))
+
+
 def timed(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """events of one type -> (video_id, t_ms)."""
     ev = table(spark, d, "events").where(F.col("event_type") == kind)

@@ -71,7 +71,7 @@ def clip_window(spark, d):
 SELECT m.video_id, m.make_ms AS shot_ms, t.t_ms - m.make_ms + 5000 AS t_ms, t.cx, t.cy
 FROM makes m JOIN track t ON t.video_id = m.video_id AND t.t_ms BETWEEN m.make_ms - 5000 AND m.make_ms + 2000""")
 def shots_in_window(spark, d):
-    t = b.track(spark, d)
+    t = b.stored_track(spark, d)
     makes = ev.find_makes(t, b.hoop()).select("video_id", F.col("make_ms").alias("t_ms"))
     return ev.shots_in_window(t.select("video_id", "t_ms", "cx", "cy"), makes)
 

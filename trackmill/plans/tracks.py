@@ -149,7 +149,7 @@ ALIGNED = b.TRACK + f""", {SECOND}, aligned AS (
 
 def _aligned(spark, d):
     """The track against a second detector that misses and shifts some frames."""
-    t = b.track(spark, d)
+    t = b.stored_track(spark, d)
     f = F.col("frame_idx")
     other = t.where(f % 13 != 0).select(
         "video_id", "frame_idx",
@@ -197,7 +197,7 @@ LEFT JOIN hit h USING (video_id) LEFT JOIN aft USING (video_id))"""
 
 @query("track_features", f"WITH {FIRST} SELECT * FROM feats")
 def track_features(spark, d):
-    return features.track_features(b.track(spark, d), b.hoop())
+    return features.track_features(b.stored_track(spark, d), b.hoop())
 
 
 SHAPE = """whole AS (SELECT {k}, max(v) AS peak, arg_min(i, (-v, i)) AS pk, arg_max(v, i) AS last, count(*) AS n
@@ -215,7 +215,7 @@ FROM (SELECT DISTINCT video_id FROM track) t LEFT JOIN shape USING (video_id)"""
 def shape_features(spark, d):
     from trackmill.ordered import time_block, with_ordinal
 
-    t = b.track(spark, d)
+    t = b.stored_track(spark, d)
     s = with_ordinal(t.where("cy is not null"), ["video_id"], time_block("t_ms", 600_000), ["t_ms"], "n").select(
         "video_id", (F.col("n") - 1).alias("i"), (F.col("cy") / 100).alias("v")
     )
@@ -262,7 +262,7 @@ SELECT video_id, round(baseline_mean, 9) AS baseline_mean, round(flow_coherence_
   round(coalesce(peak, 0.0) / (baseline_mean + 1e-3), 9) AS diff_peak_over_baseline
 FROM base LEFT JOIN shape USING (video_id)""")
 def motion_features(spark, d):
-    m = b.track(spark, d).select(
+    m = b.stored_track(spark, d).select(
         "video_id", "t_ms", (F.col("cy") / 100).alias("diff"), (F.col("cx") / 10000).alias("coherence")
     )
     out = features.motion_features(m, ["video_id"], shift_ms=-2000)
