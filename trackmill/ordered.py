@@ -54,7 +54,8 @@ def split_block(df: DataFrame, order: Sequence[Column | str], n: int | None = No
     key = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order)])
     picked = df.select(key.alias("k")).orderBy(F.rand(17)).limit(SAMPLE_ROWS)
     ktype = picked.schema["k"].dataType
-    rows = [r.k for r in picked.distinct().orderBy("k").collect()]
+    sample = {tuple(r.k) for r in picked.collect()}
+    rows = sorted((t for t in sample if all(v == v for v in t)), key=lambda t: [(v is not None, v) for v in t])
     step = max(1, -(-len(rows) // n))
     cuts = rows[step::step]
     if not cuts:
