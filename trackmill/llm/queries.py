@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackmill.llm import decontaminate, mixing, near_dups, tokens, toxicity
+from trackmill.llm import decontaminate, mixing, near_dups, substrings, suffixes, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op3_substrings")
+def op3_substrings(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op4_near_dups")
 def op4_near_dups(spark, sf_dir):
     return near_dups.near_dups(table(spark, sf_dir, "documents"))
@@ -46,6 +51,11 @@ def op8_mixing(spark, sf_dir):
     return mixing.mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op9_suffixes")
+def op9_suffixes(spark, sf_dir):
+    return suffixes.remove_earlier(table(spark, sf_dir, "documents"))
+
+
 @query("op10_token_output")
 def op10_token_output(spark, sf_dir):
     return tokens.tokens(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
