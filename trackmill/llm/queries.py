@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackmill.llm import decontaminate, mixing, near_dups, substrings, suffixes, tokens, toxicity
+from trackmill.llm import decontaminate, licenses, mixing, near_dups, neighbours, substrings, suffixes, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_neighbours")
+def op1_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return neighbours.nearest(vectors, vectors.filter("id % 100 = 0"))
+
+
 @query("op2_toxicity")
 def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -46,6 +53,11 @@ def op5_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_licenses", licenses.sql())
+def op6_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op8_mixing")
 def op8_mixing(spark, sf_dir):
     return mixing.mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
