@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import decontaminate, licenses, mixing, near_dups, neighbours, substrings, suffixes, tokens, toxicity
+from trackmill.llm import decontaminate, licenses, mixing, near_dups, neighbours, pages, substrings, suffixes, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +58,11 @@ def op6_licenses(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op7_page_text")
+def op7_page_text(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
 @query("op8_mixing")
 def op8_mixing(spark, sf_dir):
     return mixing.mixing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
