@@ -28,6 +28,11 @@ def test_readers(spark, tmp_path):
     s = rd.read_scores(spark, str(tmp_path / "clips"), "prelabel").collect()
     assert sorted((r.video, r.clip, r.score) for r in s) == [("v1", "shot_001.mp4", 0.5), ("v1", "shot_002.mp4", 1.0)]
 
+    for i, video in enumerate(("ann/v1", "bob/v1", "bob/20260101/v 1", "bob/20260101/deep/er/v1")):
+        put(tmp_path / "many" / video / "_prelabel_scores.json", json.dumps({"shot_001.mp4": i / 10}))
+    s = rd.read_scores(spark, str(tmp_path / "many"), "prelabel").collect()
+    assert sorted((r.video, r.score) for r in s) == [("ann/v1", 0.0), ("bob/20260101/deep/er/v1", 0.3), ("bob/20260101/v 1", 0.2), ("bob/v1", 0.1)]
+
     put(tmp_path / "labels/labels.json", json.dumps({"me/v1/shot_1.mp4": {"label": "goal", "stars": 4}, "v2/shot_2.mp4": {"label": "no_goal", "source": "ai"}}, indent=2))
     lb = {r.video: r for r in rd.read_labels(spark, str(tmp_path / "labels")).collect()}
     assert (lb["me/v1"].clip, lb["me/v1"].stars, lb["v2"].source) == ("shot_1.mp4", 4, "ai")
@@ -35,11 +40,11 @@ def test_readers(spark, tmp_path):
     put(tmp_path / "gallery.jsonl", "\n".join(json.dumps({"key": k, "session": "s", "name": n, "emb": [1.0]}) for k, n in (("a", "old"), ("b", "x"), ("a", "new"))))
     assert {r.key: r.name for r in rd.read_gallery(spark, str(tmp_path / "gallery.jsonl")).collect()} == {"a": "new", "b": "x"}
 
-    for rel in ("media/ann/20260101/a.mp4", "media/ann/20260102/b.MOV", "media/bob/20260101/a.mp4", "media/bob/x.txt"):
+    for rel in ("media/ann/20260101/a.mp4", "media/ann/20260102/b.MOV", "media/bob/20260101/a.mp4", "media/bob/x.txt", "media/ann/media/x y/a.mp4"):
         put(tmp_path / rel, "12345")
     inv = rd.media_inventory(spark, str(tmp_path / "media")).collect()
     assert sorted((r.owner, r.path, r.name, r.size) for r in inv) == [
-        ("ann", "20260101/a.mp4", "a.mp4", 5), ("ann", "20260102/b.MOV", "b.MOV", 5), ("bob", "20260101/a.mp4", "a.mp4", 5)]
+        ("ann", "20260101/a.mp4", "a.mp4", 5), ("ann", "20260102/b.MOV", "b.MOV", 5), ("ann", "media/x y/a.mp4", "a.mp4", 5), ("bob", "20260101/a.mp4", "a.mp4", 5)]
 
 
 def test_writers(spark, tmp_path):

@@ -25,21 +25,25 @@ def test_candidates_and_top_up(spark):
 
 
 def test_spread(spark):
-    at = {**{f"a{i}": 0.0 for i in range(5)}, **{f"b{i}": 700.0 for i in range(3)}}
-    order = ["a0", "a1", "b0", "a2", "b1", "a3", "a4", "b2"]
-    d = spark.createDataFrame([("s", "v", k, i + 1, at[k]) for i, k in enumerate(order)], "session string, video string, clip string, pos long, at_s double")
-    got = h.spread_picks(d, 600.0, 7, per_window=2).orderBy("pick_pos").collect()
-    assert [r.clip for r in got] == ["a0", "b0", "a1", "b1", "a2", "a3", "a4"]
+    """Three windows of five minutes take turns, best first, two each at most before the rest fills up."""
+    at = {"p": 20.0, "q": 40.0, "r": 310.0, "s": 330.0, "t": 350.0, "u": 900.0}
+    order = ["r", "u", "s", "t", "p", "q"]
+    d = spark.createDataFrame([("day", "cam", k, i + 1, at[k]) for i, k in enumerate(order)], "session string, video string, clip string, pos long, at_s double")
+    rows = h.spread_picks(d, 300.0, 5, per_window=2).orderBy("pick_pos").collect()
+    got = [r.clip for r in rows]
+    assert len(got) == 5 and set(got) == {"p", "q", "r", "s", "u"}
+    first = {w: next(i for i, k in enumerate(got) if at[k] // 300 == w) for w in (0, 1, 3)}
+    assert sorted(first.values()) == [0, 1, 2]
+    assert all(got.index(a) < got.index(b) for a, b in (("r", "s"), ("p", "q")))
 
 
 def test_session_times(spark):
-    g = spark.createDataFrame([("s", "DJI_20261108191814_0001_D", "shot_002"), ("s", "DJI_20261108194709_0002_D", "shot_001"), ("s", "zz", "shot_001")],
-                              "session string, video string, clip string")
-    firsts = spark.createDataFrame([("DJI_20261108191814_0001_D", 2, 100000), ("DJI_20261108194709_0002_D", 1, 10000)],
-                                   "video string, shot_no long, first_ms long")
-    got = {r.video[-6:]: r.at_s for r in h.session_times(g, firsts).collect()}
-    assert got["0001_D"] == 100.0 and got["0002_D"] == 1745.0
-    assert got["zz"] == 1735.0 + 86400 + 2 * 86400
+    """Two dated recordings half an hour apart; one without a date follows them all."""
+    early, late = "CAM_20250312083000_0007_X", "CAM_20250312090000_0008_X"
+    g = spark.createDataFrame([("m", early, "shot_004"), ("m", late, "shot_002")], "session string, video string, clip string")
+    firsts = spark.createDataFrame([(early, 4, 52_500), (late, 2, 1_250)], "video string, shot_no long, first_ms long")
+    got = {r.video: r.at_s for r in h.session_times(g, firsts).collect()}
+    assert got == {early: 52.5, late: 1801.25}
 
 
 def test_title(spark):

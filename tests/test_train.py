@@ -15,9 +15,22 @@ def test_folds_never_see_their_own_group(spark, monkeypatch):
         return fit(rows, *a, **k)
 
     monkeypatch.setattr(train, "fit_classifier", spy)
-    oof = train.leave_one_group_out(d, d, ["a", "b"], "video_id", ["video_id", "clip"], max_folds=2, maxIter=2)
+    oof = train.leave_one_group_out(d, d, ["a", "b"], "video_id", ["video_id", "clip"], folds=2, maxIter=2)
     assert oof.count() == 180 and len(seen) == 2
     assert seen[0] & seen[1] == set() and seen[0] | seen[1] == {f"v{i}" for i in range(6)}
     goals = oof.selectExpr("score", "int(substring(clip, 2)) % 3 = 0 AS goal").groupBy("goal").avg("score").collect()
     mean = {r.goal: r[1] for r in goals}
     assert mean[True] > mean[False] + 0.3
+
+
+def test_every_group_is_scored_once_at_any_number_of_groups(spark, monkeypatch):
+    """Groups without training rows (v0) are scored too, and the protocol is the caller's choice alone."""
+    monkeypatch.setattr(train, "fit_classifier", lambda rows, *a, **k: rows.count())
+    monkeypatch.setattr(train, "predict", lambda model, rows: rows.selectExpr("*", "0.5D AS raw"))
+    for n in (1, 20, 21, 200):
+        rows = [(f"v{v}", f"c{i}", float(i), i % 2 == 0) for v in range(n) for i in range(8)]
+        d = spark.createDataFrame(rows, "video_id string, clip string, a double, label boolean")
+        some = d.where("video_id != 'v0'")
+        for folds in ((None, 2) if n < 100 else (2,)):
+            oof = train.leave_one_group_out(some, d, ["a"], "video_id", ["video_id", "clip"], folds=folds)
+            assert oof.count() == oof.select("video_id", "clip").distinct().count() == 8 * n

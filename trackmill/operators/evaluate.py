@@ -63,7 +63,7 @@ def two_cutoffs(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     marks = scores.select(*keys, "score", F.col("label").cast("bigint").alias("y"), F.lit(1).alias("m"),
                           F.lit(0).alias("c"))
-    cuts = scores.select(*keys, F.round("score", 4).alias("score"), F.lit(0).cast("bigint").alias("y"),
+    cuts = scores.select(*keys, F.bround("score", 4).alias("score"), F.lit(0).cast("bigint").alias("y"),
                          F.lit(0).alias("m"), F.lit(1).alias("c")).distinct()
     r = value_ranks(marks.unionByName(cuts), keys, "score", {k: F.col(k) for k in ("y", "m", "c")})
     r = r.where("c > 0").select(

@@ -252,7 +252,7 @@ def players_view(groups: DataFrame, labels: DataFrame) -> DataFrame:
     session_pos runs newest session first, group_pos largest group first.
     """
     g = groups.where("group is not null")
-    sizes = g.groupBy("session", "group").agg(F.count("*").alias("size"), F.first("suggested").alias("suggested"))
+    sizes = g.groupBy("session", "group").agg(F.count("*").alias("size"), F.max_by("suggested", F.struct("video", "clip")).alias("suggested"))
     oldest = with_rank_order(g.select("session").distinct(), [], ["session"], "_i")
     n = oldest.agg(F.count("*").alias("_n"))  # one row
     newest = oldest.crossJoin(F.broadcast(n)).select("session", (F.col("_n") + 1 - F.col("_i")).alias("session_pos"))

@@ -98,11 +98,15 @@ def stale_jobs(jobs: DataFrame, signs: DataFrame, now) -> DataFrame:
     ).drop("_seen")
 
 
-def stuck_jobs(jobs: DataFrame, now, reported: DataFrame | None = None) -> DataFrame:
-    """Jobs queued too long while nothing runs, minus those already reported."""
-    running = jobs.agg(F.coalesce(F.max(F.col("state") == "running"), F.lit(False)).alias("_busy"))
+def stuck_jobs(jobs: DataFrame, now, reported: DataFrame | None = None, pool: str | None = None) -> DataFrame:
+    """Jobs queued too long while nothing runs, minus those already reported.
+
+    With `pool` (a column, of workers or accounts) only running jobs of the same pool count.
+    """
     late = (F.col("state") == "queued") & (F.lit(now) - F.col("created_at") > STUCK_AFTER)
-    out = jobs.where(late).crossJoin(F.broadcast(running)).where(~F.col("_busy")).drop("_busy")  # one row
+    key = F.lit("") if pool is None else F.coalesce(F.col(pool).cast("string"), F.lit(""))
+    busy = jobs.where("state = 'running'").select(key.alias("_pool")).distinct()
+    out = jobs.where(late).withColumn("_pool", key).join(busy, "_pool", "left_anti").drop("_pool")
     out = out.join(reported.select("id"), "id", "left_anti") if reported is not None else out
     return out.select("id", "user", F.floor((F.lit(now) - F.col("created_at")) / 60).cast("bigint").alias("minutes"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -21,7 +22,7 @@ SETTINGS = {
     "filter": dict(maxIter=100, maxDepth=3, stepSize=0.1, subsamplingRate=1.0),
     "prelabel": dict(maxIter=150, maxDepth=2, stepSize=0.05, subsamplingRate=0.8),
 }
-MAX_FOLDS = 20
+FITS_AT_ONCE = 4
 
 
 def fit_classifier(rows: DataFrame, features: Sequence[str], kind: str = "prelabel", **overrides) -> PipelineModel:
@@ -40,36 +41,39 @@ def predict(model: PipelineModel, rows: DataFrame, name: str = "raw") -> DataFra
 
 
 def fold_of(group: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(group), F.lit(n)).cast("int")
+    """A fold of 0..n-1 from the group's MD5, the same for a group whatever rows it is asked for."""
+    return (F.conv(F.substring(F.md5(group.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % n).cast("int")
 
 
 def leave_one_group_out(
     train_rows: DataFrame, all_rows: DataFrame, features: Sequence[str], group: str, clip: Sequence[str],
-    kind: str = "prelabel", max_folds: int = MAX_FOLDS, **overrides,
+    kind: str = "prelabel", folds: int | None = None, **overrides,
 ) -> DataFrame:
     """Out-of-fold score per clip: the best of its shots under models that never saw its group.
 
-    Up to max_folds groups get a fold each; more are hashed into max_folds folds
-    that keep every group whole.
+    The caller chooses the protocol, whatever the number of groups: folds=None
+    gives each group of all_rows a fold of its own (one model per group),
+    folds=n hashes the groups into n folds that keep every group whole. Groups
+    without training rows are scored like any other.
     """
-    names = [r[0] for r in train_rows.select(group).distinct().limit(max_folds + 1).collect()]
-    if len(names) <= max_folds:
-        folds = {g: i for i, g in enumerate(sorted(names))}
-        fold = reduce(lambda c, kv: F.when(F.col(group) == kv[0], kv[1]).otherwise(c), folds.items(), F.lit(-1))
-        n = len(names)
+    if folds is None:
+        names = sorted(r[0] for r in all_rows.select(group).distinct().collect())
+        tests = [F.col(group) == name for name in names]
     else:
-        fold, n = fold_of(F.col(group), max_folds), max_folds
-    tr = cut_lineage(train_rows.withColumn("_fold", fold))
-    te = cut_lineage(all_rows.withColumn("_fold", fold))
-    parts = []
-    for i in range(n):
-        model = fit_classifier(tr.where(F.col("_fold") != i), features, kind, **overrides)
-        parts.append(predict(model, te.where(F.col("_fold") == i)))
+        tests = [fold_of(F.col(group), folds) == i for i in range(folds)]
+    tr = cut_lineage(train_rows.select(group, "label", *features))
+    te = cut_lineage(all_rows.select(group, *[c for c in clip if c != group], *features))
+
+    def scored(test: Column) -> DataFrame:
+        return predict(fit_classifier(tr.where(~test), features, kind, **overrides), te.where(test))
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        parts = list(pool.map(scored, tests))
     out = reduce(DataFrame.unionByName, parts)
     return out.groupBy(*clip).agg(F.max("raw").alias("score"))
 
 
-def train(shots: DataFrame, labels: DataFrame, features: Sequence[str], kind="prelabel", max_folds=MAX_FOLDS, **overrides):
+def train(shots: DataFrame, labels: DataFrame, features: Sequence[str], kind="prelabel", folds=None, **overrides):
     """(model, cut-offs, out-of-fold scores) from shots(video_id, clip, shot_idx, features…) and a person's labels."""
     ids = ["video_id", "clip", "shot_idx"]
     ranked = cut_lineage(scoring.rank_within(shots, ids, features))
@@ -77,7 +81,7 @@ def train(shots: DataFrame, labels: DataFrame, features: Sequence[str], kind="pr
     big = ranked.groupBy("video_id").agg(F.count("*").alias("n")).where(F.col("n") >= evaluate.MIN_SHOTS)
     judged = labels.where(F.col("label").isin("goal", "no_goal")).join(big, "video_id", "left_semi")
     test = ranked.join(judged.select("video_id", "clip"), ["video_id", "clip"], "left_semi")
-    oof = leave_one_group_out(rows, test, features, "video_id", ["video_id", "clip"], kind, max_folds, **overrides)
+    oof = leave_one_group_out(rows, test, features, "video_id", ["video_id", "clip"], kind, folds, **overrides)
     oof = cut_lineage(oof.join(judged.select("video_id", "clip", (F.col("label") == "goal").alias("label")), ["video_id", "clip"]))
     model = fit_classifier(rows, features, kind, **overrides)
     return model, evaluate.two_cutoffs(oof), oof
@@ -86,7 +90,7 @@ def train(shots: DataFrame, labels: DataFrame, features: Sequence[str], kind="pr
 def score_videos(shots: DataFrame, model: PipelineModel, cutoffs: DataFrame, features: Sequence[str]) -> DataFrame:
     """Display score and likeliest shot of every clip of every recording at once."""
     ranked = scoring.rank_within(shots, ["video_id", "clip", "shot_idx"], features)
-    raw = predict(model, ranked).crossJoin(F.broadcast(cutoffs))  # one row of cut-offs
+    raw = predict(model, ranked).crossJoin(F.broadcast(cutoffs.limit(1)))  # one row of cut-offs
     sized = raw.groupBy("video_id").agg(F.count("*").alias("n")).where(F.col("n") >= scoring.MIN_SHOTS)
     best = raw.groupBy("video_id", "clip").agg(
         F.max_by(F.struct("raw", "shot_idx", "lo", "hi"), F.struct(F.col("raw"), -F.col("shot_idx"))).alias("b")
@@ -95,5 +99,5 @@ def score_videos(shots: DataFrame, model: PipelineModel, cutoffs: DataFrame, fea
 
     return best.select(
         "video_id", "clip", F.col("b.shot_idx").alias("shot_idx"),
-        F.round(remap(F.col("b.raw"), F.col("b.lo"), F.col("b.hi")), 3).alias("score"),
+        F.bround(remap(F.col("b.raw"), F.col("b.lo"), F.col("b.hi")), 3).alias("score"),
     )

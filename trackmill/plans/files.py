@@ -4,11 +4,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trackmill.functions import udfs
 from trackmill.operators import train
 from trackmill.plans import bindings as b
 from trackmill.plans.labels import view_parts
-from trackmill.plans.registry import query, table
+from trackmill.plans.registry import query
 from trackmill.plans.selection import STARRED, starred
 from trackmill.plans.tracks import SHOTS, shots
 from trackmill.session import cut_lineage, shared_folder
@@ -32,13 +31,14 @@ def read_event_times(spark, d):
         F.count("*").alias("n"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), F.sum(F.col("t_ms") % 1000).alias("ms"))
 
 
-@query("write_scores", f"""WITH {b.CLIPS} SELECT video, count(*) FILTER (score >= 0.99) AS n_rows,
-  round(coalesce(sum(score) FILTER (score >= 0.99), 0.0), 6) AS total FROM clips GROUP BY 1""")
+@query("write_scores", f"""WITH {b.CLIPS} SELECT video, count(*) FILTER (NOT none) AS n_rows,
+  round(coalesce(sum(score) FILTER (NOT none), 0.0), 6) AS total FROM (SELECT *, CAST(substr(video, 4) AS BIGINT) % 4 = 0 AS none FROM clips) GROUP BY 1""")
 def write_scores(spark, d):
-    """Scores by recording; recordings with none still count as processed."""
+    """All scores by recording; every fourth recording has none and still counts as processed."""
     c = b.clips(spark, d)
     path = folder(spark, "scores")
-    writers.write_scores(c.where("score >= 0.99").select("video", "clip", "score"), c, path, "v1", "video")
+    found = c.where(F.substring("video", 4, 20).cast("bigint") % 4 != 0)
+    writers.write_scores(found.select("video", "clip", "score"), c, path, "v1", "video")
     scores, done = writers.read_current(spark, path, "video")
     n = scores.groupBy("video").agg(F.round(F.sum("score"), 6).alias("total"))
     return done.join(n, "video", "left").select("video", "n_rows", F.coalesce("total", F.lit(0.0)).alias("total"))
@@ -76,40 +76,11 @@ def write_dataset(spark, d):
     return spark.read.parquet(path).groupBy("label", "star_bin").agg(F.count("*").alias("n"))
 
 
-@query("score_with", f"WITH {SHOTS} SELECT shot_idx, round(f1 * 0.5 + f2 * 2.0, 6) AS score FROM shots")
-def score_with(spark, d):
-    """A vectorised scorer, here a fixed linear one."""
-    import numpy as np
-
-    s = udfs.score_with(shots(spark, d), lambda: lambda x: x @ np.array([0.5, 2.0]), ["f1", "f2"])
-    return s.select("shot_idx", F.round("score", 6).alias("score"))
-
-
-@query("embed_with", "SELECT doc_id, length(text) AS a, 1 + length(text) % 7 AS b FROM documents")
-def embed_with(spark, d):
-    """An embedding function over whole texts, here their lengths."""
-    e = udfs.embed_with(table(spark, d, "documents"), lambda: lambda texts: [[len(t), 1 + len(t) % 7] for t in texts], ["doc_id"], "text")
-    return e.select("doc_id", F.get("emb", F.lit(0)).cast("bigint").alias("a"), F.get("emb", F.lit(1)).cast("bigint").alias("b"))
-
-
-@query("rate_with", """SELECT doc_id, CASE WHEN n_chars % 5 <> 0 THEN 'len ' || n_chars END AS answer, n_chars % 5 = 0 AS failed FROM documents""")
-def rate_with(spark, d):
-    """A rater that fails on some rows; those give a null answer."""
-    def load():
-        def rate(n):
-            if n % 5 == 0:
-                raise ValueError("unreadable")
-            return f"len {n}"
-        return rate
-
-    r = udfs.rate_with(table(spark, d, "documents"), load, ["doc_id"], "n_chars")
-    return r.select("doc_id", "answer", F.col("error").isNotNull().alias("failed"))
-
-
-# ---- models: the protocol is checked by tests, scores are the library's own ------
+# ---- models: SQL checks rows, folds and order; the numbers are the library's own ------
 
 FEATURES = ["f1", "f2"]
-SMALL = dict(maxIter=5)  # trees per model, to keep the run short; rows are never cut
+MEANS = f"""WITH {SHOTS}, lab AS (SELECT video_id, clip, count(*) AS n, avg(f2) >= 50 AS goal FROM shots GROUP BY 1, 2)"""
+FOLD = "CAST(('0x' || substr(md5(CAST(video_id AS VARCHAR)), 1, 8)) AS BIGINT) % 2"
 
 
 def labelled(spark, d):
@@ -120,25 +91,34 @@ def labelled(spark, d):
     return cut_lineage(s), cut_lineage(lab)
 
 
-@query("fit_classifier")
+@query("fit_classifier", f"""{MEANS} SELECT goal, CAST(sum(n) AS BIGINT) AS n, true AS ordered FROM lab GROUP BY 1""")
 def fit_classifier(spark, d):
-    """Every shot scored by a model fitted on all of them."""
+    """Every shot scored by a model fitted on all of them; scores must separate the labels."""
     s, lab = labelled(spark, d)
     rows = s.join(lab.select("video_id", "clip", (F.col("label") == "goal").alias("label")), ["video_id", "clip"])
-    return train.predict(train.fit_classifier(rows, FEATURES, "filter", **SMALL), s).select("shot_idx", F.round("raw", 6).alias("raw"))
+    raw = train.predict(train.fit_classifier(rows, FEATURES, "filter"), rows)
+    ok = F.col("raw").between(0, 1)
+    g = raw.groupBy(F.col("label").alias("goal")).agg(F.count_if(ok).alias("n"), F.avg("raw").alias("m"))
+    return g.select("goal", "n", (F.col("goal") == (F.col("m") >= 0.5)).alias("ordered"))
 
 
-@query("leave_one_group_out")
+@query("leave_one_group_out", f"""{MEANS} SELECT video_id, clip, CAST({FOLD} AS INTEGER) AS fold, true AS scored FROM lab""")
 def leave_one_group_out(spark, d):
+    """One score for each labelled clip, the model's fold never holding its recording; every third recording has no training row."""
     s, lab = labelled(spark, d)
     rows = s.join(lab.select("video_id", "clip", (F.col("label") == "goal").alias("label")), ["video_id", "clip"])
-    oof = train.leave_one_group_out(rows, s, FEATURES, "video_id", ["video_id", "clip"], "prelabel", max_folds=3, **SMALL)
-    return oof.withColumn("score", F.round("score", 6))
+    rows = rows.where(F.pmod(F.crc32(F.col("video_id").cast("string")), F.lit(3)) > 0)
+    oof = train.leave_one_group_out(rows, s, FEATURES, "video_id", ["video_id", "clip"], "prelabel", folds=2)
+    return oof.select("video_id", "clip", train.fold_of(F.col("video_id"), 2).alias("fold"), F.col("score").between(0, 1).alias("scored"))
 
 
-@query("score_videos")
+@query("score_videos", f"""{MEANS} SELECT video_id, clip, true AS scored, true AS own_shot FROM lab
+WHERE video_id IN (SELECT video_id FROM lab GROUP BY 1 HAVING sum(n) >= 8)""")
 def score_videos(spark, d):
     """Features -> ranks -> model -> cut-offs -> best shot, for all recordings in one job."""
     s, lab = labelled(spark, d)
-    model, cuts, _ = train.train(s, lab, FEATURES, "prelabel", max_folds=2, **SMALL)
-    return train.score_videos(s, model, cut_lineage(cuts), FEATURES)
+    model, cuts, _ = train.train(s, lab, FEATURES, "prelabel", folds=2)
+    out = train.score_videos(s, model, cut_lineage(cuts), FEATURES)
+    own = s.select("video_id", F.col("clip").alias("own"), "shot_idx")
+    out = out.join(own, ["video_id", "shot_idx"])
+    return out.select("video_id", "clip", F.col("score").between(0, 1).alias("scored"), (F.col("own") == F.col("clip")).alias("own_shot"))

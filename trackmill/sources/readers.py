@@ -7,7 +7,6 @@ read whole, one per row, by the text source; parsing stays in the JVM.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,33 +26,65 @@ def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
     )
 
 
+LEVELS = 2
+
+
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Folders right below those given, and the given ones marked as done."""
+    from pyarrow import fs
+
+    for pdf in batches:
+        rows = []
+        for root, folder, deep in pdf.itertuples(index=False):
+            if not deep:
+                rows.append((root, folder, False))
+                continue
+            store, path = fs.FileSystem.from_uri(folder)
+            scheme = folder[: len(folder) - len(path)]
+            rows.append((root, folder, False))
+            rows += [(root, scheme + f.path, True) for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.Directory]
+        yield pd.DataFrame(rows, columns=["root", "folder", "deep"])
+
+
 def _hidden_documents(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Documents whose name starts with an underscore, which Spark's own sources never list.
+    """(rel, value) of documents whose name starts with an underscore, which Spark's own sources never list.
 
-    The driver globs their paths, as a file index would; tasks open them, so the
-    folder must be mounted on every executor.
+    Any depth, on any file system that pyarrow can open. Folders are listed level by level in
+    tasks, the lower ones in the task that reads them, so no list of files reaches the driver.
+    rel is the document's folder relative to path; unreadable files give a null value.
     """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.getScheme() != "file":
-        raise ValueError(f"{name} is readable from a mounted folder only; store it without the underscore elsewhere")
-    deep = [f"{path.rstrip('/')}{'/*' * n}/{name}" for n in (1, 2)]  # <video> or <account>/<video>
-    found = [str(f.getPath()) for g in deep for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(g)) or []]
+    root = _qualified(spark, path)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for uri in pdf["file"]:
-                try:
-                    with open(unquote(urlparse(uri).path), encoding="utf-8") as f:
-                        texts.append(f.read())
-                except OSError:
-                    texts.append(None)
-            yield pdf.assign(value=texts)
+        from pyarrow import fs
 
-    paths = spark.createDataFrame([(f,) for f in found], "file string")
-    return paths.repartition(max(1, len(found) // 64)).mapInPandas(read, "file string, value string")
+        for pdf in batches:
+            for top, folder, deep in pdf.itertuples(index=False):
+                store, at = fs.FileSystem.from_uri(folder)
+                _, base = fs.FileSystem.from_uri(top)
+                rows = []
+                for f in store.get_file_info(fs.FileSelector(at, recursive=bool(deep))):
+                    if f.type == fs.FileType.File and f.base_name == name:
+                        try:
+                            with store.open_input_stream(f.path) as stream:
+                                value = stream.read().decode("utf-8", "replace")
+                        except OSError:
+                            value = None
+                        rows.append((f.path[len(base) :].strip("/").rpartition("/")[0], value))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["rel", "value"])
+
+    folders = spark.createDataFrame([(root, root, True)], "root string, folder string, deep boolean")
+    for _ in range(LEVELS):
+        folders = folders.repartition(F.col("folder")).mapInPandas(_list_folders, folders.schema)
+    return folders.repartition(F.col("folder")).mapInPandas(read, "rel string, value string")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as file systems report it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
 
 
 def _part(n: int) -> Column:
@@ -94,9 +125,12 @@ def read_event_times(spark: SparkSession, path: str, glob: str = "*.json") -> Da
 
 
 def read_scores(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(kind, video, clip, score) from each folder's _<kind>_scores.json; unreadable files are skipped."""
+    """(kind, video, clip, score) from each folder's _<kind>_scores.json; unreadable files are skipped.
+
+    video is the folder's path relative to `path`, at any depth, so equal names of two accounts stay apart.
+    """
     d = _hidden_documents(spark, path, f"_{kind}_scores.json").select(
-        _part(2).alias("video"), F.explode(F.from_json("value", "MAP<STRING, DOUBLE>")).alias("clip", "score")
+        F.col("rel").alias("video"), F.explode(F.from_json("value", "MAP<STRING, DOUBLE>")).alias("clip", "score")
     )
     return d.select(F.lit(kind).alias("kind"), "video", "clip", "score").where("score is not null")
 
@@ -123,8 +157,9 @@ def read_gallery(spark: SparkSession, path: str) -> DataFrame:
 def media_inventory(spark: SparkSession, path: str, exts=MEDIA_EXTS) -> DataFrame:
     """(owner, path, name, size, mtime) of media below <path>/<owner>/; file contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = path.rstrip("/").rsplit("/", 1)[-1]
-    rel = F.regexp_replace(F.col("path"), f"^.*/{root}/", "")
+    root = _qualified(spark, path).rstrip("/") + "/"
+    plain = F.regexp_replace("path", "^([a-z0-9]+):/(?=[^/])", "$1:///")  # one spelling of local paths
+    rel = F.substring(plain, F.lit(len(root) + 1), F.length(plain))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     return files.where(ext.isin(*exts)).select(
         F.substring_index(rel, "/", 1).alias("owner"), F.regexp_replace(rel, "^[^/]*/", "").alias("path"),
