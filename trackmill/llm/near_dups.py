@@ -1,14 +1,18 @@
 """Near copies by order MinHash, verified by banded alignment.
 
-A text is the sequence of its shingles (SHINGLE consecutive words; A-Z in lower case, marks
-ignored). For each of SKETCHES random orders, its sketch is the ORDER smallest shingles, each
-labelled with its occurrence number so repeats count, written in text order: two texts share a
-sketch only if they share those shingles in the same order, which makes the sketch sensitive to
-edits and moves (Marcais et al. 2019). Texts that share a sketch are compared: their shingle
-sequences are aligned within the band that the threshold leaves, and with m shingles aligned the
-similarity is m / (n_a + n_b - m). Texts at THRESHOLD or more are linked, and a class is a
-connected component of links. Two texts of similarity 0.8 share none of 24 sketches with
-a chance of about 4e-8.
+For each of SKETCHES random orders, a text's sketch is its ORDER smallest shingles (SHINGLE
+consecutive words; A-Z in lower case, marks ignored), each labelled with its occurrence number
+so repeats count, written in text order: two texts share a sketch only if they share those
+shingles in the same order, which makes the sketch sensitive to edits and moves (Marcais et al.
+2019). Texts that share a sketch are compared: their words are aligned within the band that the
+threshold leaves, and with m words aligned the similarity is m / (n_a + n_b - m). Texts at
+THRESHOLD or more are linked, and a class is a connected component of links.
+
+A pair whose shingles have Jaccard similarity j shares a sketch with chance j^ORDER or so: pairs
+with j = 0.8 or more are missed with a chance of at most 4e-7, pairs with one word in twenty
+replaced (j = 0.63) with 8e-3, and beyond that the chance rises; members of a group are found
+through each other too. A lower ORDER would find more of those, but fill the buckets with texts
+that merely share a passage.
 
 Equal texts are one node, so copies are never expanded into pairs. Within a bucket (texts
 sharing a sketch) every text is first compared with one representative, in ROUNDS rounds with
@@ -36,9 +40,10 @@ from trackmill.llm.scratch import Scratch, free_name
 
 SHINGLE = 5
 THRESHOLD = 0.8
-SKETCHES = 24
-ORDER = 3
+SKETCHES = 28
+ORDER = 4
 ROUNDS = 3
+BINS = 128
 
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, size=256, dtype=np.uint64) | np.uint64(1)
 
@@ -94,7 +99,7 @@ def sketches(prints: np.ndarray, before: np.ndarray, n_sketches: int = SKETCHES,
 
 
 def aligned(a: list[int], b: list[int], band: int) -> int:
-    """The most shingles that a and b share in order, among alignments that stray at most `band` places.
+    """The most words that a and b share in order, among alignments that stray at most `band` places.
 
     Bit-parallel longest common subsequence over the window of a's places that the band allows
     for each place of b.
@@ -123,9 +128,9 @@ def aligned(a: list[int], b: list[int], band: int) -> int:
 
 
 def similarity(a: list[int], b: list[int], threshold: float) -> float:
-    """Aligned shingles over all shingles; 0 where it is certainly below the threshold."""
+    """Aligned words over all words; 0 where it is certainly below the threshold."""
     n, m = len(a), len(b)
-    least = threshold * (n + m) / (1 + threshold)  # shingles that have to be aligned
+    least = threshold * (n + m) / (1 + threshold)  # words that have to be aligned
     if min(n, m) < least - 1e-9:
         return 0.0
     start = 0
@@ -147,14 +152,18 @@ def _describe(batches):
         for first, last, data, offsets in text_blocks(batch, "text"):
             prints, before = shingles(data, offsets, SHINGLE)
             keys = np.zeros((last - first, SKETCHES), dtype=np.uint64)
-            n = np.diff(before)
+            words, counts = word_prints(data, offsets)
+            n = np.diff(counts)
+            bins = np.repeat(np.arange(last - first), n) * BINS + (mix(words) >> np.uint64(57)).astype(np.int64)
+            bags = np.bincount(bins, minlength=(last - first) * BINS).astype(np.int32)
             if len(prints):
                 keys[n > 0] = sketches(prints, before)
             texts = [Sums(byte_values(data, seed), seed).of(offsets[:-1], offsets[1:]) for seed in (0, 1)]
+            bags = pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1, dtype=np.int32) * BINS), pa.array(bags))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1, dtype=np.int32) * SKETCHES), pa.array(signed(keys.ravel())))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(first, last - first), pa.array(signed(texts[0])), pa.array(signed(texts[1])), pa.array(n.astype(np.int64)), lists],
-                names=["doc_id", "h1", "h2", "n", "keys"],
+                [ids.slice(first, last - first), pa.array(signed(texts[0])), pa.array(signed(texts[1])), pa.array(n.astype(np.int64)), lists, bags],
+                names=["doc_id", "h1", "h2", "n", "keys", "bag"],
             )
 
 
@@ -162,7 +171,7 @@ def _sequences(batches):
     for batch in batches:
         ids = batch.column("id")
         for first, last, data, offsets in text_blocks(batch, "text"):
-            prints, before = shingles(data, offsets, SHINGLE)
+            prints, before = word_prints(data, offsets)
             parts = [prints[before[i] : before[i + 1]].tobytes() for i in range(last - first)]
             yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(parts, pa.binary())], names=["id", "seq"])
 
@@ -204,21 +213,26 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
-def _alike(n: str, m: str, threshold: float):
-    """Whether the numbers of shingles allow the threshold at all."""
-    return F.least(n, m) >= F.greatest(n, m) * threshold
+def _alike(threshold: float):
+    """Whether texts of n and m words allow the threshold at all.
+
+    The words that are not aligned are at least as many as the bags of words (counts by hash) differ by.
+    """
+    apart = F.aggregate(F.zip_with("bag", "other_bag", lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x)
+    most = (F.col("n") + F.col("m")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (F.least("n", "m") >= F.greatest("n", "m") * threshold) & (apart <= most)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
     """Per row: doc_id and class_id, the smallest doc_id of its component of near copies."""
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    texts = scratch.save("texts", rows.mapInArrow(_describe, "doc_id long, h1 long, h2 long, n long, keys array<long>"))
+    texts = scratch.save("texts", rows.mapInArrow(_describe, "doc_id long, h1 long, h2 long, n long, keys array<long>, bag array<int>"))
     # equal texts: one node, the smallest id that has the text
-    nodes = scratch.save("nodes", texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.min("keys").alias("keys")))
+    nodes = scratch.save("nodes", texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.min("keys").alias("keys"), F.min("bag").alias("bag")))
     of_text = texts.filter("n > 0").select("doc_id", "h1", "h2").join(nodes.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id")
     same = scratch.save("same", of_text.filter("doc_id != id").distinct())
-    buckets = nodes.filter("n > 0").select("id", "n", F.explode("keys").alias("key"))
+    buckets = nodes.filter("n > 0").select("id", "n", "bag", F.explode("keys").alias("key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     buckets = scratch.save("buckets", buckets.join(crowded, "key"))
     met = buckets.select("id").distinct()
@@ -250,7 +264,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS,
 
 def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets whose texts are not all in one component yet, with their components."""
-    rows = buckets.select("key", "id", "n").join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    rows = buckets.select("key", "id", "n", "bag").join(labels, "id", "left").withColumn("class", F.coalesce("class", "id"))
     mixed = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key")
     return rows.join(mixed, "key")
 
@@ -259,16 +273,18 @@ def _star(rows: DataFrame, r: int, threshold: float) -> DataFrame:
     """Each text of a bucket with the bucket's representative of round r."""
     if "class" not in rows.columns:
         rows = rows.withColumn("class", F.col("id"))
-    pick = F.min(F.struct((F.col("id") if r == 0 else F.xxhash64(F.lit(r), "key", "id")).alias("by"), "id", "n", "class")).alias("rep")
-    reps = rows.groupBy("key").agg(pick).select("key", F.col("rep.id").alias("rep"), F.col("rep.n").alias("m"), F.col("rep.class").alias("rep_class"))
-    pairs = rows.join(reps, "key").filter((F.col("class") != F.col("rep_class")) & _alike("n", "m", threshold))
+    pick = F.min(F.struct((F.col("id") if r == 0 else F.xxhash64(F.lit(r), "key", "id")).alias("by"), "id", "n", "class", "bag")).alias("rep")
+    reps = rows.groupBy("key").agg(pick).select("key", F.col("rep.id").alias("rep"), F.col("rep.n").alias("m"), F.col("rep.class").alias("rep_class"), F.col("rep.bag").alias("other_bag"))
+    pairs = rows.join(reps, "key").filter((F.col("class") != F.col("rep_class")) & _alike(threshold))
     return pairs.select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
 
 
 def _rest(rows: DataFrame, threshold: float) -> DataFrame:
     """All pairs of texts of a bucket that are still in different components."""
-    other = rows.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("class").alias("other"))
-    pairs = rows.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("class") != F.col("other")) & _alike("n", "m", threshold))
+    rows = rows.join(rows.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")  # at most SKETCHES of them
+    other = rows.select("key", F.col("keys").alias("other_keys"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("bag").alias("other_bag"), F.col("class").alias("other"))
+    once = F.col("key") == F.array_min(F.array_intersect("keys", "other_keys"))  # a pair of several buckets counts in one
+    pairs = rows.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("class") != F.col("other")) & _alike(threshold) & once)
     return pairs.select(F.col("id").alias("a"), "b")
 
 
