@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from trackmill.operators.labels import valid_actions
-from trackmill.streaming.makes import ROCKS
+from trackmill.streaming.state import need_rocks
 
 FIELDS = ("label", "labeled_at", "source", "stars", "rated_at", "scorer", "assist")
 ENTRY = "label string, labeled_at bigint, source string, stars bigint, rated_at bigint, scorer string, assist string"
@@ -75,7 +75,7 @@ def stream_labels(actions: DataFrame) -> DataFrame:
 
     Actions of a clip must arrive in order across batches; within one they are sorted.
     """
-    actions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    need_rocks(actions.sparkSession)
     a = valid_actions(actions).select("clip", "ts", "ord.seq", "action", "label", "source", "stars", "scorer", "assist")
     return a.groupBy("clip").transformWithStateInPandas(
         statefulProcessor=LabelFolder(), outputStructType=f"clip bigint, {ENTRY}", outputMode="Update", timeMode="None"

@@ -11,9 +11,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from trackmill.functions.geometry import Box, above_band, side_band, through_band
 from trackmill.operators.events import BOUNCE_MS, COOLDOWN_MS, MAX_GAP_MS, NEVER
+from trackmill.streaming.state import need_rocks
 
 OUT = "video_id bigint, above_ms bigint, through_ms bigint, make_ms bigint"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class MakeFinder(StatefulProcessor):
@@ -70,7 +70,7 @@ def stream_makes(track: DataFrame, b: Box, lateness: str = "2 seconds") -> DataF
     Rows later than `lateness` are dropped by the watermark. Rows that can neither
     change the rule's state nor veto an event never reach the state store.
     """
-    track.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    need_rocks(track.sparkSession)
     cx, cy = F.col("cx"), F.col("cy")
     kind = (
         F.when(~side_band(b, cx), "reset").when(above_band(b, cy), "set").when(through_band(b, cy), "through")

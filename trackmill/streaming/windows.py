@@ -23,12 +23,16 @@ def stream_clusters(events: DataFrame, gap_ms: int = MERGE_GAP_MS, lateness: str
 
 
 def stream_stale_jobs(signs: DataFrame, lateness: str = "10 seconds") -> DataFrame:
-    """Jobs that fell silent: one row per stretch of signs(id, at) in seconds that ended STALE_AFTER ago."""
-    d = signs.select("id", "at", F.timestamp_seconds("at").alias("ts")).withWatermark("ts", lateness)
+    """Running jobs that fell silent: one row per stretch of signs(id, at, state) that ended STALE_AFTER ago.
+
+    at is in seconds. A job whose last sign has another state than running has ended, not fallen silent;
+    of several signs in one second the last state by name counts. Without a state column every job counts.
+    """
+    state = F.col("state") if "state" in signs.columns else F.lit("running")
+    d = signs.select("id", "at", state.alias("state"), F.timestamp_seconds("at").alias("ts")).withWatermark("ts", lateness)
     # strictly more than STALE_AFTER without a sign
-    return d.groupBy("id", F.session_window("ts", f"{STALE_AFTER} seconds")).agg(F.max("at").alias("seen_at")).drop(
-        "session_window"
-    )
+    g = d.groupBy("id", F.session_window("ts", f"{STALE_AFTER} seconds")).agg(F.max(F.struct("at", "state")).alias("last"))
+    return g.where("last.state = 'running'").select("id", F.col("last.at").alias("seen_at"))
 
 
 def stream_job_alerts(log: DataFrame, lateness: str = "1 minute") -> DataFrame:
