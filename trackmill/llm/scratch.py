@@ -6,6 +6,7 @@ executors that made it, is columnar, and can be dropped as soon as it is used up
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from urllib.parse import urlparse
 
@@ -13,9 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trackmill.session import shared_folder
 
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for as long as a table is written."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """A folder of Parquet tables for one run of one operator."""
 
@@ -26,15 +42,8 @@ class Scratch:
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         """Write df as table `name` and return the written table; its shuffle files go at once."""
-        before = self.spark.conf.get(CLEAN, None)
-        self.spark.conf.set(CLEAN, "true")
-        try:
+        with setting(self.spark, CLEAN, "true"):
             df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
-        finally:
-            if before is None:
-                self.spark.conf.unset(CLEAN)
-            else:
-                self.spark.conf.set(CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trackmill.llm import repeats
 from trackmill.llm.arrays import Sums, byte_values, signed, text_blocks
-from trackmill.llm.scratch import Scratch
+from trackmill.llm.scratch import CLEAN, ORDERED, Scratch, setting
 
 WINDOW = 50
 PREFIX = 24
@@ -98,9 +98,13 @@ class Index:
         if merged:
             dealt = dealt.groupBy("k", "u").agg(F.min(F.struct("rid", "lo", "n")).alias("e")).select("e.rid", "k", "u", "e.lo", "e.n")
         dealt = dealt.sortWithinPartitions("k", "u", "rid", "lo")
-        dealt.write.format("parquet").option("compression", "zstd").option("path", f"{self.scratch.root}/{table}").bucketBy(self.buckets, "k").sortBy("k").saveAsTable(table)
+        with setting(self.spark, CLEAN, "true"), setting(self.spark, ORDERED, "true"):
+            self._save(dealt, table)
         return table
 
+    def _save(self, dealt: DataFrame, table: str) -> None:
+        dealt.write.format("parquet").option("compression", "zstd").option("path", f"{self.scratch.root}/{table}").bucketBy(self.buckets, "k").sortBy("k").saveAsTable(table)
+
     def _drop(self, table: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self.scratch.drop(table)
@@ -111,16 +115,21 @@ class Index:
         new = self.spark.table(table)
         own = new.groupBy("k").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).filter("a < b").select("k")
         met = new.join(own, "k", "left_semi")
-        out = [self.scratch.save(f"met-{table}", met)]
-        for _, level in self.levels:
-            old = self.spark.table(level)
-            out.append(self.scratch.save(f"met-{table}-{level}", old.join(new.select("k"), "k", "left_semi").union(new.join(old.select("k"), "k", "left_semi"))))
+        with setting(self.spark, ORDERED, "true"):  # a bucket is one sorted file: the scans need no sort
+            out = self._scan(table, new, met)
         if last:
             self._drop(table)
         else:
             self._insert(1, table)
         return out
 
+    def _scan(self, table: str, new: DataFrame, met: DataFrame) -> list[DataFrame]:
+        out = [self.scratch.save(f"met-{table}", met)]
+        for _, level in self.levels:
+            old = self.spark.table(level)
+            out.append(self.scratch.save(f"met-{table}-{level}", old.join(new.select("k"), "k", "left_semi").union(new.join(old.select("k"), "k", "left_semi"))))
+        return out
+
     def _insert(self, size: int, table: str) -> None:
         while self.levels and self.levels[-1][0] == size:
             _, level = self.levels.pop()
