@@ -127,7 +127,7 @@ class Index:
         out = [self.scratch.save(f"met-{table}", met)]
         for _, level in self.levels:
             old = self.spark.table(level)
-            out.append(self.scratch.save(f"met-{table}-{level}", old.join(new.select("k"), "k", "left_semi").union(new.join(old.select("k"), "k", "left_semi"))))
+            out.append(self.scratch.save(f"met-{table}-{level}", old.join(new.select("k").hint("merge"), "k", "left_semi").union(new.join(old.select("k").hint("merge"), "k", "left_semi"))))
         return out
 
     def _insert(self, size: int, table: str) -> None:
