@@ -33,6 +33,15 @@ def test_readers(spark, tmp_path):
     s = rd.read_scores(spark, str(tmp_path / "many"), "prelabel").collect()
     assert sorted((r.video, r.score) for r in s) == [("ann/v1", 0.0), ("bob/20260101/deep/er/v1", 0.3), ("bob/20260101/v 1", 0.2), ("bob/v1", 0.1)]
 
+    put(tmp_path / "many/ann/v1/_ai_suggestions.json", json.dumps({"method": "m", "clips": {"shot_001.mp4": {"stars": 4, "reel": True, "scorer": "Al"}, "s2.mp4": {"stars": 2}}}))
+    put(tmp_path / "many/bob/v1/_ai_suggestions.json", json.dumps({"method": "m", "clips": {}}))
+    put(tmp_path / "many/bob/20260101/v 1/_ai_suggestions.json", "[")
+    s, rated = rd.read_suggestions(spark, str(tmp_path / "many"))
+    assert sorted(tuple(r) for r in s.collect()) == [("ann/v1", "s2.mp4", 2, False, None), ("ann/v1", "shot_001.mp4", 4, True, "Al")]
+    assert sorted(r.video for r in rated.collect()) == ["ann/v1", "bob/v1"]
+    put(tmp_path / "many/ann/v1/_players.json", json.dumps({"clips": {"a.mp4": {"group": "day-1-3", "suggested": "Al", "confidence": 0.5}, "b.mp4": {"group": None}, "c.mp4": {}}}))
+    assert [tuple(r) for r in rd.read_players(spark, str(tmp_path / "many")).collect()] == [("day-1", "day-1-3", "ann/v1", "a.mp4", "Al", None, 0.5)]
+
     put(tmp_path / "labels/labels.json", json.dumps({"me/v1/shot_1.mp4": {"label": "goal", "stars": 4}, "v2/shot_2.mp4": {"label": "no_goal", "source": "ai"}}, indent=2))
     lb = {r.video: r for r in rd.read_labels(spark, str(tmp_path / "labels")).collect()}
     assert (lb["me/v1"].clip, lb["me/v1"].stars, lb["v2"].source) == ("shot_1.mp4", 4, "ai")
@@ -57,6 +66,13 @@ def test_writers(spark, tmp_path):
     scores, done = wr.read_current(spark, out)
     assert sorted((r.video_id, r.clip) for r in scores.collect()) == [("a", "9"), ("c", "1")]
     assert {r.video_id: r.n_rows for r in done.collect()} == {"a": 1, "b": 0, "c": 1, "d": 0}
+    assert len(os.listdir(tmp_path / "out/rows")) <= wr.BUCKETS + 1
+    goals = spark.createDataFrame([("a", "1", 5), ("a", "2", 3)], "video string, clip string, stars int")
+    names = spark.createDataFrame([("a", "2", "Al"), ("a", "1", None)], "video string, clip string, suggested string")
+    wr.write_suggestions(goals, goals.limit(1), names, vids.withColumnRenamed("video_id", "video"), str(tmp_path / "sug"))
+    rows, rated = wr.read_current(spark, str(tmp_path / "sug"), "video")
+    assert sorted(tuple(r) for r in rows.select("video", "clip", "stars", "reel", "scorer").collect()) == [("a", "1", 5, True, None), ("a", "2", 3, False, "Al")]
+    assert rated.count() == 4
     ranked = spark.createDataFrame([(i, f"c{i}") for i in (3, 1, 2)], "rank int, clip string")
     wr.write_ranked_csv(ranked, str(tmp_path / "csv"), ["rank", "clip"])
     lines = [l for f in sorted(os.listdir(tmp_path / "csv")) if f.endswith(".csv") for l in (tmp_path / "csv" / f).read_text().splitlines()]

@@ -135,6 +135,31 @@ def read_scores(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return d.select(F.lit(kind).alias("kind"), "video", "clip", "score").where("score is not null")
 
 
+SUGGESTION_TYPE = "STRUCT<stars: INT, reel: BOOLEAN, scorer: STRING>"
+PLAYER_TYPE = "STRUCT<`group`: STRING, suggested: STRING, suggested_how: STRING, confidence: DOUBLE>"
+
+
+def _clip_documents(spark: SparkSession, path: str, name: str, entry: str) -> DataFrame:
+    """(video, clips): the documents with a map of clips under "clips"; unreadable ones are skipped."""
+    d = _hidden_documents(spark, path, name)
+    clips = F.from_json("value", f"clips MAP<STRING, {entry}>")["clips"]
+    return d.select(F.col("rel").alias("video"), clips.alias("clips")).where("clips is not null")
+
+
+def read_suggestions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(video, clip, stars, reel, scorer) and the rated recordings (video), those without a suggestion included."""
+    d = _clip_documents(spark, path, "_ai_suggestions.json", SUGGESTION_TYPE)
+    rows = d.select("video", F.explode("clips").alias("clip", "e"))
+    return rows.select("video", "clip", "e.stars", F.coalesce("e.reel", F.lit(False)).alias("reel"), "e.scorer"), d.select("video").distinct()
+
+
+def read_players(spark: SparkSession, path: str) -> DataFrame:
+    """(session, group, video, clip, suggested, suggested_how, confidence) of clips that belong to a group."""
+    rows = _clip_documents(spark, path, "_players.json", PLAYER_TYPE).select("video", F.explode("clips").alias("clip", "e"))
+    session = F.regexp_replace("e.group", "-[^-]*$", "").alias("session")
+    return rows.where("e.group <> ''").select(session, "e.group", "video", "clip", "e.suggested", "e.suggested_how", "e.confidence")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(video, clip, label, ...) from a JSON map of video/clip -> entry."""
     d = _documents(spark, path, "*.json").select(F.explode(F.from_json("value", f"MAP<STRING, {LABEL_TYPE}>")).alias("key", "e"))

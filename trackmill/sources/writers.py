@@ -1,16 +1,20 @@
-"""Partitioned outputs. Every writer replaces only the recordings it was given."""
+"""Outputs by recording. Every writer replaces only the recordings it was given.
+
+Rows are appended under the number of their run, in a fixed number of hash buckets, so neither
+folders nor files grow with the number of recordings and a large recording is split over
+tasks. A second table says which recordings a run covered; readers take each recording's last
+run. A run whose second table was not written counts for nothing.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def replace_video_outputs(df: DataFrame, path: str, video: str = "video_id") -> None:
-    """Overwrite the partitions of the recordings in df and leave all others alone."""
-    df.repartition(video).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(video).parquet(path)
+BUCKETS = 64
 
 
 def processed_videos(videos: DataFrame, rows: DataFrame, method: str, video: str = "video_id") -> DataFrame:
@@ -21,22 +25,38 @@ def processed_videos(videos: DataFrame, rows: DataFrame, method: str, video: str
     )
 
 
+def replace_video_outputs(rows: DataFrame, videos: DataFrame, path: str, method: str, video: str = "video_id") -> None:
+    """Make rows the current output of the recordings in videos, rows or not, and leave all others alone."""
+    run = F.lit(time.time_ns()).alias("run")
+    bucket = F.pmod(F.xxhash64(video), F.lit(BUCKETS)).alias("bucket")
+    dealt = rows.select("*", run, bucket).hint("rebalance", "bucket")
+    dealt.write.mode("append").partitionBy("bucket").parquet(f"{path}/rows")
+    processed_videos(videos, rows, method, video).select("*", run).write.mode("append").parquet(f"{path}/processed")
+
+
 def write_scores(scores: DataFrame, videos: DataFrame, path: str, method: str, video: str = "video_id") -> None:
-    """Scores by recording, plus which recordings were processed.
+    """Scores by recording, plus which recordings were processed: "nothing found" differs from "not done"."""
+    replace_video_outputs(scores, videos, path, method, video)
+
+
+def write_suggestions(goals: DataFrame, in_reel: DataFrame, names: DataFrame, videos: DataFrame, path: str, method: str = "suggestions-v1") -> None:
+    """What is suggested for each likely goal: goals(video, clip, stars), in_reel(video, clip), names(video, clip, suggested).
 
-    A recording without rows has no partition to replace, so the processed table
-    is what tells "nothing found" from "not done"; its old rows are voided by the
-    count of zero (see read_current).
+    Every recording in videos counts as rated, also without goals.
     """
-    replace_video_outputs(scores, f"{path}/scores", video)
-    replace_video_outputs(processed_videos(videos, scores, method, video), f"{path}/processed", video)
+    on = ["video", "clip"]
+    used = in_reel.select(*on).distinct().withColumn("reel", F.lit(True))
+    named = names.where("suggested is not null").groupBy(*on).agg(F.max("suggested").alias("scorer"))
+    rows = goals.select(*on, "stars").join(used, on, "left").join(named, on, "left")
+    replace_video_outputs(rows.select(*on, "stars", F.coalesce("reel", F.lit(False)).alias("reel"), "scorer"), videos, path, method, "video")
 
 
 def read_current(spark, path: str, video: str = "video_id") -> tuple[DataFrame, DataFrame]:
-    """(scores of recordings whose last run found any, processed recordings)."""
-    done = spark.read.parquet(f"{path}/processed")
-    scores = spark.read.parquet(f"{path}/scores")
-    return scores.join(done.where("n_rows > 0").select(video), video, "left_semi"), done
+    """(rows of each recording's last run, processed recordings)."""
+    runs = spark.read.parquet(f"{path}/processed").groupBy(video).agg(F.max(F.struct("run", "method", "n_rows")).alias("last"))
+    done = runs.select(video, "last.method", "last.n_rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.join(runs.select(video, "last.run"), [video, "run"], "left_semi").drop("run", "bucket"), done
 
 
 def write_ranked_csv(ranked: DataFrame, path: str, columns: Sequence[str], order: str = "rank") -> None:
