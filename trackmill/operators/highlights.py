@@ -129,17 +129,22 @@ def _weighted(weights, number: Column) -> Column:
     return F.lit(weights[-1][0]) if out is None else out.otherwise(weights[-1][0])
 
 
-def reel_edit_list(candidates: DataFrame, videos: DataFrame, variant: str, seed: int, count: int | None = None) -> DataFrame:
+def reel_edit_list(candidates: DataFrame, videos: DataFrame, variant: str, seed: int, count: int | None = None, spread_s: float | None = None) -> DataFrame:
     """Clips of one reel per session, in playing order, with timing, effect and rim position.
 
     candidates needs reel_pos and make; videos(video, x1..y2, w, h) holds the rim
-    in pixels. At most `count` rows per session remain before anything is
+    in pixels. With spread_s (of "top_plays"; candidates then need at_s) the clips are
+    picked from every spread_s seconds of the session and play in its order.
+    At most `count` rows per session remain before anything is
     collected, so the no-two-slow-effects rule folds over a short array.
     """
     v = VARIANTS[variant]
     count = count or v["count"]
     key = [F.col("video"), F.col("clip")]
-    if variant == "fast_cut":
+    if variant == "top_plays" and spread_s:
+        d = spread_picks(candidates.withColumn("pos", F.col("reel_pos")), spread_s, count)
+        play = ["at_s", "pick_pos"]
+    elif variant == "fast_cut":
         n = candidates.groupBy("session").agg(F.count("*").alias("_n"))
         pool = F.greatest(F.lit(count + POOL_EXTRA), F.bround(F.col("_n") * POOL_SHARE).cast("bigint"))
         d = candidates.join(n, "session").where(F.col("reel_pos") <= pool).withColumn("_d", draw(seed, *key))

@@ -202,11 +202,20 @@ def _pick(weights, number):
     return out + " END"
 
 
-def _edit_sql(variant, seed):
+SPREAD_S = 1800
+
+
+def _edit_sql(variant, seed, spread=False):
     """Sequential restatement of the edit list: a recursive walk over positions."""
     v = highlights.VARIANTS[variant]
     calm = [e for e in v["effects"] if e[0] not in highlights.SLOW_EFFECTS]
-    if variant == "fast_cut":
+    if spread:
+        late = "CASE WHEN r <= 3 THEN 0 ELSE 1 END, CASE WHEN r <= 3 THEN r ELSE 0 END, CASE WHEN r <= 3 THEN at_s // 1800 ELSE reel_pos END"
+        pick = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY {late}) AS k
+          FROM (SELECT *, row_number() OVER (PARTITION BY session, at_s // {SPREAD_S} ORDER BY reel_pos) AS r
+            FROM (SELECT *, clip * 13 % 7200 AS at_s FROM reel))) WHERE k <= {v['count']}"""
+        play = "at_s, k"
+    elif variant == "fast_cut":
         pick = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY {_draw(seed)}, video, clip) AS k
           FROM (SELECT *, count(*) OVER (PARTITION BY session) AS n FROM reel)
           WHERE reel_pos <= greatest({v['count'] + 6}, round_even(0.2 * n, 0))) WHERE k <= {v['count']}"""
@@ -229,14 +238,20 @@ SELECT session, position, video, clip, CAST(clip % 60 AS DOUBLE) AS make, CAST({
   CAST({v['post']} AS DOUBLE) AS post, rim_x, rim_y, {last} AS effect FROM walk"""
 
 
-def _edit(spark, d, variant, seed):
+def _edit(spark, d, variant, seed, spread_s=None):
     cal = calibrations(spark, d)
     rims = cal.select(
         F.concat(F.lit("src"), F.col("video_id").cast("string")).alias("video"),
         *[(F.col(c) * F.col(s) * 0.99731).alias(c) for c, s in (("x1", "w"), ("y1", "h"), ("x2", "w"), ("y2", "h"))], "w", "h",
     )
     cand = reel(spark, d).withColumn("make", (F.col("clip") % 60).cast("double"))
-    return highlights.reel_edit_list(cand, rims, variant, seed)
+    return highlights.reel_edit_list(cand.withColumn("at_s", (F.col("clip") * 13 % 7200).cast("double")), rims, variant, seed, spread_s=spread_s)
+
+
+@query("reel_spread", _edit_sql("top_plays", 14, spread=True))
+def reel_spread(spark, d):
+    """Best goals of every half hour, in the session's order."""
+    return _edit(spark, d, "top_plays", 14, float(SPREAD_S))
 
 
 @query("reel_top_plays", _edit_sql("top_plays", 11))
