@@ -258,6 +258,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS,
         done = compared.select("a", "b").distinct() if done is None else done.union(compared.select("a", "b").distinct())
         links = links.union(compared.filter("good").select("a", "b"))
         labels = components(links, scratch, f"classes-{r}")
+    scratch.drop("nodes", "same", "buckets", "sequences", *(f"{kind}-{r}" for kind in ("open", "pairs", "compared") for r in range(rounds + 1)))
     named = rows.select("doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("class_id", F.coalesce("class", "doc_id"))
     return named.select("doc_id", "class_id")
 

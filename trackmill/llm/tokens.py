@@ -181,7 +181,10 @@ def _write_shard(folder: str, shard: int, rows: Iterator[tuple[int | None, bytes
     with store.open_output_stream(f"{root}/.{own}.ef") as out:
         out.write(index)
     for end in ("ids", "ef"):
-        store.move(f"{root}/.{own}.{end}", f"{root}/shard-{shard:05d}.{end}")
+        target = f"{root}/shard-{shard:05d}.{end}"
+        if store.get_file_info(target).type == fs.FileType.File:  # of an attempt whose executor was lost
+            store.delete_file(target)
+        store.move(f"{root}/.{own}.{end}", target)
     return len(ends), total
 
 
