@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackmill.llm.arrays import mix
+
 TREES = 8
 SAMPLE_ROWS = 20_000
 LEAF_ROWS = 64
@@ -114,8 +116,8 @@ def _matrix(lists) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 1)
 
 
-def _cells(trees: list[Tree]):
-    """The leaf of every row in every tree."""
+def _cells(trees: list[Tree], chunks: list[np.ndarray]):
+    """The leaf of every row in every tree, and its chunk of the leaf."""
 
     def run(batches):
         for batch in batches:
@@ -123,7 +125,8 @@ def _cells(trees: list[Tree]):
             packed = pa.array([r.tobytes() for r in x], pa.binary())
             for t, tree in enumerate(trees):
                 leaf = tree.leaf(x.astype(np.float64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(leaf), ids, packed], names=["tree", "leaf", "id", "v"])
+                chunk = (mix(ids.to_numpy().view(np.uint64)) % chunks[t][leaf].astype(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(leaf), pa.array(chunk), ids, packed], names=["tree", "leaf", "chunk", "id", "v"])
 
     return run
 
@@ -184,10 +187,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()["v"].combine_chunks()
     sample = _matrix(sample).astype(np.float64)
     forest = [Tree(sample, leaf_rows, seed) for seed in range(trees)]
-    cells = vectors.mapInArrow(_cells(forest), "tree long, leaf long, id long, v binary")
     counts = [np.zeros(t.leaves) for t in forest]
     for r in vectors.select("id", "v").mapInArrow(_count(forest), "tree long, leaf long, c long").groupBy("tree", "leaf").agg(F.sum("c").alias("c")).collect():
         counts[r["tree"]][r["leaf"]] = r["c"]  # at most trees * sample_rows / leaf_rows * 2 rows
+    chunks = [np.maximum(1, -(-c.astype(np.int64) // CHUNK_ROWS)) for c in counts]
+    cells = vectors.mapInArrow(_cells(forest, chunks), "tree long, leaf long, chunk long, id long, v binary")
     share = max(share, min(1.0, least_rows / rows))
     groups = max(1, -(-rows * trees // GROUP_ROWS))
 
@@ -196,18 +200,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, trees: int = TR
             x = _matrix(batch.column("v"))
             for i, query in enumerate(batch.column("id").to_pylist()):
                 leaves = visited(forest, counts, rows, x[i].astype(np.float64), share)
-                chunks = [max(1, -(-int(counts[t][leaf]) // CHUNK_ROWS)) for t, leaf in leaves]
-                t, leaf = (np.repeat([v[j] for v in leaves], chunks) for j in (0, 1))
-                chunk = np.concatenate([np.arange(c) for c in chunks])
+                parts = [int(chunks[t][leaf]) for t, leaf in leaves]
+                t, leaf = (np.repeat([v[j] for v in leaves], parts) for j in (0, 1))
+                chunk = np.concatenate([np.arange(c) for c in parts])
                 packed = pa.array([x[i].tobytes()] * len(t), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(leaf), pa.array(chunk), pa.array(np.full(len(t), query)), packed], names=["tree", "leaf", "chunk", "id", "v"])
 
     asked = queries.repartition(F.col("id")).mapInArrow(search, "tree long, leaf long, chunk long, id long, v binary")
-    big = {(t, leaf): -(-int(c) // CHUNK_ROWS) for t, per in enumerate(counts) for leaf, c in enumerate(per) if c > CHUNK_ROWS}
-    chunks = F.lit(1)
-    for (t, leaf), c in big.items():
-        chunks = F.when((F.col("tree") == t) & (F.col("leaf") == leaf), c).otherwise(chunks)
-    cells = cells.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks))
     parts = max(1, -(-queries.count() // CHUNK_QUERIES))
     group = F.pmod(F.xxhash64("tree", "leaf", "chunk"), F.lit(groups)).alias("g")
     cells = cells.select(group, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "tree", "leaf", "id", "v")
