@@ -73,11 +73,12 @@ class Least:
         return out
 
 
-def resolve(rows: DataFrame, docs: DataFrame, units: Callable, length: int, within: bool, scratch: Scratch) -> DataFrame:
+def resolve(rows: DataFrame, docs: DataFrame, units: Callable, length: int, within: bool, scratch: Scratch, slices: int = 1) -> DataFrame:
     """Covered windows as (rid, lo, n), from the rows whose k occurs more than once.
 
     units gives of a block of texts the values of its units for either fingerprint and where the
     texts' units begin; within: whether an earlier window of the same document counts.
+    The edges are opened in `slices` parts of all anchors, one after the other, to bound the disk in use.
     """
     first = F.min(F.struct("rid", "lo")).alias("first")
     contexts = rows.groupBy("k", "u").agg(first, F.max("n").alias("n"))
@@ -87,11 +88,10 @@ def resolve(rows: DataFrame, docs: DataFrame, units: Callable, length: int, with
     known = scratch.save("covered", rows.join(earlier, ["k", "u"]).filter(later).select("rid", "lo", "n"))
     # edges: several contexts around one anchor, the first row of each stands for all
     several = contexts.groupBy("k").agg(F.count("*").alias("c")).filter("c > 1").select("k")
-    edges = contexts.join(several, "k")
+    edges = contexts.join(several, "k").select("k", "rid", "lo", "n")
     if not within:  # without a match inside documents, later rows of the first document need a look too
         again = rows.join(contexts.select("k", "u", "rid", F.col("lo").alias("l1")), ["k", "u", "rid"]).filter(F.col("lo") > F.col("l1"))
-        edges = edges.select("rid", "lo", "n").union(again.join(several, "k").select("rid", "lo", "n"))
-    places = edges.groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("places"))
+        edges = edges.union(again.join(several, "k").select("k", "rid", "lo", "n"))
 
     def windows(batches):
         for batch in batches:
@@ -113,12 +113,16 @@ def resolve(rows: DataFrame, docs: DataFrame, units: Callable, length: int, with
                     [pa.array(found[0]), pa.array(found[1]), pa.array(rid[a:b][text]), pa.array(at.astype(np.int32))], names=["w1", "w2", "rid", "lo"]
                 )
 
-    wanted = docs.select("rid", "text").join(places, "rid")
-    opened = scratch.save("windows", wanted.mapInArrow(windows, "w1 long, w2 long, rid long, lo int"))
-    firsts = opened.groupBy("w1", "w2").agg(first, F.count("*").alias("c")).filter("c > 1").select("w1", "w2", F.col("first.rid").alias("r1"), F.col("first.lo").alias("l1"))
-    single = scratch.save("single", opened.join(firsts, ["w1", "w2"]).filter(later).select("rid", "lo", F.lit(1).alias("n")).distinct())
-    scratch.drop("contexts", "windows")
-    return known.union(single)
+    for i in range(slices):  # equal windows have equal anchors, so a slice of anchors stands alone
+        places = edges.filter(F.pmod("k", F.lit(slices)) == i).groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("places"))
+        wanted = docs.select("rid", "text").join(places, "rid")
+        opened = scratch.save(f"windows-{i}", wanted.mapInArrow(windows, "w1 long, w2 long, rid long, lo int"))
+        firsts = opened.groupBy("w1", "w2").agg(first, F.count("*").alias("c")).filter("c > 1").select("w1", "w2", F.col("first.rid").alias("r1"), F.col("first.lo").alias("l1"))
+        single = scratch.save(f"single-{i}", opened.join(firsts, ["w1", "w2"]).filter(later).select("rid", "lo", F.lit(1).alias("n")).distinct())
+        known = known.union(single)
+        scratch.drop(f"windows-{i}")
+    scratch.drop("contexts")
+    return known
 
 
 def covered(lo: np.ndarray, n: np.ndarray, length: int, units: int) -> np.ndarray:

@@ -32,6 +32,7 @@ from trackmill.llm.scratch import CLEAN, ORDERED, Scratch, setting
 WINDOW = 50
 PREFIX = 24
 BATCHES = 4
+SLICES = 4
 BUCKET_BYTES = 16 << 20
 
 
@@ -91,6 +92,7 @@ class Index:
         self.name = f"suffixes_{uuid.uuid4().hex}"
         self.levels: list[tuple[int, str]] = []  # batches merged, table
         self.made = 0
+        self.met: list[str] = []
 
     def _write(self, rows: DataFrame, merged: bool = False) -> str:
         table, self.made = f"{self.name}_{self.made}", self.made + 1
@@ -123,8 +125,14 @@ class Index:
             self._insert(1, table)
         return out
 
+    def forget(self) -> None:
+        """Drop what add() has returned."""
+        self.scratch.drop(*self.met)
+        self.met = []
+
     def _scan(self, table: str, new: DataFrame, met: DataFrame) -> list[DataFrame]:
         out = [self.scratch.save(f"met-{table}", met)]
+        self.met += [f"met-{table}", *(f"met-{table}-{level}" for _, level in self.levels)]
         for _, level in self.levels:
             old = self.spark.table(level)
             out.append(self.scratch.save(f"met-{table}-{level}", old.join(new.select("k").hint("merge"), "k", "left_semi").union(new.join(old.select("k").hint("merge"), "k", "left_semi"))))
@@ -164,7 +172,9 @@ def remove_earlier(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
             some = met if some is None else some.union(met)
     index.close()
     some = scratch.save("some", some.distinct())
-    found = repeats.resolve(some, docs, byte_units, window, False, scratch)
+    index.forget()
+    found = repeats.resolve(some, docs, byte_units, window, False, scratch, SLICES)
+    scratch.drop("some")
 
     def measure(data: np.ndarray, lo: np.ndarray, n: np.ndarray):
         gone = repeats.covered(lo, n, window, len(data)) if len(lo) else np.zeros(len(data), dtype=bool)
