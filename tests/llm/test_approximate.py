@@ -86,6 +86,21 @@ def test_near_copies(make_docs, odd_docs):
     assert near_dups.near_dups(make_docs()).count() == 0
 
 
+@pytest.mark.parametrize(("every", "scattered", "most"), [(9, True, 0.002), (9, False, 0.02), (15, True, 0.001), (15, False, 0.001)])
+def test_sketches_of_pairs_at_the_threshold(every, scattered, most):
+    """Lone pairs with one word in nine or fifteen replaced share a sketch, whether edits are random or evenly spread."""
+    rng, texts = random.Random(3), []
+    for _ in range(1000):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        b = list(a)
+        for k in rng.sample(range(200), 200 // every) if scattered else range(rng.randrange(every), 200, every):
+            b[k] = f"z{rng.randrange(10**6)}"
+        texts += [" ".join(a).encode(), " ".join(b).encode()]
+    prints, before = near_dups.shingles(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), near_dups.SHINGLE)
+    keys = near_dups.sketches(prints, before)
+    assert (~(keys[0::2] == keys[1::2]).any(axis=1)).mean() <= most
+
+
 def test_chain_of_copies(make_docs):
     """Links a-b and b-c make one class even if a and c are not alike."""
     words = [f"w{i}" for i in range(200)]
