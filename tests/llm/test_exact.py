@@ -162,6 +162,17 @@ def test_licenses(spark, make_docs, odd_docs):
     assert part["labels"] == "mit" and part["score"] == pytest.approx(14 / 15)
 
 
+def test_licenses_wrapped(make_docs):
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. */"
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published"
+    far = "Redistribution and use in source and binary\n" + "other words in between " * 10 + "\nforms with or without modification are permitted"
+    texts = [bsd, mpl, lgpl, far, "word " * 50 + bsd.replace(" ", "\r\n") + " word" * 50]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(make_docs(*enumerate(texts))).collect()}
+    assert got[0] == ("bsd", 1.0) and got[1] == ("mpl", 1.0) and got[3] == ("", 0.0) and got[4] == ("bsd", 1.0)
+    assert "lgpl" in got[2][0].split(",")
+
+
 def test_licenses_sql(spark):
     assert diff(licenses.scan(spark.read.parquet(f"{SF}/documents.parquet")), connect(SF), licenses.sql()) is None
 

@@ -1,8 +1,10 @@
 """License scans: license phrases, and text blocks that contain a license notice by set similarity.
 
 Base labels come from phrases of consecutive words. The method's labels come from an exact
-set-similarity join of text blocks (lines) with notice templates: a block matches if it holds at
-least `threshold` of a template's distinct words. Words are ordered by how many blocks of the
+set-similarity join of text blocks with notice templates: a block matches if it holds at least
+`threshold` of a template's distinct words. Blocks are lines, and, so that line breaks do not matter,
+all windows of WIDTH times a template's length in consecutive words of the text; they are looked
+at in texts that as a whole hold enough of the template's words. For lines, words are ordered by how many blocks of the
 whole corpus hold them, rarest first; then only a template's first words (its prefix) need be
 looked up, as a match must share one of them, a block needs enough words (length filter), and
 at a shared word enough words must be left on both sides (positional filter). Survivors are verified.
@@ -19,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Words of a window for each word of a template.
+WIDTH = 2
 
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -41,10 +45,13 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def all_words(text: str) -> list[str]:
+    return "".join(c.lower() if c.isascii() and c.isalnum() else " " if c.isascii() else c for c in text).split()
+
+
 def template_words(text: str) -> list[str]:
     """Distinct words in order of appearance."""
-    kept = "".join(c.lower() if c.isascii() and c.isalnum() else " " if c.isascii() else c for c in text)
-    return list(dict.fromkeys(kept.split()))
+    return list(dict.fromkeys(all_words(text)))
 
 
 def words(text: Column) -> Column:
@@ -76,6 +83,17 @@ def _places(phrase: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<int>"))
 
 
+def _most_shared(template: list[str], length: int, need: int) -> Column:
+    """The most of the template's words in a window of `length` of `words`, null if all of them hold less than needed.
+
+    A best window can start at a word of the template.
+    """
+    own = _strings(template)
+    starts = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(own, w), i)), lambda i: i.isNotNull())
+    shared = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("words", i + 1, length), own))))
+    return F.when(F.size(F.array_intersect("held", own)) >= need, shared)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """Each text's lines."""
     return docs.select("*", F.explode(F.split("t", "\n")).alias("line"))
@@ -99,6 +117,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     score: the largest share of a template's words found in one block, if at least threshold, and 1 with a phrase.
     """
     sets = [(label, template_words(text)) for label, text in templates]
+    lengths = [WIDTH * len(all_words(text)) for (_, ws), (_, text) in zip(sets, templates, strict=True) if ws]
     sets = [(label, ws) for label, ws in sets if ws]
     rank = rank_words(docs, sorted({w for _, ws in sets for w in ws}))
     index, prefix = [], {"license"}
@@ -118,13 +137,19 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     )
     found = {label: _places(phrase) for phrase, label in PHRASES.items()}
     busy = marked.filter("busy").select(F.monotonically_increasing_id().alias("row"), "doc_id", "t", words(F.col("t")).alias("words"))
-    busy = busy.select("row", "doc_id", "t", F.size("words").cast("long").alias("n_words"), F.struct(*(places.alias(label) for label, places in found.items())).alias("at"))
+    busy = busy.withColumn("held", F.array_intersect("words", _strings(sorted(rank))))
+    windows = (
+        F.struct(F.lit(label).alias("label"), (_most_shared(ws, length, least_shared(len(ws), threshold)) / len(ws)).alias("part"), F.lit(least_shared(len(ws), threshold) / len(ws)).alias("need"))
+        for (label, ws), length in zip(sets, lengths, strict=True)
+    )
+    wide = F.filter(F.array(*windows), lambda m: m["part"] >= m["need"]) if sets else F.array().cast("array<struct<label:string,part:double,need:double>>")
+    busy = busy.select("row", "doc_id", "t", wide.alias("wide"), F.size("words").cast("long").alias("n_words"), F.struct(*(places.alias(label) for label, places in found.items())).alias("at"))
     every = F.concat(*(F.col(f"at.{label}") for label in found))
     labels = F.concat(*(F.when(F.size(f"at.{label}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for label in found))
-    busy = busy.select("row", "doc_id", "t", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), labels.alias("base"))
+    busy = busy.select("row", "doc_id", "t", "wide", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), labels.alias("base"))
     ranks = F.create_map(*(x for w, r in rank.items() for x in (F.lit(w), F.lit(r))))
     held = F.array_intersect(F.split(F.translate("line", UPPER, LOWER), NOT_WORD), _strings(sorted(rank)))
-    blocks = _lines(busy).select("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", F.array_sort(F.transform(held, lambda w: F.element_at(ranks, w))).alias("ranks"))
+    blocks = _lines(busy).select("row", "doc_id", "wide", "n_words", "n_base", "first_word", "last_word", "base", F.array_sort(F.transform(held, lambda w: F.element_at(ranks, w))).alias("ranks"))
     matches = F.array().cast("array<struct<label:string,score:double>>")
     entry = lambda e: F.struct(*(F.lit(x).alias(n) for x, n in zip(e, ("i", "rank", "at", "size", "need"), strict=True)))
     starts = F.array(*map(entry, index))
@@ -142,10 +167,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     verified = F.transform("candidates", lambda i: F.struct(F.get(table, i)["label"].alias("label"), F.size(F.array_intersect(F.col("ranks"), F.get(table, i)["words"])).alias("shared"), F.size(F.get(table, i)["words"]).alias("size"), F.get(table, i)["need"].alias("need")))
     matches = F.filter(verified, lambda m: m["shared"] >= m["need"])
     blocks = blocks.withColumn("matches", matches)
-    one = blocks.select("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", F.transform("matches", lambda m: m["label"]).alias("more"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["shared"] / m["size"])), F.lit(0.0)).alias("part"))
-    per_doc = one.groupBy("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base").agg(
+    one = blocks.select("row", "doc_id", "wide", "n_words", "n_base", "first_word", "last_word", "base", F.transform("matches", lambda m: m["label"]).alias("more"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["shared"] / m["size"])), F.lit(0.0)).alias("part"))
+    per_doc = one.groupBy("row", "doc_id", "wide", "n_words", "n_base", "first_word", "last_word", "base").agg(
         F.array_distinct(F.flatten(F.collect_set("more"))).alias("more"), F.max("part").alias("part")
     )
+    per_doc = per_doc.withColumn("more", F.array_union("more", F.transform("wide", lambda m: m["label"])))
+    per_doc = per_doc.withColumn("part", F.greatest("part", F.array_max(F.transform("wide", lambda m: m["part"]))))
     full = per_doc.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", "more")), ",").alias("labels"), F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.col("part")).alias("score"),
@@ -154,7 +181,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
 
 
 def sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same result in DuckDB's SQL, by comparing every line with every template."""
+    """The result of lines alone in DuckDB's SQL, by comparing every line with every template; notices wrapped over lines are not in it."""
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     quoted = lambda ws: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ws) + "]"
     rows = ", ".join(f"('{label}', {quoted(template_words(text))}, {least_shared(len(template_words(text)), threshold)})" for label, text in templates)
