@@ -30,9 +30,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents are drawn by rates up to 1, so no document is repeated."""
+    """Operator 8: documents are drawn by rates up to 1, so no document is repeated, and as many tokens as meet the weights."""
     labels = mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.draw(docs, mixing.fit(docs, labels, most=1.0))
+    return mixing.draw(docs, mixing.fit(docs, labels, most=1.0, feasible=True))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,6 +186,18 @@ def test_mixing(spark, odd_docs, make_docs):
     assert mixing.mixing(make_docs(), labels).count() == 0
 
 
+def test_feasible_mix(spark, make_docs):
+    """Without repeats, 60 % high-quality tokens are drawn with so few others that the weights hold."""
+    rows = [(i, f"word{i} " * 10 if i % 5 < 3 else f"# x{i} ! " * 3 + "y") for i in range(4000)]
+    docs, labels = make_docs(*rows), spark.createDataFrame([(i, int(i % 5 < 3)) for i in range(4000)], "doc_id long, domain int")
+    mix = mixing.fit(docs, labels, most=1.0, feasible=True)
+    assert mix.residual < 1e-3
+    n = {i: len(t.split()) for i, t in rows}
+    drawn = [r["doc_id"] for r in mixing.draw(docs, mix).select("doc_id").collect()]
+    low = sum(n[i] for i in drawn if i % 5 >= 3) / sum(n[i] for i in drawn)
+    assert abs(low - 0.05) < 0.01 and len(drawn) == len(set(drawn)) and {i for i in n if i % 5 < 3} <= set(drawn)
+
+
 def test_pages(spark):
     page = (
         "<title>t</title><p>a <b>b</b>\n c<p>d<br>e<ul><li>x<li>y<ul><li>z</ul><li>w</ul><ol start=3><li>q<li>r</ol>"

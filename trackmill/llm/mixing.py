@@ -10,6 +10,12 @@
    A step moves x_i by -p_i' G^-1 r and clips it to [0, most]. Only r (a number per domain)
    travels between steps; a document's rate is a fold over the steps' vectors.
 
+With an upper bound of the rates the targets may be out of reach. The largest budget B whose
+targets B w can be met is the least of most * sum_i n_i max(0, l' p_i) over all l with l' w = 1
+(duality of linear programs); fit(feasible=True) lowers the budget to it. For two domains l is
+searched along its line, for others only the corners l = e_k / w_k are looked at, and `residual`
+of the mix says how far the expected totals are from the targets.
+
 Nulls: a null text counts as an empty one (no tokens; its rate follows from its posterior).
 Labels without a document, null labels and null ids are ignored; of several labels of one
 document the largest counts. Without any labels every rate is 1 and the posteriors are empty.
@@ -48,6 +54,13 @@ class Mix:
     targets: list[float] = field(default_factory=list)
     totals: list[float] = field(default_factory=list)
 
+    @property
+    def residual(self) -> float:
+        """The largest distance of a domain's expected share of the drawn tokens from the share wanted; nan if nothing is drawn."""
+        if not sum(self.totals) or not sum(self.targets):
+            return float("nan")
+        return float(np.abs(np.array(self.totals) / sum(self.totals) - np.array(self.targets) / sum(self.targets)).max())
+
 
 def _text(text: str) -> Column:
     return F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -122,19 +135,44 @@ def measure(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
     return scratch.save("stats", table.select("doc_id", F.col("s")[N_STATISTICS].cast("long").alias("n"), "s"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, weights: dict[int, float] = WEIGHTS, budget: float | None = None, most: float | None = None, text: str = "text") -> Mix:
+def fit(docs: DataFrame, labels: DataFrame, weights: dict[int, float] = WEIGHTS, budget: float | None = None, most: float | None = None, text: str = "text", feasible: bool = False) -> Mix:
     """Fit a mix to docs (doc_id and a text) and labels (doc_id, domain).
 
     weights: wanted share of tokens per domain; budget: expected tokens in total (default: as
-    many as there are); most: an upper bound of the rates.
+    many as there are); most: an upper bound of the rates; feasible: lower the budget to the largest
+    one that rates up to `most` can meet.
     """
     scratch = Scratch(docs.sparkSession)
-    mix = fit_table(measure(docs, scratch, text), labels, scratch, weights, budget, most)
+    mix = fit_table(measure(docs, scratch, text), labels, scratch, weights, budget, most, feasible)
     scratch.drop("stats")
     return mix
 
 
-def fit_table(table: DataFrame, labels: DataFrame, scratch: Scratch, weights: dict[int, float] = WEIGHTS, budget: float | None = None, most: float | None = None) -> Mix:
+def _largest_budget(soft: DataFrame, weights: np.ndarray, most: float) -> float:
+    """Upper bound of the tokens that rates up to `most` can draw by the weights; exact for two domains."""
+    d = len(weights)
+
+    def supports(lines: np.ndarray) -> np.ndarray:
+        along = lambda line: sum((F.col("p")[i] * _number(line[i]) for i in range(1, d)), F.col("p")[0] * _number(line[0]))
+        got = soft.agg(*(F.sum(F.col("n") * F.greatest(F.lit(0.0), along(line))).alias(f"h{k}") for k, line in enumerate(lines))).first()
+        return most * np.array([float(x) for x in got])
+
+    held = np.flatnonzero(weights > 0)
+    if not len(held):
+        return float("inf")
+    corners = np.zeros((len(held), d))
+    corners[np.arange(len(held)), held] = 1 / weights[held]
+    best = supports(corners).min()
+    if d == 2 and len(held) == 2:
+        a = np.concatenate([-np.geomspace(1e4, 1e-2, 24), [0.0], np.geomspace(1e-2, 1e4, 24)])
+        for _ in range(5):
+            h = supports(np.stack([a, (1 - a * weights[0]) / weights[1]], axis=1))
+            best, k = min(best, h.min()), int(h.argmin())
+            a = np.linspace(a[max(k - 1, 0)], a[min(k + 1, len(a) - 1)], 33)
+    return float(best)
+
+
+def fit_table(table: DataFrame, labels: DataFrame, scratch: Scratch, weights: dict[int, float] = WEIGHTS, budget: float | None = None, most: float | None = None, feasible: bool = False) -> Mix:
     """fit() for a table made by measure()."""
     n = N_STATISTICS
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain"))
@@ -162,7 +200,10 @@ def fit_table(table: DataFrame, labels: DataFrame, scratch: Scratch, weights: di
         moment = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) / total
         inverse = np.linalg.pinv(moment + 1e-12 * np.eye(d))
         shares = np.array([weights.get(k, 0.0) for k in mix.domains])
-        mix.targets = list(shares * ((budget if budget is not None else total) / total))
+        share = (budget if budget is not None else total) / total
+        if feasible and most is not None:
+            share = min(share, _largest_budget(soft, shares, most) / total)
+        mix.targets = list(shares * share)
         for _ in range(STEPS):
             x = _rate(mix, F.col("p"))
             got = soft.select("n", "p", x.alias("x")).agg(*(F.sum(F.col("n") * F.col("p")[i] * F.col("x")).alias(f"t{i}") for i in range(d))).first()
