@@ -211,6 +211,19 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p>let <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>tex</annotation></math> be", "let x+1 be"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><text>one</text><text>two</text></svg> end", "one two end"),
+    ("<div>a<svg/>b<math />c<svg width='1'><path d='x'/><g/><text>t</text></svg>d</div>e", "abc t d\ne"),
+    ("<svg><g><title/><path d=a/><text>in</text><p>after</p>tail", "in\n\nafter\n\ntail"),
+    ("<svg><foreignObject><p>x<br/>y</p></foreignObject><text><![CDATA[a > b]]></text></svg>", "x\ny\n\na > b"),
+    ("<desc>shown</desc>", "shown"),
+    ("<head><title>no</title>\n text of the page", "text of the page"),
+])
+def test_pages_foreign(page, want):
+    assert pages.text_of(page) == want
+
+
 def test_pages_words(spark):
     """Every visible word of the pages appears, in order; none of scripts and styles does."""
     import re

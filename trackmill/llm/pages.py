@@ -4,8 +4,9 @@ A tokenizer cuts the page into tags, text and comments; a tree builder keeps the
 closes those whose end tags may be left out (p before a block, li before li, td before tr, ...)
 and ignores stray end tags; the renderer walks the tree. Invisible are head, scripts, styles,
 templates and the like, elements with the attribute `hidden`, or a style of display:none or
-visibility:hidden, closed details but for their summary, and hidden inputs. All other text is
-kept, menus and footers included. Blocks stand on lines of their own, paragraphs, headings, lists
+visibility:hidden, closed details but for their summary, hidden inputs, what SVG keeps for reference (title, desc,
+defs, metadata, ...) and annotations of MathML. All other text is kept, menus, footers, formulas and labels
+of drawings included. Blocks stand on lines of their own, paragraphs, headings, lists
 and tables between blank lines; list items get "- " or their number, and are indented by depth;
 table cells are aligned in columns, two spaces apart; pre keeps its white space, elsewhere white
 space collapses.
@@ -34,7 +35,15 @@ HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)",
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-UNSEEN = frozenset("head script style template noembed noframes iframe title datalist object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template noembed noframes iframe title datalist object audio video canvas".split())
+#: Not shown inside svg and math; their tags may close themselves, but for those that hold HTML, and these tags of HTML end them.
+UNSEEN_FOREIGN = frozenset("title desc defs metadata symbol clippath mask pattern marker annotation annotation-xml".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong "
+    "strike sub sup table tt u ul var".split()
+)
+UNQUOTED = re.compile(r"=\s*[^\s\"'=]+\Z")
 BLOCKS = frozenset(
     "html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr legend li main menu nav ol p pre search section summary table ul option optgroup caption tr td th thead tbody tfoot".split()
@@ -52,10 +61,13 @@ IMPLIED = {
 
 
 class Node:
-    __slots__ = ("name", "attributes", "children")
+    __slots__ = ("name", "attributes", "children", "foreign")
+
+    def __init__(self, name: str, attributes: str = "", foreign: bool = False):
+        self.name, self.attributes, self.children, self.foreign = name, attributes, [], foreign
 
-    def __init__(self, name: str, attributes: str = ""):
-        self.name, self.attributes, self.children = name, attributes, []
+    def holds_foreign(self) -> bool:
+        return self.foreign and self.name not in HOLDS_HTML
 
     def attribute(self, name: str) -> str | None:
         if name not in self.attributes.lower():
@@ -66,7 +78,7 @@ class Node:
         return None
 
     def visible(self) -> bool:
-        if self.name in UNSEEN:
+        if self.name in UNSEEN or (self.foreign and self.name in UNSEEN_FOREIGN):
             return False
         if self.attributes:
             if self.attribute("hidden") is not None or HIDING.search(self.attribute("style") or ""):
@@ -112,6 +124,13 @@ def parse(page: str) -> Node:
         name = m[2]
         if name is None:
             text = m[0]
+            if text.startswith("<![CDATA[") and open_nodes[-1].holds_foreign():
+                stop = page.find("]]>", m.start())
+                open_nodes[-1].children.append(page[m.start() + 9 : stop if stop >= 0 else len(page)])
+                at = stop + 3 if stop >= 0 else len(page)
+                continue
+            if open_nodes[-1].name == "head" and not (text[0] == "<" and len(text) > 1) and text.strip(" \t\r\n\f"):
+                pop()
             if not (text[0] == "<" and len(text) > 1):
                 open_nodes[-1].children.append(html.unescape(text) if "&" in text else text)
             continue
@@ -133,6 +152,18 @@ def parse(page: str) -> Node:
             continue
         if name == "html":
             continue
+        if name in ENDS_FOREIGN:
+            while open_nodes[-1].holds_foreign():
+                pop()
+        if name in ("svg", "math") or open_nodes[-1].holds_foreign():
+            if open_nodes[-1].name == "head":
+                pop()
+            node = Node(name, m[3] or "", True)
+            open_nodes[-1].children.append(node)
+            if not node.attributes.endswith("/") or UNQUOTED.search(node.attributes):
+                open_nodes.append(node)
+                depth[name] = depth.get(name, 0) + 1
+            continue
         if name in CLOSE_P and depth.get("p"):
             close({"p"}, {"table", "td", "th", "button", "caption"})
         if name in IMPLIED:
@@ -255,7 +286,8 @@ def render(root: Node, tables: int = 0) -> list[str]:
                 children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
             stack += [("text", c) if isinstance(c, str) else ("node", c) for c in reversed(children)]
         else:
-            stack += [("text", c) if isinstance(c, str) else ("node", c) for c in reversed(node.children)]
+            apart = [("text", " ")] if node.foreign and name == "text" else []  # labels of a drawing stand apart
+            stack += [*apart, *(("text", c) if isinstance(c, str) else ("node", c) for c in reversed(node.children)), *apart]
     page.end()
     while page.lines and not page.lines[-1]:
         page.lines.pop()
