@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.llm import decontaminate, licenses, mixing, near_dups, neighbours, pages, substrings, suffixes, tokens, toxicity
+from trackmill.llm import counts, decontaminate, infill, licenses, mixing, near_dups, neighbours, pages, phrases, substrings, suffixes, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,18 @@ def op9_suffixes(spark, sf_dir):
 @query("op10_token_output")
 def op10_token_output(spark, sf_dir):
     return tokens.tokens(table(spark, sf_dir, "documents"), tokens.tokenizer_path())
+
+
+@query("op11_phrases", phrases.sql())
+def op11_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark, sf_dir):
+    return counts.count_tokens(table(spark, sf_dir, "documents"), counts.tokenizer_path(), counts.spaces_and_case)
+
+
+@query("op13_infill", infill.sql())
+def op13_infill(spark, sf_dir):
+    return infill.digests(table(spark, sf_dir, "documents"))
