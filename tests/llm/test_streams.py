@@ -83,7 +83,7 @@ def test_transform_of_many_words(monkeypatch):
 
 ODD_TEXTS = [
     "Hello  World", "hello world", " hello\tworld\r\n", "HELLO <|endoftext|> x", "hello <|ENDOFTEXT|> x", "H̱ T̈", "ẖ ẗ", "́a ́", "Don't DON'T don't", "İİ", "\x1c\x85a　b", "ǰ J̌",
-    "12,3%% x'll", "﻿\x00 a", "KK k",
+    "12,3%% x'll", "a<|endoftext|>b\t<|startoftext|>", "a\u2028b\xa0c\u200bd", "﻿\x00 a", "KK k",
 ]
 
 
@@ -97,18 +97,18 @@ def test_token_counts(spark, make_docs, odd_docs, tmp_path):
         n = len(plain.encode(r["text"] or "", add_special_tokens=False).ids)
         want.append((r["doc_id"], len((r["text"] or "").encode()), n, n > 2048))
     cache = str(tmp_path / "cache")
-    got = [tuple(r) for r in counts.count_tokens(docs, counts.tokenizer_path(), counts.spaces_and_case, cache).collect()]
+    got = [tuple(r) for r in counts.count_tokens(docs, counts.tokenizer_path(), counts.spaces_and_case, cache, apart=True).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     stored = spark.read.parquet(cache)
     assert stored.count() == stored.select("digest").distinct().count() < docs.select("text").distinct().count()
     # a second run finds all but the new text in the cache
     more = docs.union(make_docs((200, "a new text"), (201, "A  new text")))
-    assert counts.count_tokens(more, counts.tokenizer_path(), counts.spaces_and_case, cache).count() == docs.count() + 2
+    assert counts.count_tokens(more, counts.tokenizer_path(), counts.spaces_and_case, cache, apart=True).count() == docs.count() + 2
     assert spark.read.parquet(cache).count() == stored.count() + 1
     # stored counts are used as they are, also if one was stored twice; another version has its own
     spark.read.parquet(cache).selectExpr("version", "digest", "7L AS n_tokens").write.parquet(str(tmp_path / "sevens"))
     spark.read.parquet(str(tmp_path / "sevens")).write.mode("append").parquet(str(tmp_path / "sevens"))
-    sevens = counts.count_tokens(docs, counts.tokenizer_path(), counts.spaces_and_case, str(tmp_path / "sevens"))
+    sevens = counts.count_tokens(docs, counts.tokenizer_path(), counts.spaces_and_case, str(tmp_path / "sevens"), apart=True)
     assert {r["n_tokens"] for r in sevens.collect()} == {7} and sevens.count() == docs.count()
     own = counts.count_tokens(docs, counts.tokenizer_path(), folder=str(tmp_path / "sevens"))
     assert sorted((r["doc_id"], r["n_tokens"]) for r in own.filter("doc_id > 0").collect()) == sorted((w[0], w[2]) for w in want if (w[0] or 0) > 0)

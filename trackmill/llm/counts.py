@@ -8,7 +8,8 @@ one count, so
 1. every document is reduced to its digest (JVM-side);
 2. digests of this version that the cache lacks are the misses; of each, one content is kept,
    chosen within the map tasks before anything is exchanged;
-3. only these are encoded, and their counts are appended to the cache;
+3. only these are encoded, and their counts are appended to the cache; where a tokenizer treats the
+   words between white space one by one, a task encodes each distinct word once and adds up;
 4. documents meet their counts by digest; the digests of large groups of copies by broadcast
    (see meet), so no group of copies lands in one task.
 
@@ -26,15 +27,20 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackmill.llm.arrays import table_bytes, text_blocks, words_of
 from trackmill.llm.meet import meet
 from trackmill.llm.scratch import CLEAN, Scratch, setting
 
 LIMIT = 2048
 CACHE = "version string, digest binary, n_tokens long"
+WORD = ~table_bytes(b" \t\n\x0b\x0c\r")
+KEPT_WORDS = 500_000
+_WORDS: dict[str, dict[str, int]] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,13 +86,35 @@ def counter(tokenizer_file: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _encode(tokenizer_file: str):
+def by_word(column: pa.Array, count: Callable[[list[str]], list[int]], known: dict[str, int]) -> list[int]:
+    """Counts of whole texts as sums over their words, each distinct word being encoded once; known is kept and bounded."""
+    out = []
+    for _, _, data, offsets in text_blocks(pa.record_batch([column], names=["x"]), "x"):
+        starts, ends, at = words_of(data, offsets, WORD)
+        sizes = np.zeros(len(starts) + 1, dtype=np.int64)
+        np.cumsum(ends - starts, out=sizes[1:])
+        words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(sizes), pa.py_buffer(data[WORD[data]])).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        new = [w for w in distinct if w not in known]
+        for first in range(0, len(new), 4096):
+            part = new[first : first + 4096]
+            known.update(zip(part, count(part), strict=True))
+        total = np.zeros(len(starts) + 1, dtype=np.int64)
+        np.cumsum(np.array([known[w] for w in distinct], dtype=np.int64)[words.indices.to_numpy()], out=total[1:])
+        out += (total[at[1:]] - total[at[:-1]]).tolist()
+    return out
+
+
+def _encode(tokenizer_file: str, apart: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer_file)
         for batch in batches:
-            found = []
-            for first in range(0, batch.num_rows, 64):
-                found += count(batch.column("content").slice(first, 64).to_pylist())
+            if apart:
+                found = by_word(batch.column("content"), count, _WORDS.setdefault(tokenizer_file, {}))
+            else:
+                found = [n for first in range(0, batch.num_rows, 64) for n in count(batch.column("content").slice(first, 64).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(found, pa.int64())], names=["digest", "n_tokens"])
 
     return run
@@ -110,12 +138,13 @@ class Cache:
         counts.select(F.lit(self.version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(self.folder)
 
 
-def count_tokens(docs: DataFrame, tokenizer_file: str, normal: Callable[[Column], Column] = unchanged, folder: str | None = None, limit: int = LIMIT) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_file: str, normal: Callable[[Column], Column] = unchanged, folder: str | None = None, limit: int = LIMIT, apart: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document.
 
     normal maps texts to a form that has the same count. folder: where the cache is kept; by
-    default a new one, so that all distinct contents are misses. Building the result runs the jobs
-    that fill the cache.
+    default a new one, so that all distinct contents are misses. apart: the tokenizer drops white
+    space before it merges, so a text has the sum of its words' tokens (true of word_bpe_49k.json).
+    Building the result runs the jobs that fill the cache.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -129,7 +158,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, normal: Callable[[Column]
     one = named.select("digest", "content").dropDuplicates(["digest"])
     misses = one.join(stored.select("digest"), "digest", "left_anti")
     with setting(spark, CLEAN, "true"):
-        cache.append(misses.mapInArrow(_encode(tokenizer_file), "digest binary, n_tokens long"))
+        cache.append(misses.mapInArrow(_encode(tokenizer_file, apart), "digest binary, n_tokens long"))
 
     met = meet(rows, cache.read(), ["digest"])
     return met.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -85,7 +85,7 @@ def op11_phrases(spark, sf_dir):
 
 @query("op12_token_counts")
 def op12_token_counts(spark, sf_dir):
-    return counts.count_tokens(table(spark, sf_dir, "documents"), counts.tokenizer_path(), counts.spaces_and_case)
+    return counts.count_tokens(table(spark, sf_dir, "documents"), counts.tokenizer_path(), counts.spaces_and_case, apart=True)
 
 
 @query("op13_infill", infill.sql())
