@@ -8,11 +8,18 @@ up to DEPTH words need.
 
 Phrases grow by one word a round, to the right in the index of the reversed sequence and to the
 left in the other, in turn: the words within an interval of a transform are the extensions, and how
-often each stands there is the longer phrase's count. A shard sends every extension it finds; the counts
-are summed across shards, and phrases of at least `least` occurrences return to the shards that
-have them. A phrase is only looked for if both phrases it consists of, without its first and without
-its last word, have that count everywhere, since no longer phrase is more frequent. So nothing is
-lost: a shard's own count never decides.
+often each stands there is the longer phrase's count. A phrase is only looked for if both phrases it
+consists of, without its first and without its last word, have `least` occurrences everywhere, since no
+longer phrase is more frequent. Counts are then summed across shards in two steps:
+
+1. phrases are hashed to a number of values at least twice that of all bytes, and a shard sends the sorted
+   values, range by range, as packed gaps with their counts, about two bytes a phrase. Sums of a value
+   are never below the count of a phrase that has it, so values with less than `least` drop out;
+2. phrases of the other values are sent as they are and summed exactly, in one exchange that also
+   tells each shard which of its phrases go on.
+
+So nothing is lost: neither a shard's own count nor a hash ever decides that a phrase is frequent or
+that it is not. Shards are stored in buckets, so the rounds bring short lists to them and never move them.
 
 Everything else are joins over the frequent phrases: the scores of all cuts, the least of them, and
 what a longer phrase explains. No dictionary, phrase list or language passes through the driver or
@@ -25,6 +32,9 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +43,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackmill.llm.arrays import table_bytes, text_blocks, words_of
+from trackmill.llm.arrays import Sums, byte_values, mix, table_bytes, text_blocks, words_of
 from trackmill.llm.meet import meet
-from trackmill.llm.scratch import Scratch
+from trackmill.llm.scratch import CLEAN, Scratch, setting
 
 DEPTH = 4
 LEAST = 30
 KEEP = 2000
 EXPLAINED = 80
 SCALE = 2_000_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
+PART_BYTES = 12 << 20
+SPREAD = 32
+STEP = 1 << 19
 
 ENDS = table_bytes(b".,;:!?\n\x0b\x0c\r")
 WORD = ~(ENDS | table_bytes(b" \t"))
@@ -87,8 +101,10 @@ class Index:
     """Intervals of one direction: those of a phrase and of each symbol before it."""
 
     def __init__(self, transformed: np.ndarray):
-        self.bwt, self.n = transformed.astype(np.int64), len(transformed)
-        self.places = np.sort(self.bwt * self.n + np.arange(self.n))  # symbol by symbol, its places
+        self.bwt, self.n = transformed, len(transformed)
+        self.places = transformed * np.int64(self.n)  # symbol by symbol, its places
+        self.places += np.arange(self.n)
+        self.places.sort()
 
     def find(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of phrases (one a row), by backward search."""
@@ -99,10 +115,18 @@ class Index:
 
     def before(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all intervals, each symbol that stands before their phrase: interval, symbol, how often."""
-        size = high - low
-        ends = np.cumsum(size)
-        rows = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(low - ends + size, size)
-        pairs, counts = np.unique(np.repeat(np.arange(len(low)), size) * (self.n + 1) + self.bwt[rows], return_counts=True)
+        found, ends = [], np.cumsum(high - low)
+        first = 0
+        while first < len(low):  # as many intervals at once as make STEP rows, or one longer
+            done = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + STEP, "right")))
+            size = (high - low)[first:last]
+            rows = np.arange(int(ends[last - 1]) - done) + np.repeat(low[first:last] - (ends[first:last] - size - done), size)
+            keys = np.repeat(np.arange(first, last) * (self.n + 1), size)
+            keys += self.bwt[rows]
+            found.append(np.unique(keys, return_counts=True))
+            first = last
+        pairs, counts = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
         owner, symbol = pairs // (self.n + 1), pairs % (self.n + 1)
         some = symbol > 0
         return owner[some], symbol[some], counts[some]
@@ -166,44 +190,158 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, SHARDS)
 
 
-def _longer(depth: int):
-    """Phrases of `depth` words in each shard, from its frequent phrases of one word less."""
-    right = depth % 2 == 0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Round:
+    """One round: the phrases of `depth` words that a shard can have, from its frequent ones of one word less."""
+
+    def __init__(self, depth: int, bits: int, part_bits: int):
+        self.depth, self.bits, self.part_bits = depth, bits, part_bits
+        self.right = depth % 2 == 0
+        self.side = "backward" if self.right else "forward"
+
+    def phrases(self, batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Word ids, counts and hash values of the phrases, and the shard's words."""
+        known = batch.column("known")[i].values
+        known = np.stack([known.field(f"w{j}").to_numpy(zero_copy_only=False).astype(np.int64) for j in range(1, self.depth)], axis=1)
+        index = Index(np.frombuffer(batch.column("transformed")[i].as_buffer(), dtype=np.int32))
+        owner, symbol, counts = index.before(*index.find(known[:, ::-1] if self.right else known))
+        found = np.column_stack([known[owner], symbol] if self.right else [symbol, known[owner]])
+        some = contained(known, found[:, 1:] if self.right else found[:, :-1])
+        found, counts = found[some], counts[some]
+        words = batch.column("words")[i].values
+        of_word = hashes(words)
+        lang = hashlib.sha256(batch.column("lang")[i].as_py().encode()).digest()
+        value = np.full(len(found), int.from_bytes(lang[:8], "little"), dtype=np.uint64)
+        for c in found.T:
+            value = mix(value + of_word[c - 1])
+        return found, counts, value >> np.uint64(64 - self.bits), words
+
+    def bounds(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """part, shard and the packed values of that part with their counts."""
         for batch in batches:
             for i in range(batch.num_rows):
-                known = batch.column("known")[i].values
-                known = np.stack([known.field(f"w{j}").to_numpy(zero_copy_only=False).astype(np.int64) for j in range(1, depth)], axis=1)
-                index = Index(np.frombuffer(batch.column("transformed")[i].as_buffer(), dtype=np.int32))
-                owner, symbol, counts = index.before(*index.find(known[:, ::-1] if right else known))
-                phrases = np.column_stack([known[owner], symbol] if right else [symbol, known[owner]])
-                some = contained(known, phrases[:, 1:] if right else phrases[:, :-1])
+                _, counts, value, _ = self.phrases(batch, i)
+                if not len(value):
+                    continue
+                order = np.argsort(value)
+                value = value[order]
+                heads = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+                value, counts = value[heads], np.add.reduceat(counts[order], heads)
+                edges = np.searchsorted(value, np.arange(1 << self.part_bits, dtype=np.uint64) << np.uint64(self.bits - self.part_bits))
+                edges = np.append(edges, len(value))
+                parts = np.flatnonzero(edges[1:] > edges[:-1])
+                packed = [pack(value[a:b], counts[a:b]) for a, b in zip(edges[parts].tolist(), edges[parts + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(parts.astype(np.int32)), pa.repeat(batch.column("shard")[i], len(parts)), pa.array(packed, pa.binary())], names=["part", "shard", "packed"]
+                )
+
+    def longer(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The phrases whose values may be frequent."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                phrases, counts, value, words = self.phrases(batch, i)
+                some = np.isin(value, np.concatenate([unpack(x.as_py())[0] for x in batch.column("allowed")[i].values]))
                 phrases, counts = phrases[some], counts[some]
-                words = batch.column("words")[i].values
                 for first in range(0, len(phrases), 1 << 16):
                     part = phrases[first : first + (1 << 16)]
                     text = pc.binary_join_element_wise(*(words.take(pa.array(c - 1)) for c in part.T), " ")
-                    ids = [pa.array(part[:, j].astype(np.int32)) if j < depth < DEPTH else pa.nulls(len(part), pa.int32()) for j in range(3)]
+                    ids = [pa.array(part[:, j].astype(np.int32)) if j < self.depth < DEPTH else pa.nulls(len(part), pa.int32()) for j in range(3)]
                     columns = [pa.repeat(batch.column("lang")[i], len(part)), text, pa.repeat(batch.column("shard")[i], len(part)), *ids, pa.array(counts[first : first + (1 << 16)])]
                     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
 
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit value per word."""
+    large = words.cast(pa.large_string())
+    if not len(large):
+        return np.zeros(0, dtype=np.uint64)
+    offsets = np.frombuffer(large.buffers()[1], dtype=np.int64)[large.offset : large.offset + len(large) + 1]
+    data = np.frombuffer(large.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return Sums(byte_values(data)).of(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
+
+
+def _least_width(x: np.ndarray) -> np.dtype:
+    return next(d for d in map(np.dtype, ("<u1", "<u2", "<u4", "<u8")) if int(x.max(initial=0)) <= np.iinfo(d).max)
+
+
+def pack(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted values as gaps, with their counts, compressed."""
+    gaps = np.diff(values, prepend=np.uint64(0))
+    kinds = [_least_width(gaps), _least_width(counts)]
+    body = gaps.astype(kinds[0]).tobytes() + counts.astype(kinds[1]).tobytes()
+    return struct.pack("<QBB", len(values), *(k.itemsize for k in kinds)) + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, a, b = struct.unpack_from("<QBB", data)
+    body = pa.Codec("zstd").decompress(data[10:], decompressed_size=n * (a + b), asbytes=True)
+    return np.cumsum(np.frombuffer(body, f"<u{a}", n).astype(np.uint64)), np.frombuffer(body, f"<u{b}", n, n * a).astype(np.int64)
+
+
+def _allowed(least: int):
+    """Per shard and part the values whose sum over all shards reaches `least`; rows come part by part."""
+
+    def close(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        opened = [unpack(x) for _, x in rows]
+        values = np.concatenate([v for v, _ in opened])
+        _, at = np.unique(values, return_inverse=True)
+        enough = np.bincount(at, weights=np.concatenate([c for _, c in opened])) >= least
+        ends = np.cumsum([len(v) for v, _ in opened])
+        shards, packed = [], []
+        for (shard, _), (v, _), end in zip(rows, opened, ends.tolist(), strict=True):
+            v = v[enough[at[end - len(v) : end]]]
+            if len(v):
+                shards.append(shard)
+                packed.append(pack(v, np.zeros(len(v), dtype=np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "allowed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [], None
+        for batch in batches:
+            for p, shard, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "packed")), strict=True):
+                if p != part and held:
+                    yield from close(held)
+                    held = []
+                part = p
+                held.append((shard, packed))
+        if held:
+            yield from close(held)
+
     return run
 
 
 def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """All phrases of 1 to DEPTH words with at least `least` occurrences (lang, phrase, f, size), and all words per lang (lang, n)."""
-    stored = scratch.save("shards", shards(docs, shard_bytes))
+    spark = docs.sparkSession
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits, part_bits = max(16, (2 * size).bit_length()), max(0, (size // PART_BYTES).bit_length())
+    buckets = max(4, -(-size // BUCKET_BYTES))
+    table = f"phrases_{uuid.uuid4().hex}"
+    try:
+        with setting(spark, CLEAN, "true"):
+            shards(docs, shard_bytes).write.format("parquet").option("compression", "zstd").option("path", f"{scratch.root}/shards").bucketBy(buckets, "shard").saveAsTable(table)
+        stored = spark.table(table)
+        totals = scratch.save("totals", stored.groupBy("lang").agg(F.sum("n").alias("n")))
+        return _rounds(stored, scratch, least, bits, part_bits, buckets), totals
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        scratch.drop("shards")
+
+
+def _rounds(stored: DataFrame, scratch: Scratch, least: int, bits: int, part_bits: int, buckets: int) -> DataFrame:
     words = stored.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
     nothing = F.lit(None).cast("int")
     found = words.select("lang", F.col("w.words").alias("phrase"), "shard", (F.col("at") + 1).alias("w1"), nothing.alias("w2"), nothing.alias("w3"), F.col("w.counts").alias("c"))
     grams = None
     for depth in range(1, DEPTH + 1):
         if depth > 1:
-            kept = scratch.save(f"back-{depth}", kept.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2", "w3")).alias("known")))
-            side = "backward" if depth % 2 == 0 else "forward"
-            met = stored.select("shard", "lang", "words", F.col(side).alias("transformed")).join(kept, "shard")
-            found = met.mapInArrow(_longer(depth), FOUND)
+            step = Round(depth, bits, part_bits)
+            lists = kept.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2", "w3")).alias("known"))
+            lists = scratch.save(f"back-{depth}", lists)
+            met = stored.select("shard", "lang", "words", F.col(step.side).alias("transformed")).hint("merge").join(lists.repartition(buckets, "shard"), "shard")
+            parts = met.mapInArrow(step.bounds, "part int, shard long, packed binary").repartition(max(buckets, 1 << part_bits), "part").sortWithinPartitions("part")
+            allowed = parts.mapInArrow(_allowed(least), "shard long, allowed binary")
+            allowed = scratch.save(f"allowed-{depth}", allowed.groupBy("shard").agg(F.collect_list("allowed").alias("allowed")))
+            found = met.join(allowed.repartition(buckets, "shard"), "shard").mapInArrow(step.longer, FOUND)
         if depth < DEPTH:  # one exchange gives both the sums and the shards to return to
             every = Window.partitionBy("lang", "phrase")
             summed = found.withColumn("f", F.sum("c").over(every))
@@ -213,9 +351,9 @@ def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST, shard_bytes:
             sums = found.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
         sums = scratch.save(f"grams-{depth}", sums.withColumn("size", F.lit(depth)))
         grams = sums if grams is None else grams.union(sums)
-    totals = scratch.save("totals", stored.groupBy("lang").agg(F.sum("n").alias("n")))
-    scratch.drop("shards", *(f"{x}-{d}" for d in range(1, DEPTH + 1) for x in ("kept", "back")))
-    return grams, totals
+        if depth > 1:
+            scratch.drop(f"back-{depth}", f"allowed-{depth}", f"kept-{depth - 1}")
+    return grams
 
 
 def collocations(docs: DataFrame, least: int = LEAST, explained: int = EXPLAINED, keep: int = KEEP, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -242,8 +380,10 @@ def collocations(docs: DataFrame, least: int = LEAST, explained: int = EXPLAINED
     parts = scratch.save("rights", meet(parts, counts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"]))
     score = F.expr(f"CAST({SCALE} AS DECIMAL(10,0)) * a div (l + r)")
     best = parts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("b"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    rows = best.select("lang", "phrase", "a", "b.l", "b.r", "b.score").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    rows = best.select("lang", "phrase", "a", "b.l", "b.r", "b.score", F.pmod(F.xxhash64("phrase"), F.lit(SPREAD)).alias("spread"))
+    for keys in (["lang", "spread"], ["lang"]):  # a lang's first ones are among the first ones of its shares
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= keep)
     return rows.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
