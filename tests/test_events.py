@@ -1,75 +1,61 @@
-"""Event rules: literal cases, and random ones against a step-by-step restatement."""
+"""Event rules on generated tracks against the recursive SQL of the registered queries."""
 
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trackmill.functions.geometry import box
 from trackmill.operators import events as ev
+from trackmill.plans import bindings as b
+from trackmill.plans.events import WALK
 
 TRACK = "video_id string, t_ms long, cx double, cy double"
-BOX = (0.4, 0.3, 0.5, 0.35)
-
-
-def test_literal_tracks(spark):
-    x, up, hit = 0.45, 0.20, 0.33
-    cases = {
-        "crossing": [(0, x, up), (100, x, hit)],
-        "outside": [(0, 0.9, up), (100, 0.9, hit)],
-        "bounce": [(0, x, up), (100, x, hit), (200, x, 0.10)],
-        "second": [(0, x, up), (100, x, hit), (300, x, up), (400, x, hit)],
-        "cooldown": [(0, x, up), (100, x, hit), (800, x, up), (1000, x, hit)],
-        "missing": [(0, None, None), (50, x, up), (150, x, hit)],
-    }
-    rows = [(k, *r) for k, v in cases.items() for r in v]
-    got = ev.find_makes(spark.createDataFrame(rows, TRACK), box(*BOX)).collect()
-    assert {(r.video_id, r.through_ms) for r in got} == {
-        ("crossing", 100), ("second", 400), ("cooldown", 100), ("missing", 150)}
-
-
-def one_by_one(rows, lo=3400, hi=5600, top=3000, reach=1750, low=4000):
-    makes, last, above = [], -10**9, None
-    for i, (t, cx, cy) in enumerate(rows):
-        if cx is None:
-            continue
-        if not lo <= cx <= hi:
-            above = None
-        elif cy < top:
-            above = t if cy >= reach else above
-        elif cy <= low and above is not None and t - above <= 600 and t - last > 1500:
-            if not any(c is not None and y < top for s, c, y in rows[i + 1:] if s - t <= 400):
-                makes.append((above, t))
-                last = t
-            above = None
-    return makes
+SQL = f"WITH RECURSIVE {WALK.replace(b.TRACK, 'track AS (SELECT * FROM points)')} SELECT video_id, above_ms, through_ms FROM makes"
+
+
+def from_sql(rows):
+    points = pd.DataFrame(rows, columns=["video_id", "t_ms", "cx", "cy"]).astype({"cx": "Float64", "cy": "Float64"})
+    con = duckdb.connect()
+    con.register("points", points)
+    return sorted(con.execute(SQL).fetchall())
+
+
+def from_spark(spark, rows, block_ms=None):
+    made = ev.find_makes(spark.createDataFrame(rows, TRACK), b.hoop(), **({"block_ms": block_ms} if block_ms else {}))
+    return sorted((r.video_id, r.above_ms, r.through_ms) for r in made.collect())
 
 
 @pytest.mark.parametrize("step,seed", [(67, 1), (190, 2), (500, 3)])
 def test_makes_across_blocks(spark, step, seed):
     """Long dense tracks, so sightings, bounces and cooldowns straddle many block edges."""
     rnd = random.Random(seed)
-    rows, want = [], set()
+    rows = []
     for v in range(6):
-        tr = []
         for i in range(900 if v == 0 else 120):
             seen = rnd.random() < 0.85
             cx = 4500.0 if rnd.random() < 0.9 else 9000.0
             cy = float(rnd.choice([1000, 2000, 2500, 3200, 3300, 3600, 4500]))
-            tr.append((i * step, cx if seen else None, cy if seen else None))
-        rows += [(str(v), *r) for r in tr]
-        want |= {(str(v), *m) for m in one_by_one(tr)}
-    got = ev.find_makes(spark.createDataFrame(rows, TRACK), box(4000, 3000, 5000, 3500), block_ms=5000).collect()
+            rows.append((str(v), i * step, cx if seen else None, cy if seen else None))
+    want = from_sql(rows)
     assert len(want) > 10
-    assert {(r.video_id, r.above_ms, r.through_ms) for r in got} == want
+    assert from_spark(spark, rows, 5000) == want
 
 
 def test_endless_chain(spark):
     """A pass every second: blocks never agree on their own, so whole runs are composed."""
     rows = [("v", 1000 * i + o, 4500.0, y) for i in range(120) for o, y in ((0, 2000.0), (590, 3200.0))]
-    want = one_by_one([r[1:] for r in rows])
-    got = ev.find_makes(spark.createDataFrame(rows, TRACK), box(4000, 3000, 5000, 3500), block_ms=6000).collect()
-    assert sorted((r.above_ms, r.through_ms) for r in got) == want and len(want) > 50
+    want = from_sql(rows)
+    assert from_spark(spark, rows, 6000) == want and len(want) > 50
+
+
+def test_tracks_without_events(spark):
+    """Nothing seen, never above, never through, or beside the hoop all the time."""
+    rows = [("unseen", t, None, None) for t in (0, 40)] + [("high", t, 4500.0, 2100.0) for t in (0, 40)]
+    rows += [("low", t, 4500.0, 3700.0) for t in (0, 40)] + [("aside", t, 7000.0, y) for t, y in ((0, 2000.0), (40, 3300.0))]
+    assert from_spark(spark, rows) == [] == from_sql(rows)
+    assert from_spark(spark, rows[:0] or [("x", 0, None, None)]) == []
 
 
 def test_clusters(spark):
@@ -90,37 +76,3 @@ def test_clip_and_local_times(spark):
     assert [r.local_ms for r in loc] == [5000, 5000, 8500, 2000, 4000]
     cl = {r.video_id: (r.start_ms, r.duration_ms) for r in ev.clips(c).collect()}
     assert cl == {"a": (25000, 7000), "b": (25000, 10500), "c": (0, 9000)}
-
-
-def greedy(ds, gs, tol):
-    free, out = sorted(gs), []
-    for d in sorted(ds):
-        near = [g for g in free if abs(g - d) <= tol]
-        g = min(near, key=lambda x: (abs(x - d), x)) if near else None
-        if g is not None:
-            free.remove(g)
-        out.append((d, g, "matched" if g is not None else "false_positive"))
-    return out + [(None, g, "missed") for g in free]
-
-
-@pytest.mark.parametrize("block", [None, 200])
-def test_matching(spark, block):
-    rnd = random.Random(11)
-    cases = {"a": ([10100, 20000], [10000, 30000]), "b": ([5000, 15000], [5200, 15100]), "c": ([10000], [9800, 10300])}
-    dense = {f"r{i}": ([rnd.randrange(4000) for _ in range(90)], [rnd.randrange(4000) for _ in range(80)]) for i in range(3)}
-    tol = 100
-    schema = "video_id string, t_ms long"
-    both = {k: ([d for d in v[0]], v[1]) for k, v in dense.items()}
-    det = spark.createDataFrame([(k, t) for k, v in both.items() for t in v[0]], schema)
-    tru = spark.createDataFrame([(k, t) for k, v in both.items() for t in v[1]], schema)
-    got = ev.match_events(det, tru, tol, block).collect()
-    want = [(k, *r) for k, v in both.items() for r in greedy(*v, tol)]
-    key = lambda r: tuple((x is None, x) for x in r)
-    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
-    if block is None:
-        det = spark.createDataFrame([(k, t) for k, v in cases.items() for t in v[0]], schema)
-        tru = spark.createDataFrame([(k, t) for k, v in cases.items() for t in v[1]], schema)
-        m = ev.match_events(det, tru, 500)
-        assert sorted((r.video_id, r.detected_ms, r.truth_ms) for r in m.where("outcome = 'matched'").collect()) == [
-            ("a", 10100, 10000), ("b", 5000, 5200), ("b", 15000, 15100), ("c", 10000, 9800)]
-        assert ev.match_events(det.where("false"), tru.where("false"), 500).count() == 0

@@ -8,19 +8,33 @@ from trackmill.operators import features, scoring, tracks
 TRACK = "video_id string, t_ms long, cx double, cy double"
 
 
-def test_track_features(spark):
-    x, up, hit = 0.45, 0.20, 0.33
-    rows = [("none", 0, None, None), ("none", 100, None, None), ("cross", 0, x, up), ("cross", 100, x, hit),
-            ("bounce", 0, x, up), ("bounce", 100, x, hit), ("bounce", 200, x, 0.10),
-            ("rate", 0, x, up), ("rate", 100, None, None), ("rate", 200, x, hit)]
-    f = {r.video_id: r for r in features.track_features(spark.createDataFrame(rows, TRACK), box(0.4, 0.3, 0.5, 0.35)).collect()}
-    n = f["none"]
-    assert (n.has_crossing, n.n_detections, n.detection_rate, n.gap_sec, n.horiz_offset_above) == (0, 0, 0.0, 999.0, 1.0)
-    c = f["cross"]
-    assert (c.has_crossing, c.bounced_back, c.time_to_bounce) == (1, 0, 999.0)
-    assert c.gap_sec == pytest.approx(0.1) and c.vertical_drop == pytest.approx(2.6)
-    assert f["bounce"].bounced_back == 1 and f["bounce"].time_to_bounce == pytest.approx(0.1)
-    assert f["rate"].n_detections == 2 and f["rate"].detection_rate == pytest.approx(2 / 3)
+RIM = box(0.20, 0.50, 0.36, 0.58)
+
+
+def first_crossing(spark, **tracks):
+    rows = [(name, *point) for name, points in tracks.items() for point in points]
+    return {r.video_id: r for r in features.track_features(spark.createDataFrame(rows, TRACK), RIM).collect()}
+
+
+def test_features_of_the_first_crossing(spark):
+    drop = [(1000, 0.30, 0.42), (1240, 0.26, 0.60)]
+    later = [(9000, 0.28, 0.45), (9040, 0.28, 0.64)]
+    f = first_crossing(spark, drop=drop + later, back=[*drop, (1600, 0.28, 0.41)], settles=[*drop, *((1300 + 50 * i, 0.28, 0.70) for i in range(7))])
+    d = f["drop"]
+    assert d.has_crossing == 1 and d.n_detections == 4 and d.detection_rate == 1.0
+    assert d.gap_sec == pytest.approx(0.24) and d.vertical_drop == pytest.approx(2.25)
+    assert d.horiz_offset_above == pytest.approx(0.125) == d.horiz_offset_through
+    assert (d.bounced_back, d.time_to_bounce, d.n_below_after) == (0, 999.0, 0)
+    assert f["back"].bounced_back == 1 and f["back"].time_to_bounce == pytest.approx(0.36)
+    assert f["settles"].n_below_after == 7
+
+
+def test_features_without_a_crossing(spark):
+    f = first_crossing(spark, blank=[(t, None, None) for t in range(0, 250, 50)], wide=[(0, 0.8, 0.4), (40, 0.8, 0.6), (80, None, None), (120, 0.8, 0.7)])
+    for r in f.values():
+        assert (r.has_crossing, r.gap_sec, r.vertical_drop, r.horiz_offset_above, r.horiz_offset_through) == (0, 999.0, 0.0, 1.0, 1.0)
+    assert (f["blank"].n_detections, f["blank"].detection_rate) == (0, 0.0)
+    assert (f["wide"].n_detections, f["wide"].detection_rate) == (3, 0.75)
 
 
 def test_shape_and_frames(spark):
@@ -47,19 +61,28 @@ def test_static_spot(spark):
     assert got["few", 10] == (0.4, 0.4) and got["few", 12] == (None, None)
 
 
-def test_rank_remap_best(spark):
-    rows = [("v", f"c{i}", i, float(v), float(v) * 100 + 7) for i, v in enumerate([1, 3, 2, 2])]
-    d = spark.createDataFrame(rows, "video_id string, clip string, shot_idx int, a double, b double")
-    r = scoring.rank_within(d, ["video_id", "shot_idx"], ["a", "b"]).orderBy("shot_idx").collect()
-    assert [x.a for x in r] == [0.0, 1.0, 0.5, 0.5] and [x.b for x in r] == [x.a for x in r]
-    assert scoring.rank_within(d.where("shot_idx = 0"), ["video_id", "shot_idx"], ["a"]).collect()[0].a == 0.5
-    v = spark.createDataFrame([(x,) for x in (0.0, 0.07, 0.2, 0.31, 0.5, 1.0)], "x double")
-    m = [q[0] for q in v.select(remap(F.col("x"), F.lit(0.07), F.lit(0.31))).collect()]
-    assert m == sorted(m) and m[0] == 0 and m[1] == pytest.approx(0.2) and m[3] == pytest.approx(0.6) and m[5] == 1.0
-    s = spark.createDataFrame([("big", f"c{i // 2}", i, 0.5) for i in range(8)] + [("small", "c", i, 0.9) for i in range(3)],
+def test_ranks_share_ties(spark):
+    rows = [("v", i, float(x), -2.0 * x) for i, x in enumerate([40, 10, 10, 10, 25])]
+    d = spark.createDataFrame(rows, "video_id string, shot_idx int, up double, down double")
+    r = scoring.rank_within(d, ["video_id", "shot_idx"], ["up", "down"]).orderBy("shot_idx").collect()
+    assert [x.up for x in r] == [1.0, 0.25, 0.25, 0.25, 0.75]
+    assert [x.down for x in r] == [1 - x.up for x in r]
+    assert scoring.rank_within(d.where("shot_idx = 4"), ["video_id", "shot_idx"], ["up"]).first().up == 0.5
+
+
+def test_remap_meets_the_cutoffs(spark):
+    lo, hi = 0.12, 0.44
+    v = spark.createDataFrame([(i / 50,) for i in range(51)], "x double")
+    m = {round(q.x, 2): q.y for q in v.select("x", remap(F.col("x"), F.lit(lo), F.lit(hi)).alias("y")).collect()}
+    assert list(m.values()) == sorted(m.values()) and (m[0.0], m[1.0]) == (0.0, 1.0)
+    assert m[lo] == pytest.approx(0.2) and m[hi] == pytest.approx(0.6) and m[0.28] == pytest.approx(0.4)
+
+
+def test_best_shot_is_the_first_of_equals(spark):
+    s = spark.createDataFrame([("big", f"c{i // 3}", i, 0.6) for i in range(9)] + [("small", "c", i, 0.9) for i in range(7)],
                               "video_id string, clip string, shot_idx int, raw double")
-    best = scoring.best_shot(s, F.lit(0.07), F.lit(0.31)).collect()
-    assert {(b.video_id, b.clip, b.shot_idx) for b in best} == {("big", f"c{i}", 2 * i) for i in range(4)}
+    best = scoring.best_shot(s, F.lit(0.2), F.lit(0.5)).collect()
+    assert {(b.video_id, b.clip, b.shot_idx) for b in best} == {("big", f"c{i}", 3 * i) for i in range(3)}
 
 
 def test_regions(spark):

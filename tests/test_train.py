@@ -1,36 +1,125 @@
+"""Boosted models of all folds at once against a plain boosting of each fold."""
+
+import math
 import random
 
-from trackmill.operators import train
-
-
-def test_folds_never_see_their_own_group(spark, monkeypatch):
-    rnd = random.Random(2)
-    rows = [(f"v{v}", f"c{i}", i, rnd.random() + (i % 3 == 0), rnd.random(), i % 3 == 0) for v in range(6) for i in range(30)]
-    d = spark.createDataFrame(rows, "video_id string, clip string, shot_idx int, a double, b double, label boolean")
-    seen = []
-    fit = train.fit_classifier
-
-    def spy(rows, *a, **k):
-        seen.append({r.video_id for r in rows.select("video_id").distinct().collect()})
-        return fit(rows, *a, **k)
-
-    monkeypatch.setattr(train, "fit_classifier", spy)
-    oof = train.leave_one_group_out(d, d, ["a", "b"], "video_id", ["video_id", "clip"], folds=2, maxIter=2)
-    assert oof.count() == 180 and len(seen) == 2
-    assert seen[0] & seen[1] == set() and seen[0] | seen[1] == {f"v{i}" for i in range(6)}
-    goals = oof.selectExpr("score", "int(substring(clip, 2)) % 3 = 0 AS goal").groupBy("goal").avg("score").collect()
-    mean = {r.goal: r[1] for r in goals}
-    assert mean[True] > mean[False] + 0.3
-
-
-def test_every_group_is_scored_once_at_any_number_of_groups(spark, monkeypatch):
-    """Groups without training rows (v0) are scored too, and the protocol is the caller's choice alone."""
-    monkeypatch.setattr(train, "fit_classifier", lambda rows, *a, **k: rows.count())
-    monkeypatch.setattr(train, "predict", lambda model, rows: rows.selectExpr("*", "0.5D AS raw"))
-    for n in (1, 20, 21, 200):
-        rows = [(f"v{v}", f"c{i}", float(i), i % 2 == 0) for v in range(n) for i in range(8)]
-        d = spark.createDataFrame(rows, "video_id string, clip string, a double, label boolean")
-        some = d.where("video_id != 'v0'")
-        for folds in ((None, 2) if n < 100 else (2,)):
-            oof = train.leave_one_group_out(some, d, ["a"], "video_id", ["video_id", "clip"], folds=folds)
-            assert oof.count() == oof.select("video_id", "clip").distinct().count() == 8 * n
+import pytest
+from pyspark.sql import functions as F
+
+from trackmill.operators import boosting, train
+from trackmill.operators.boosting import Settings
+
+SCHEMA = "video_id string, clip string, shot_idx int, a double, b double, label boolean"
+
+
+def make(n_groups=6, n=30, seed=2):
+    rnd = random.Random(seed)
+    return [(f"v{v}", f"c{i}", i, round(rnd.random() + (i % 3 == 0), 2), round(rnd.random(), 1), i % 3 == 0 and rnd.random() < 0.9) for v in range(n_groups) for i in range(n)]
+
+
+def plain(xs, ys, cuts, s):
+    """Log-loss boosting, row by row; the fitted function."""
+    share = min(max(sum(ys) / len(ys), 1e-6), 1 - 1e-6)
+    base, trees = math.log(share / (1 - share)), []
+
+    def score(x):
+        return base + sum(value(t, x) for t in trees)
+
+    def value(t, x):
+        while isinstance(t, tuple):
+            f, c, low, high = t
+            t = high if x[f] > c else low
+        return t
+
+    def build(rows, depth):
+        best = (0.0, None)
+        for f in range(len(cuts)):
+            for c in cuts[f]:
+                low, high = [r for r in rows if r[0][f] <= c], [r for r in rows if r[0][f] > c]
+                if low and high:
+                    gain = len(low) * len(high) / len(rows) * (sum(r[1] for r in low) / len(low) - sum(r[1] for r in high) / len(high)) ** 2
+                    if gain > best[0] * (1 + 1e-12) + 1e-300:
+                        best = (gain, (f, c, low, high))
+        if depth == 0 or best[1] is None:
+            down = sum(r[2] for r in rows)
+            return s.rate * sum(r[1] for r in rows) / down if down > 1e-150 else 0.0
+        f, c, low, high = best[1]
+        return (f, c, build(low, depth - 1), build(high, depth - 1))
+
+    for _ in range(s.trees):
+        p = [1 / (1 + math.exp(-score(x))) for x in xs]
+        trees.append(build([(x, y - q, q * (1 - q)) for x, y, q in zip(xs, ys, p, strict=True)], s.depth))
+    return lambda x: 1 / (1 + math.exp(-score(x)))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_every_fold_equals_plain_boosting_without_it(spark, depth):
+    data = make()
+    d = spark.createDataFrame(data, SCHEMA)
+    cuts = boosting.cut_points(d, ["a", "b"])
+    assert cuts[1] == sorted({r[4] for r in data})[:-1]  # few values: every one may end a bin
+    s = Settings(trees=5, depth=depth, rate=0.3)
+    model = boosting.fit(d, ["a", "b"], s, F.col("video_id"), d.select(F.col("video_id").alias("fold")))
+    got = {(r.video_id, r.clip): r.raw for r in boosting.predict(model, d, fold=F.col("video_id")).collect()}
+    for v in {r[0] for r in data}:
+        rest = [r for r in data if r[0] != v]
+        f = plain([r[3:5] for r in rest], [float(r[5]) for r in rest], cuts, s)
+        for r in data:
+            if r[0] == v:
+                assert abs(got[v, r[1]] - f(r[3:5])) < 1e-9
+    f = plain([r[3:5] for r in data], [float(r[5]) for r in data], cuts, s)
+    for m in (model, boosting.fit(d, ["a", "b"], s)):
+        whole = {(r.video_id, r.clip): r.raw for r in boosting.predict(m, d).collect()}
+        assert all(abs(whole[r[0], r[1]] - f(r[3:5])) < 1e-9 for r in data)
+
+
+def test_labels_of_a_group_never_reach_its_own_scores(spark):
+    data = make()
+    turned = [(*r[:5], not r[5]) if r[0] == "v3" else r for r in data]
+    scores = []
+    for rows in (data, turned):
+        d = spark.createDataFrame(rows, SCHEMA)
+        oof = train.leave_one_group_out(d, d, ["a", "b"], "video_id", ["video_id", "clip"])
+        scores.append({(r.video_id, r.clip): r.score for r in oof.collect()})
+    assert len(scores[0]) == 180
+    same = {v: all(scores[0][k] == scores[1][k] for k in scores[0] if k[0] == v) for v in ("v0", "v3")}
+    assert same == {"v0": False, "v3": True}
+
+
+def test_folds_scores_and_groups_without_labels(spark):
+    data = make()
+    d = spark.createDataFrame(data, SCHEMA)
+    for folds in (None, 2):
+        oof = train.leave_one_group_out(d.where("video_id != 'v0'"), d, ["a", "b"], "video_id", ["video_id", "clip"], folds=folds, trees=20)
+        assert oof.count() == oof.select("video_id", "clip").distinct().count() == 180
+        goals = oof.selectExpr("score", "int(substring(clip, 2)) % 3 = 0 AS goal").groupBy("goal").avg("score").collect()
+        mean = {r.goal: r[1] for r in goals}
+        assert mean[True] > mean[False] + 0.3
+
+
+def test_odd_rows(spark):
+    data = [("v", "c", 0, None, float("nan"), True), ("v", "c", 1, 1.0, None, False), ("w", "c", 0, None, 2.0, True), ("w", "d", 1, 5.0, 5.0, None), (None, "e", 1, 5.0, 5.0, False)]
+    d = spark.createDataFrame(data, SCHEMA)
+    model = train.fit_classifier(d, ["a", "b"], trees=3)
+    assert {r.raw is not None and 0 <= r.raw <= 1 for r in train.predict(model, d).collect()} == {True}
+    empty = train.fit_classifier(d.where("false"), ["a", "b"])
+    assert {r.raw for r in train.predict(empty, d).collect()} == {0.5}
+    assert train.predict(model, d.where("false")).count() == 0
+    # copies weigh like rows
+    twice = train.fit_classifier(d.union(d), ["a", "b"], "filter", trees=4)
+    once = train.fit_classifier(d, ["a", "b"], "filter", trees=4)
+    a, b = ([round(r.raw, 12) for r in train.predict(m, d).collect()] for m in (twice, once))
+    assert a == b
+    # a bound on the entries samples them and still scores every row
+    assert train.predict(boosting.fit(d, ["a"], train.SETTINGS["filter"], most=2), d).count() == 5
+
+
+def test_cutoffs_are_one_row(spark):
+    d = spark.createDataFrame(make(2, 12), SCHEMA)
+    model = train.fit_classifier(d, ["a", "b"], trees=2)
+    cuts = spark.createDataFrame([(0.1, 0.6)], "lo double, hi double")
+    assert train.score_videos(d, model, cuts, ["a", "b"]).count() == 24
+    with pytest.raises(ValueError):
+        train.score_videos(d, model, cuts.union(cuts), ["a", "b"])
+    with pytest.raises(ValueError):
+        train.score_videos(d, model, cuts.where("false"), ["a", "b"])

@@ -239,116 +239,6 @@ def shots_in_window(
     )
 
 
-PAIR = "struct<d:bigint,g:bigint,n:bigint>"
-COPIES = "array<struct<t_ms:bigint,n:bigint>>"
-
-
-def _greedy(dets: Column, truths: Column, tol: int) -> Column:
-    """Ascending detections each take the nearest free truth within tol (earlier one on ties).
-
-    Entries are (time, copies): equal detections empty their nearest truths one
-    after the other, so copies never become separate entries.
-    """
-    def step(s, d):
-        near = F.array_sort(F.transform(
-            F.filter(s["free"], lambda g: (F.abs(g["t_ms"] - d["t_ms"]) <= tol) & (g["n"] > 0)),
-            lambda g: F.struct(F.abs(g["t_ms"] - d["t_ms"]).alias("far"), g["t_ms"].alias("t_ms"), g["n"].alias("n")),
-        ))
-
-        def take(t, g):
-            n = F.least(t["left"], g["n"])
-            pair = F.struct(d["t_ms"].alias("d"), g["t_ms"].alias("g"), n.alias("n"))
-            return F.when(t["left"] > 0, F.struct(
-                (t["left"] - n).alias("left"), F.concat(t["out"], F.array(pair)).alias("out"))).otherwise(t)
-
-        zero = F.struct(d["n"].alias("left"), F.array().cast(f"array<{PAIR}>").alias("out"))
-        took = F.aggregate(near, zero, take, lambda t: F.when(t["left"] > 0, F.concat(t["out"], F.array(F.struct(
-            d["t_ms"].alias("d"), F.lit(None).cast("bigint").alias("g"), t["left"].alias("n"))))).otherwise(t["out"]))
-        return F.struct(_minus(s["free"], F.transform(
-            F.filter(took, lambda p: p["g"].isNotNull()), lambda p: F.struct(p["g"].alias("t_ms"), p["n"].alias("n"))
-        )).alias("free"), F.concat(s["out"], took).alias("out"))
-
-    zero = F.struct(truths.cast(COPIES).alias("free"), F.array().cast(f"array<{PAIR}>").alias("out"))
-    return F.aggregate(dets, zero, step)["out"]
-
-
-def _minus(free: Column, taken: Column) -> Column:
-    """Copies left after some were taken."""
-    return F.transform(free, lambda g: F.struct(
-        g["t_ms"].alias("t_ms"),
-        (g["n"] - F.aggregate(F.filter(taken, lambda x: x["t_ms"] == g["t_ms"]), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])).alias("n"),
-    ))
-
-
-def match_events(
-    detected: DataFrame, truth: DataFrame, tol_ms: int, block_ms: int | None = None, keys=("video_id",)
-) -> DataFrame:
-    """One-to-one greedy matching: (video_id, detected_ms, truth_ms, outcome).
-
-    Matching decomposes where neighbouring events lie further apart than the
-    tolerance. A dense stretch longer than block_ms is cut anyway; its pieces are
-    then re-matched with what their predecessors took until nothing changes, which
-    reaches the sequential answer and normally takes a round or two.
-    """
-    keys = list(keys)
-    width = block_ms or max(64 * tol_ms, 1)
-    if width < 2 * tol_ms:
-        raise ValueError("block_ms must be at least twice the tolerance")
-    both = detected.select(*keys, "t_ms", F.lit("d").alias("side")).unionByName(
-        truth.select(*keys, "t_ms", F.lit("g").alias("side"))
-    )
-    # equal timestamps collapse to one row with a multiplicity before ordering
-    tallied = both.groupBy(*keys, "t_ms", "side").agg(F.count("*").alias("copies"))
-    comp = cluster_events(tallied, tol_ms + 1, keys, max(width, EVENT_BLOCK_MS)).withColumnRenamed("shot_no", "comp")
-    home = time_block("t_ms", width)
-    reach = F.sequence(time_block(F.col("t_ms") - tol_ms, width), time_block(F.col("t_ms") + tol_ms, width))
-    placed = comp.withColumn(
-        BLK, F.explode(F.when(F.col("side") == "d", F.array(home)).otherwise(reach))
-    )
-    ev = F.struct("t_ms", F.col("copies").alias("n"))
-    parts = placed.groupBy(*keys, "comp", BLK).agg(
-        F.sort_array(F.collect_list(F.when(F.col("side") == "d", ev))).alias("dets"),
-        F.sort_array(F.collect_list(F.when(F.col("side") == "g", ev))).alias("truths"),
-    )
-
-    def matched(p, taken):
-        return p.withColumn("pairs", _greedy(F.col("dets"), _minus(F.col("truths"), taken), tol_ms))
-
-    parts = cut_lineage(parts)
-    nothing = F.array().cast(COPIES)
-    on, comp_keys = [*keys, "comp", BLK], [*keys, "comp"]
-    spans = parts.groupBy(*comp_keys).agg(F.countDistinct(BLK).alias("n")).where(F.col("n") > 1).select(*comp_keys)
-    if spans.isEmpty():
-        return _outcomes(matched(parts, nothing).select(*on, "pairs"), parts, keys, width)
-    done = matched(parts.join(spans, comp_keys, "left_anti"), nothing).select(*on, "pairs")
-    state = cut_lineage(matched(parts.join(spans, comp_keys, "left_semi"), nothing).withColumn("taken", nothing))
-    edge = (F.col(BLK) + 1) * width - tol_ms
-    while True:
-        late = F.filter("pairs", lambda p: p["g"] >= edge)
-        given = state.withColumn("now", F.array_sort(F.transform(
-            late, lambda p: F.struct(p["g"].alias("t_ms"), p["n"].alias("n")))))
-        given = given.select(*comp_keys, (F.col(BLK) + 1).alias(BLK), "now")
-        moved = state.join(given, on).where(F.col("now") != F.col("taken")).select(*on, "dets", "truths", "now")
-        moved = cut_lineage(matched(moved, F.col("now")).withColumnRenamed("now", "taken"))
-        if moved.isEmpty():
-            break
-        state = cut_lineage(state.join(moved, on, "left_anti").unionByName(moved))
-    return _outcomes(done.unionByName(state.select(*on, "pairs")), parts, keys, width)
-
-
-def _outcomes(matched: DataFrame, parts: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Matched pairs, detections without a partner and truths nobody took."""
-    pairs = matched.select(*keys, F.inline("pairs"))
-    used = pairs.where("g is not null").groupBy(*keys, F.col("g").alias("t_ms")).agg(F.sum("n").alias("_used"))
-    own = parts.select(*keys, BLK, F.inline("truths")).where(time_block("t_ms", width) == F.col(BLK))
-    left = own.join(used, [*keys, "t_ms"], "left").select(
-        *keys, F.lit(None).cast("bigint").alias("d"), F.col("t_ms").alias("g"), (F.col("n") - F.coalesce("_used", F.lit(0))).alias("n")
-    )
-    what = F.when(F.col("g").isNull(), "false_positive").when(F.col("d").isNull(), "missed").otherwise("matched")
-    rows = pairs.unionByName(left).where("n > 0").select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
-    return rows.select(*keys, F.col("d").alias("detected_ms"), F.col("g").alias("truth_ms"), what.alias("outcome"))
-
-
 def event_metrics(matches: DataFrame, keys=("video_id",)) -> DataFrame:
     """Recall and precision; NaN when there is nothing to divide by."""
     n = lambda *o: F.count_if(F.col("outcome").isin(*o))

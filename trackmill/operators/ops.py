@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions.strings import account_slug, format_bytes, format_duration
+from trackmill.operators.matching import compose
 from trackmill.ordered import split_block, with_prefix_sum, with_rank_order
 from trackmill.session import cut_lineage
 
@@ -15,6 +18,7 @@ from trackmill.session import cut_lineage
 STALE_AFTER = 180
 STUCK_AFTER = 900
 ALERT_EVERY = 600
+ALERT_BLOCK = 86_400
 ALERT_POLICIES = {
     "job_failed": "job_failed",
     "job_stuck_queued": "job_stuck",
@@ -111,18 +115,86 @@ def stuck_jobs(jobs: DataFrame, now, reported: DataFrame | None = None, pool: st
     return out.select("id", "user", F.floor((F.lit(now) - F.col("created_at")) / 60).cast("bigint").alias("minutes"))
 
 
-def job_alerts(log: DataFrame) -> DataFrame:
-    """First log line per policy in every ten-minute window; log(event, at, job_id), at in seconds."""
-    policy = None
-    for event, name in ALERT_POLICIES.items():
-        hit = F.col("event") == event
-        policy = F.when(hit, name) if policy is None else policy.when(hit, name)
-    rows = log.withColumn("policy", policy).where("policy is not null")
-    slot = F.floor(F.col("at") / ALERT_EVERY).cast("bigint")
-    g = rows.groupBy("policy", slot.alias("slot")).agg(
-        F.min(F.struct("at", "job_id", "event")).alias("f"), F.count("*").alias("n_events")
-    )
-    return g.select("policy", "f.at", "f.job_id", "f.event", "n_events")
+def alert_policy() -> Column:
+    """The policy that a log line's event belongs to; null for other events."""
+    return F.coalesce(*[F.when(F.col("event") == event, name) for event, name in ALERT_POLICIES.items()])
+
+
+def _alert_block(at: np.ndarray, day: int, states: np.ndarray, every: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Alerts among ascending seconds `at` of one block, for each number of seconds that are still blocked at its start.
+
+    Returns which seconds alert, one row per state, and the seconds blocked beyond the block's end.
+    """
+    edge = day * block
+    follows = np.append(np.searchsorted(at, at + every), len(at))
+    now = np.searchsorted(at, edge + states)
+    alerts, last = np.zeros((len(states), len(at) + 1), dtype=bool), edge + states - every
+    rows = np.arange(len(states))
+    while (now < len(at)).any():
+        alerts[rows, now] = True
+        last = np.where(now < len(at), at[np.minimum(now, len(at) - 1)], last)
+        now = follows[now]
+    return alerts[:, : len(at)], np.maximum(last + every - edge - block, 0)
+
+
+def _alert_tables(every: int, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables = []
+            for day, seconds in zip(batch.column("day").to_pylist(), batch.column("seconds").to_pylist(), strict=True):
+                tables.append(_alert_block(np.array([x["at"] for x in seconds]), day, np.arange(every), every, block)[1])
+            yield pa.RecordBatch.from_arrays([batch.column("policy"), batch.column("day"), pa.array(tables, pa.list_(pa.int32()))], names=["policy", "day", "tab"])
+
+    return run
+
+
+def _alerts_of(every: int, block: int):
+    """(policy, at, n): the lines of each alert; lines before a block's first alert belong to the one that holds them back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for policy, day, came, seconds in zip(*(batch.column(c).to_pylist() for c in ("policy", "day", "came", "seconds")), strict=True):
+                at = np.array([x["at"] for x in seconds])
+                hits = np.flatnonzero(_alert_block(at, day, np.array([came]), every, block)[0][0])
+                firsts = np.concatenate([[day * block + came - every], at[hits]])
+                owner = np.searchsorted(hits, np.arange(len(at)), "right")
+                n = np.bincount(owner, weights=[x["n"] for x in seconds], minlength=len(firsts)).astype(int)
+                out += [(policy, int(t), int(c)) for t, c in zip(firsts, n, strict=True) if c]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["policy", "at", "n"])
+
+    return run
+
+
+def job_alerts(log: DataFrame, every: int = ALERT_EVERY, block: int = ALERT_BLOCK) -> DataFrame:
+    """Alerts of log(event, at, job_id), at in seconds: policy, at, job_id, event, held_back.
+
+    A policy alerts with its first line and then with the first one at least `every` seconds after
+    its last alert, so windows roll with the alerts. held_back counts the lines since the alert
+    before that made none. Of several lines in a second the least (job_id, event) is named.
+
+    Lines are added up per second and cut into days (blocks). All a day needs of the past is for how many
+    seconds the last alert still holds, so each tabulates that number's way through it; the tables
+    are composed in groups, and then every day finds its alerts.
+    """
+    lines = log.select(alert_policy().alias("policy"), "at", "job_id", "event").where("policy is not null")
+    second = cut_lineage(lines.groupBy("policy", "at").agg(F.min(F.struct("job_id", "event")).alias("f"), F.count("*").alias("n")))
+    day = F.floor(F.col("at") / block).cast("bigint").alias("day")
+    days = second.groupBy("policy", day).agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("seconds"))
+    along = Window.partitionBy("policy").orderBy("day")
+    # a day without its predecessor starts free
+    days = days.withColumn("chain", F.sum((F.coalesce(F.lag("day").over(along) != F.col("day") - 1, F.lit(True))).cast("bigint")).over(along))
+    days = cut_lineage(days.withColumn("pos", (F.row_number().over(Window.partitionBy("policy", "chain").orderBy("day")) - 1).cast("bigint")))
+    tables = days.select("policy", "day", "seconds").mapInArrow(_alert_tables(every, block), "policy string, day bigint, tab array<int>")
+    places = days.select("policy", "chain", "day", "pos")
+    came = compose(tables.join(places, ["policy", "day"]), ["policy", "chain"]).join(places, ["policy", "chain", "pos"])
+    found = days.select("policy", "day", "seconds").join(came.select("policy", "day", "came"), ["policy", "day"])
+    found = found.mapInArrow(_alerts_of(every, block), "policy string, at bigint, n bigint")
+    alerts = found.groupBy("policy", "at").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("policy").orderBy("at")  # at most one alert per policy in ten minutes
+    alerts = alerts.withColumn("held_back", F.coalesce(F.lag("n").over(order) - 1, F.lit(0)))
+    return alerts.join(second.select("policy", "at", "f"), ["policy", "at"]).select("policy", "at", "f.job_id", "f.event", "held_back")
 
 
 def recent_jobs(jobs: DataFrame, limit: int) -> DataFrame:

@@ -1,43 +1,33 @@
-"""Gradient-boosted make/miss models with MLlib."""
+"""Make/miss models: fitting, out-of-fold scores and scoring of whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline as Stages
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackmill.operators import evaluate, scoring
+from trackmill.functions.scores import remap
+from trackmill.operators import boosting, evaluate, scoring
+from trackmill.operators.boosting import Model, Settings
 from trackmill.session import cut_lineage
 
 # Fixed settings of the two model kinds.
 SETTINGS = {
-    "filter": dict(maxIter=100, maxDepth=3, stepSize=0.1, subsamplingRate=1.0),
-    "prelabel": dict(maxIter=150, maxDepth=2, stepSize=0.05, subsamplingRate=0.8),
+    "filter": Settings(trees=100, depth=3, rate=0.1),
+    "prelabel": Settings(trees=150, depth=2, rate=0.05, sample=0.8),
 }
-FITS_AT_ONCE = 4
 
 
-def fit_classifier(rows: DataFrame, features: Sequence[str], kind: str = "prelabel", **overrides) -> PipelineModel:
-    """Fit on rows(label BOOLEAN, features…)."""
-    gbt = GBTClassifier(
-        featuresCol="_x", labelCol="_y", seed=0, checkpointInterval=10, **{**SETTINGS[kind], **overrides}
-    )
-    x = VectorAssembler(inputCols=list(features), outputCol="_x")
-    return Stages(stages=[x, gbt]).fit(rows.withColumn("_y", F.col("label").cast("double")))
+def fit_classifier(rows: DataFrame, features: Sequence[str], kind: str = "prelabel", **overrides) -> Model:
+    """Fit on rows(label BOOLEAN, features…); overrides are fields of Settings."""
+    return boosting.fit(rows, features, replace(SETTINGS[kind], **overrides))
 
 
-def predict(model: PipelineModel, rows: DataFrame, name: str = "raw") -> DataFrame:
+def predict(model: Model, rows: DataFrame, name: str = "raw") -> DataFrame:
     """Adds the probability of a make."""
-    out = model.transform(rows)
-    return out.select(*rows.columns, vector_to_array("probability")[1].alias(name))
+    return boosting.predict(model, rows, name)
 
 
 def fold_of(group: Column, n: int) -> Column:
@@ -45,6 +35,10 @@ def fold_of(group: Column, n: int) -> Column:
     return (F.conv(F.substring(F.md5(group.cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint") % n).cast("int")
 
 
+def _folds(group: str, folds: int | None) -> Column:
+    return (F.col(group) if folds is None else fold_of(F.col(group), folds)).cast("string")
+
+
 def leave_one_group_out(
     train_rows: DataFrame, all_rows: DataFrame, features: Sequence[str], group: str, clip: Sequence[str],
     kind: str = "prelabel", folds: int | None = None, **overrides,
@@ -53,24 +47,19 @@ def leave_one_group_out(
 
     The caller chooses the protocol, whatever the number of groups: folds=None
     gives each group of all_rows a fold of its own (one model per group),
-    folds=n hashes the groups into n folds that keep every group whole. Groups
-    without training rows are scored like any other.
+    folds=n hashes the groups into n folds that keep every group whole. All folds
+    are fitted in one job. Groups without training rows are scored like any other.
     """
-    if folds is None:
-        names = sorted(r[0] for r in all_rows.select(group).distinct().collect())
-        tests = [F.col(group) == name for name in names]
-    else:
-        tests = [fold_of(F.col(group), folds) == i for i in range(folds)]
-    tr = cut_lineage(train_rows.select(group, "label", *features))
-    te = cut_lineage(all_rows.select(group, *[c for c in clip if c != group], *features))
+    return _out_of_fold(train_rows, all_rows, features, group, clip, kind, folds, **overrides)[1]
 
-    def scored(test: Column) -> DataFrame:
-        return predict(fit_classifier(tr.where(~test), features, kind, **overrides), te.where(test))
 
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        parts = list(pool.map(scored, tests))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.groupBy(*clip).agg(F.max("raw").alias("score"))
+def _out_of_fold(train_rows, all_rows, features, group, clip, kind, folds, **overrides) -> tuple[Model, DataFrame]:
+    """The models, the one on all rows among them, and the out-of-fold score per clip."""
+    fold = _folds(group, folds)
+    asked = all_rows.select(fold.alias("fold")).where("fold IS NOT NULL")
+    model = boosting.fit(train_rows, features, replace(SETTINGS[kind], **overrides), fold, asked)
+    raw = boosting.predict(model, all_rows.select(group, *[c for c in clip if c != group], *features), fold=fold)
+    return model, raw.groupBy(*clip).agg(F.max("raw").alias("score"))
 
 
 def train(shots: DataFrame, labels: DataFrame, features: Sequence[str], kind="prelabel", folds=None, **overrides):
@@ -81,22 +70,21 @@ def train(shots: DataFrame, labels: DataFrame, features: Sequence[str], kind="pr
     big = ranked.groupBy("video_id").agg(F.count("*").alias("n")).where(F.col("n") >= evaluate.MIN_SHOTS)
     judged = labels.where(F.col("label").isin("goal", "no_goal")).join(big, "video_id", "left_semi")
     test = ranked.join(judged.select("video_id", "clip"), ["video_id", "clip"], "left_semi")
-    oof = leave_one_group_out(rows, test, features, "video_id", ["video_id", "clip"], kind, folds, **overrides)
+    model, oof = _out_of_fold(rows, test, features, "video_id", ["video_id", "clip"], kind, folds, **overrides)
     oof = cut_lineage(oof.join(judged.select("video_id", "clip", (F.col("label") == "goal").alias("label")), ["video_id", "clip"]))
-    model = fit_classifier(rows, features, kind, **overrides)
     return model, evaluate.two_cutoffs(oof), oof
 
 
-def score_videos(shots: DataFrame, model: PipelineModel, cutoffs: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Display score and likeliest shot of every clip of every recording at once."""
+def score_videos(shots: DataFrame, model: Model, cutoffs: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Display score and likeliest shot of every clip of every recording at once; cutoffs holds one row (lo, hi)."""
+    if cutoffs.limit(2).count() != 1:
+        raise ValueError("one row of cut-offs is needed")
     ranked = scoring.rank_within(shots, ["video_id", "clip", "shot_idx"], features)
-    raw = predict(model, ranked).crossJoin(F.broadcast(cutoffs.limit(1)))  # one row of cut-offs
+    raw = predict(model, ranked).crossJoin(F.broadcast(cutoffs))
     sized = raw.groupBy("video_id").agg(F.count("*").alias("n")).where(F.col("n") >= scoring.MIN_SHOTS)
     best = raw.groupBy("video_id", "clip").agg(
         F.max_by(F.struct("raw", "shot_idx", "lo", "hi"), F.struct(F.col("raw"), -F.col("shot_idx"))).alias("b")
     ).join(sized, "video_id", "left_semi")
-    from trackmill.functions.scores import remap
-
     return best.select(
         "video_id", "clip", F.col("b.shot_idx").alias("shot_idx"),
         F.bround(remap(F.col("b.raw"), F.col("b.lo"), F.col("b.hi")), 3).alias("score"),

@@ -35,9 +35,11 @@ def ts_ms(c: str):
     return F.expr(TS_MS.format(c))
 
 
-def track(spark: SparkSession, d: str) -> DataFrame:
-    """events -> one point per frame of a recording (= user)."""
+def track(spark: SparkSession, d: str, recordings: int | None = None) -> DataFrame:
+    """events -> one point per frame of a recording (= user, or user modulo the number of recordings)."""
     ev = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value", "props")
+    if recordings:
+        ev = ev.withColumn("user_id", F.col("user_id") % recordings)
     ev = with_ordinal(ev, ["user_id"], F.datediff(F.col("ts"), F.lit("1970-01-01").cast("date")).cast("bigint"),
                       ["ts", "event_id"], "n")
     seen = F.col("event_type") != "error"
@@ -66,9 +68,9 @@ sighted AS (
   SELECT *, nullif(last_value(mk IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY t_ms), -1) AS above_ms FROM marked)"""
 
 
-def stored_track(spark: SparkSession, d: str) -> DataFrame:
+def stored_track(spark: SparkSession, d: str, recordings: int | None = None) -> DataFrame:
     """The track as the table an earlier stage would have left, for queries that read it more than once."""
-    return cut_lineage(track(spark, d))
+    return cut_lineage(track(spark, d, recordings))
 
 
 def timed(spark: SparkSession, d: str, kind: str) -> DataFrame:

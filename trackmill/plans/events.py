@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trackmill.operators import events as ev
+from trackmill.operators import events as ev, matching
 from trackmill.plans import bindings as b
 from trackmill.plans.registry import query
 
@@ -104,7 +104,7 @@ outcomes AS (
 
 @query("match_events", f"WITH RECURSIVE {MATCHED} SELECT * FROM outcomes")
 def match_events(spark, d):
-    return ev.match_events(b.timed(spark, d, "purchase"), b.timed(spark, d, "signup"), b.MATCH_TOL_MS)
+    return matching.match_events(b.timed(spark, d, "purchase"), b.timed(spark, d, "signup"), b.MATCH_TOL_MS)
 
 
 @query("event_metrics", f"""WITH RECURSIVE {MATCHED}, c AS (

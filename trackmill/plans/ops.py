@@ -125,10 +125,18 @@ def job_log(spark, d):
         .when(t == "signup", "worker_trigger_failed").otherwise("other").alias("event"))
 
 
-@query("job_alerts", f"""WITH {LOG}, p AS (SELECT *, CASE WHEN event = 'job_failed' THEN 'job_failed' ELSE 'job_stuck' END AS policy FROM log
-  WHERE event <> 'other')
-SELECT policy, min(lat) AS "at", arg_min(job_id, (lat, job_id)) AS job_id, arg_min(event, (lat, job_id)) AS event, count(*) AS n_events
-FROM p GROUP BY policy, lat // 600""")
+ALERTS = f"""{LOG}, sec AS (SELECT policy, lat, min((job_id, event)) AS f, count(*) AS n FROM (
+  SELECT *, CASE WHEN event = 'job_failed' THEN 'job_failed' ELSE 'job_stuck' END AS policy FROM log WHERE event <> 'other') GROUP BY ALL),
+nexts AS (SELECT policy, lat, min(lat) OVER (PARTITION BY policy ORDER BY lat RANGE BETWEEN 600 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM sec),
+chain AS (
+  SELECT policy, min(lat) AS lat FROM sec GROUP BY 1 UNION ALL
+  SELECT c.policy, x.later FROM chain c JOIN nexts x ON x.policy = c.policy AND x.lat = c.lat WHERE x.later IS NOT NULL),
+sums AS (SELECT c.policy, c.lat, CAST(sum(s.n) AS BIGINT) AS n FROM chain c JOIN sec s ON s.policy = c.policy AND s.lat BETWEEN c.lat AND c.lat + 599 GROUP BY ALL),
+alerts AS (SELECT policy, lat AS "at", f[1] AS job_id, f[2] AS event,
+  coalesce(lag(sums.n) OVER (PARTITION BY policy ORDER BY lat) - 1, 0) AS held_back FROM sums JOIN sec USING (policy, lat))"""
+
+
+@query("job_alerts", f"WITH RECURSIVE {ALERTS} SELECT * FROM alerts")
 def job_alerts(spark, d):
     return ops.job_alerts(job_log(spark, d))
 

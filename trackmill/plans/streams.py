@@ -13,13 +13,14 @@ from pyspark.sql.types import LongType
 from trackmill.plans import bindings as b
 from trackmill.plans.labels import FOLD, actions
 from trackmill.plans.events import WALK
-from trackmill.plans.ops import LOG, job_log
+from trackmill.plans.ops import ALERTS, LOG, job_log
 from trackmill.plans.registry import query, table
 from trackmill.session import shared_folder
+from trackmill.streaming.jobs import stream_job_alerts, stream_silent_jobs
 from trackmill.streaming.labels import stream_labels
 from trackmill.streaming.makes import stream_makes
 from trackmill.streaming.state import PROVIDER, ROCKS
-from trackmill.streaming.windows import stream_clusters, stream_job_alerts, stream_stale_jobs
+from trackmill.streaming.windows import stream_clusters, stream_stale_jobs
 
 
 class _Live:
@@ -61,13 +62,14 @@ def with_end(spark, df, **values):
     return live, lambda: row.write.mode("append").parquet(folder)
 
 
-def finish(spark, df, mode="append", end=None):
+def finish(spark, df, mode="append", end=None, trigger=None):
     """Run a stream over all of its input into files of the shared folder and read them back.
 
-    end adds the closing record; the query then goes on from its checkpoint.
+    trigger: by default all that is available; with timers on the wall clock that never ends, so such
+    a stream takes one batch instead. end adds the closing record; the query then goes on from its checkpoint.
     """
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    w = df.writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True)
+    w = df.writeStream.option("checkpointLocation", f"{out}/state").trigger(**(trigger or {"availableNow": True}))
     if mode == "append":
         w = w.format("parquet").option("path", f"{out}/rows")
     else:
@@ -112,13 +114,20 @@ def clusters(spark, d):
     return finish(spark, stream_clusters(events, 6 * b.HOUR_MS), end=end)
 
 
-@query("stream_job_alerts", f"""WITH {LOG}, p AS (SELECT *, CASE WHEN event = 'job_failed' THEN 'job_failed' ELSE 'job_stuck' END AS policy FROM log
-  WHERE event <> 'other')
-SELECT policy, min(lat) AS "at", arg_min(job_id, (lat, job_id)) AS job_id, arg_min(event, (lat, job_id)) AS event, count(*) AS n_events
-FROM p GROUP BY policy, lat // 600""")
+@query("stream_job_alerts", f"WITH RECURSIVE {ALERTS} SELECT * FROM alerts")
 def job_alerts(spark, d):
-    log, end = with_end(spark, job_log(_Live(spark), d), job_id=-1, at=END_MS // 1000, event="job_failed")
-    return finish(spark, stream_job_alerts(log), end=end)
+    with state_store(spark):
+        log, end = with_end(spark, job_log(_Live(spark), d), job_id=-1, at=END_MS // 1000, event="job_failed")
+        return finish(spark, stream_job_alerts(log), end=end)
+
+
+@query("stream_silent_jobs", f"""WITH {LOG}, s AS (SELECT job_id % 50 AS id, lat, CASE WHEN event = 'other' THEN 'running' ELSE 'stopped' END AS state FROM log)
+SELECT id, max(lat) AS seen_at FROM s GROUP BY id HAVING max((lat, state))[2] = 'running'""")
+def silent_jobs(spark, d):
+    """Every job of the log has been silent for long by the wall clock; those that were running are reported."""
+    state = F.when(F.col("event") == "other", "running").otherwise("stopped")
+    with state_store(spark):
+        return finish(spark, stream_silent_jobs(job_log(_Live(spark), d).select((F.col("job_id") % 50).alias("id"), "at", state.alias("state"))), trigger={"once": True})
 
 
 @query("stream_stale_jobs", f"""WITH {LOG}, s AS (SELECT job_id % 50 AS id, lat, CASE WHEN event = 'other' THEN 'running' ELSE 'stopped' END AS state,

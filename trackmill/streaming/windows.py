@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.operators.events import MERGE_GAP_MS
-from trackmill.operators.ops import ALERT_EVERY, ALERT_POLICIES, STALE_AFTER
+from trackmill.operators.ops import STALE_AFTER
 
 
 def stream_clusters(events: DataFrame, gap_ms: int = MERGE_GAP_MS, lateness: str = "10 seconds") -> DataFrame:
@@ -25,6 +25,9 @@ def stream_clusters(events: DataFrame, gap_ms: int = MERGE_GAP_MS, lateness: str
 def stream_stale_jobs(signs: DataFrame, lateness: str = "10 seconds") -> DataFrame:
     """Running jobs that fell silent: one row per stretch of signs(id, at, state) that ended STALE_AFTER ago.
 
+    Silence is measured on the stream's own clock, so old logs can be replayed; when nothing arrives at
+    all, see jobs.stream_silent_jobs.
+
     at is in seconds. A job whose last sign has another state than running has ended, not fallen silent;
     of several signs in one second the last state by name counts. Without a state column every job counts.
     """
@@ -33,17 +36,3 @@ def stream_stale_jobs(signs: DataFrame, lateness: str = "10 seconds") -> DataFra
     # strictly more than STALE_AFTER without a sign
     g = d.groupBy("id", F.session_window("ts", f"{STALE_AFTER} seconds")).agg(F.max(F.struct("at", "state")).alias("last"))
     return g.where("last.state = 'running'").select("id", F.col("last.at").alias("seen_at"))
-
-
-def stream_job_alerts(log: DataFrame, lateness: str = "1 minute") -> DataFrame:
-    """First log line per policy in every ten-minute window, once the window has closed."""
-    policy = None
-    for event, name in ALERT_POLICIES.items():
-        hit = F.col("event") == event
-        policy = F.when(hit, name) if policy is None else policy.when(hit, name)
-    d = log.select(policy.alias("policy"), "at", "job_id", "event", F.timestamp_seconds("at").alias("ts"))
-    d = d.where("policy is not null").withWatermark("ts", lateness)
-    g = d.groupBy("policy", F.window("ts", f"{ALERT_EVERY} seconds")).agg(
-        F.min(F.struct("at", "job_id", "event")).alias("f"), F.count("*").alias("n_events")
-    )
-    return g.select("policy", "f.at", "f.job_id", "f.event", "n_events")
