@@ -8,12 +8,9 @@ from trackmill.operators import features, scoring, tracks
 TRACK = "video_id string, t_ms long, cx double, cy double"
 
 
-RIM = box(0.20, 0.50, 0.36, 0.58)
-
-
 def first_crossing(spark, **tracks):
     rows = [(name, *point) for name, points in tracks.items() for point in points]
-    return {r.video_id: r for r in features.track_features(spark.createDataFrame(rows, TRACK), RIM).collect()}
+    return {r.video_id: r for r in features.track_features(spark.createDataFrame(rows, TRACK), box(0.20, 0.50, 0.36, 0.58)).collect()}
 
 
 def test_features_of_the_first_crossing(spark):

@@ -75,9 +75,9 @@ def two_cutoffs(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
     ok = (F.col("t") > F.col("lo")) & (F.col("kept") >= MIN_KEPT) & (F.col("made") / F.col("kept") >= MIN_PRECISION)
     j = r.join(lo, keys) if keys else r.crossJoin(lo)  # lo is a single row without keys
-    return j.groupBy(*keys, "lo").agg(
-        F.coalesce(F.min(F.when(ok, F.col("t"))), F.greatest(F.col("lo") + 1e-3, F.lit(0.5))).alias("hi")
-    )
+    best = j.groupBy(*keys).agg(F.min(F.when(ok, F.col("t"))).alias("_hi"))
+    out = lo.join(best, keys, "left") if keys else lo.crossJoin(best)
+    return out.select(*keys, "lo", F.coalesce("_hi", F.greatest(F.col("lo") + 1e-3, F.lit(0.5))).alias("hi"))
 
 
 def filter_report(scores: DataFrame, threshold: float, video="video") -> DataFrame:

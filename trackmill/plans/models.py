@@ -91,8 +91,8 @@ def video_scores(spark, d):
 
 # ---- from tracks to scores ------------------------------------------------------
 
-#: Long recordings, so that most have enough shots to be ranked.
-RECORDINGS = 16
+#: Two long recordings, so that each has enough shots to be ranked at every scale.
+RECORDINGS = 2
 LONG = b.TRACK.replace("user_id AS video_id", f"user_id % {RECORDINGS} AS video_id").replace("PARTITION BY user_id", f"PARTITION BY user_id % {RECORDINGS}")
 CLIPPED = WALK.replace(b.TRACK, LONG) + """, numbered AS (
   SELECT video_id, make_ms, sum(brk) OVER (PARTITION BY video_id ORDER BY make_ms) AS clip
