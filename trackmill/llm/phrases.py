@@ -10,16 +10,11 @@ Phrases grow by one word a round, to the right in the index of the reversed sequ
 left in the other, in turn: the words within an interval of a transform are the extensions, and how
 often each stands there is the longer phrase's count. A phrase is only looked for if both phrases it
 consists of, without its first and without its last word, have `least` occurrences everywhere, since no
-longer phrase is more frequent. Counts are then summed across shards in two steps:
-
-1. phrases are hashed to a number of values at least twice that of all bytes, and a shard sends the sorted
-   values, range by range, as packed gaps with their counts, about two bytes a phrase. Sums of a value
-   are never below the count of a phrase that has it, so values with less than `least` drop out;
-2. phrases of the other values are sent as they are and summed exactly, in one exchange that also
-   tells each shard which of its phrases go on.
-
-So nothing is lost: neither a shard's own count nor a hash ever decides that a phrase is frequent or
-that it is not. Shards are stored in buckets, so the rounds bring short lists to them and never move them.
+longer phrase is more frequent. Counts are summed across shards by 80-bit fingerprints of language and
+phrase: a shard sends its sorted fingerprints, range by range, as packed gaps with their counts (about
+eight bytes a phrase); a range's sums go back, as packed, to the shards that have the frequent ones;
+and the first of these shards writes the phrase and its count out. No shard's own count decides.
+Shards are stored in buckets, so the rounds bring short lists to them and never move them.
 
 Everything else are joins over the frequent phrases: the scores of all cuts, the least of them, and
 what a longer phrase explains. No dictionary, phrase list or language passes through the driver or
@@ -64,7 +59,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 SHARDS = "shard long, lang string, n long, words array<string>, counts array<long>, forward binary, backward binary"
-FOUND = "lang string, phrase string, shard long, w1 int, w2 int, w3 int, c long"
+KEPT = "shard long, lang string, known binary, phrases array<string>, f array<long>"
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -193,106 +188,127 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 class Round:
     """One round: the phrases of `depth` words that a shard can have, from its frequent ones of one word less."""
 
-    def __init__(self, depth: int, bits: int, part_bits: int):
-        self.depth, self.bits, self.part_bits = depth, bits, part_bits
+    def __init__(self, depth: int, part_bits: int):
+        self.depth, self.part_bits = depth, part_bits
         self.right = depth % 2 == 0
-        self.side = "backward" if self.right else "forward"
-
-    def phrases(self, batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Word ids, counts and hash values of the phrases, and the shard's words."""
-        known = batch.column("known")[i].values
-        known = np.stack([known.field(f"w{j}").to_numpy(zero_copy_only=False).astype(np.int64) for j in range(1, self.depth)], axis=1)
-        index = Index(np.frombuffer(batch.column("transformed")[i].as_buffer(), dtype=np.int32))
-        owner, symbol, counts = index.before(*index.find(known[:, ::-1] if self.right else known))
-        found = np.column_stack([known[owner], symbol] if self.right else [symbol, known[owner]])
-        some = contained(known, found[:, 1:] if self.right else found[:, :-1])
-        found, counts = found[some], counts[some]
-        words = batch.column("words")[i].values
-        of_word = hashes(words)
-        lang = hashlib.sha256(batch.column("lang")[i].as_py().encode()).digest()
-        value = np.full(len(found), int.from_bytes(lang[:8], "little"), dtype=np.uint64)
-        for c in found.T:
-            value = mix(value + of_word[c - 1])
-        return found, counts, value >> np.uint64(64 - self.bits), words
+        self.side = "counts" if depth == 1 else "backward" if self.right else "forward"
 
-    def bounds(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """part, shard and the packed values of that part with their counts."""
+    def phrases(self, batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Word ids, counts, fingerprints and their checks of the phrases, and the shard's words."""
+        words, side = batch.column("words")[i].values, batch.column("side")[i]
+        if self.depth == 1:
+            found, counts = np.arange(1, len(words) + 1)[:, None], side.values.to_numpy()
+        else:
+            known = np.frombuffer(batch.column("known")[i].as_buffer(), dtype=np.int32).reshape(-1, self.depth - 1).astype(np.int64)
+            index = Index(np.frombuffer(side.as_buffer(), dtype=np.int32))
+            owner, symbol, counts = index.before(*index.find(known[:, ::-1] if self.right else known))
+            found = np.column_stack([known[owner], symbol] if self.right else [symbol, known[owner]])
+            some = contained(known, found[:, 1:] if self.right else found[:, :-1])
+            found, counts = found[some], counts[some]
+        lang = hashlib.sha256(batch.column("lang")[i].as_py().encode()).digest()
+        prints = []
+        for seed in (0, 1):
+            of_word = hashes(words, seed)
+            value = np.full(len(found), int.from_bytes(lang[8 * seed : 8 * seed + 8], "little"), dtype=np.uint64)
+            for c in found.T:
+                value = mix(value + of_word[c - 1])
+            prints.append(value)
+        return found, counts, prints[0], (prints[1] >> np.uint64(48)).astype(np.uint16), words
+
+    def send(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """part, shard and the packed fingerprints of that part with their counts."""
         for batch in batches:
             for i in range(batch.num_rows):
-                _, counts, value, _ = self.phrases(batch, i)
+                _, counts, value, check, _ = self.phrases(batch, i)
                 if not len(value):
                     continue
                 order = np.argsort(value)
-                value = value[order]
-                heads = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-                value, counts = value[heads], np.add.reduceat(counts[order], heads)
-                edges = np.searchsorted(value, np.arange(1 << self.part_bits, dtype=np.uint64) << np.uint64(self.bits - self.part_bits))
+                value, check, counts = value[order], check[order], counts[order]
+                edges = np.searchsorted(value, np.arange(1 << self.part_bits, dtype=np.uint64) << np.uint64(64 - self.part_bits)) if self.part_bits else np.zeros(1, np.int64)
                 edges = np.append(edges, len(value))
                 parts = np.flatnonzero(edges[1:] > edges[:-1])
-                packed = [pack(value[a:b], counts[a:b]) for a, b in zip(edges[parts].tolist(), edges[parts + 1].tolist(), strict=True)]
+                packed = [pack(value[a:b], check[a:b], counts[a:b]) for a, b in zip(edges[parts].tolist(), edges[parts + 1].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(parts.astype(np.int32)), pa.repeat(batch.column("shard")[i], len(parts)), pa.array(packed, pa.binary())], names=["part", "shard", "packed"]
                 )
 
-    def longer(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The phrases whose values may be frequent."""
+    def keep(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shard's frequent phrases, as word ids; and those it is the first shard of, as text with their counts."""
         for batch in batches:
             for i in range(batch.num_rows):
-                phrases, counts, value, words = self.phrases(batch, i)
-                some = np.isin(value, np.concatenate([unpack(x.as_py())[0] for x in batch.column("allowed")[i].values]))
-                phrases, counts = phrases[some], counts[some]
-                for first in range(0, len(phrases), 1 << 16):
-                    part = phrases[first : first + (1 << 16)]
-                    text = pc.binary_join_element_wise(*(words.take(pa.array(c - 1)) for c in part.T), " ")
-                    ids = [pa.array(part[:, j].astype(np.int32)) if j < self.depth < DEPTH else pa.nulls(len(part), pa.int32()) for j in range(3)]
-                    columns = [pa.repeat(batch.column("lang")[i], len(part)), text, pa.repeat(batch.column("shard")[i], len(part)), *ids, pa.array(counts[first : first + (1 << 16)])]
-                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
-
-
-def hashes(words: pa.Array) -> np.ndarray:
+                phrases, _, value, check, words = self.phrases(batch, i)
+                value_, check_, told = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in batch.column("replies")[i].values), strict=True))
+                order = np.argsort(value_)
+                value_, check_, told = value_[order], check_[order], told[order]
+                at = np.searchsorted(value_, value)
+                last = np.searchsorted(value_, value, "right")
+                some = np.flatnonzero(last > at)
+                for j in np.flatnonzero(last - at > 1):  # fingerprints that differ in the check only
+                    at[j] += int((check_[at[j] : last[j]] == check[j]).argmax())
+                some = some[check_[at[some]] == check[some]]
+                phrases, told = phrases[some], told[at[some]]
+                own = (told & 1).astype(bool)
+                text = pc.binary_join_element_wise(*(words.take(pa.array(c - 1)) for c in phrases[own].T), " ")
+                row = [pa.array([x]) for x in (batch.column("shard")[i].as_py(), batch.column("lang")[i].as_py(), phrases.astype(np.int32).tobytes())]
+                lists = [pa.ListArray.from_arrays(pa.array([0, int(own.sum())], pa.int32()), x) for x in (text.cast(pa.string()), pa.array(told[own] >> 1))]
+                yield pa.RecordBatch.from_arrays([*row, *lists], names=[c.split()[0] for c in KEPT.split(", ")])
+
+
+def hashes(words: pa.Array, seed: int) -> np.ndarray:
     """A 64-bit value per word."""
     large = words.cast(pa.large_string())
     if not len(large):
         return np.zeros(0, dtype=np.uint64)
     offsets = np.frombuffer(large.buffers()[1], dtype=np.int64)[large.offset : large.offset + len(large) + 1]
     data = np.frombuffer(large.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-    return Sums(byte_values(data)).of(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
+    return Sums(byte_values(data, seed), seed).of(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
 
 
 def _least_width(x: np.ndarray) -> np.dtype:
     return next(d for d in map(np.dtype, ("<u1", "<u2", "<u4", "<u8")) if int(x.max(initial=0)) <= np.iinfo(d).max)
 
 
-def pack(values: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted values as gaps, with their counts, compressed."""
+def pack(values: np.ndarray, checks: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted fingerprints as gaps, with their checks and counts, compressed."""
     gaps = np.diff(values, prepend=np.uint64(0))
     kinds = [_least_width(gaps), _least_width(counts)]
-    body = gaps.astype(kinds[0]).tobytes() + counts.astype(kinds[1]).tobytes()
+    body = gaps.astype(kinds[0]).tobytes() + checks.astype("<u2").tobytes() + counts.astype(kinds[1]).tobytes()
     return struct.pack("<QBB", len(values), *(k.itemsize for k in kinds)) + pa.Codec("zstd").compress(body, asbytes=True)
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, a, b = struct.unpack_from("<QBB", data)
-    body = pa.Codec("zstd").decompress(data[10:], decompressed_size=n * (a + b), asbytes=True)
-    return np.cumsum(np.frombuffer(body, f"<u{a}", n).astype(np.uint64)), np.frombuffer(body, f"<u{b}", n, n * a).astype(np.int64)
+    body = pa.Codec("zstd").decompress(data[10:], decompressed_size=n * (a + 2 + b), asbytes=True)
+    gaps = np.frombuffer(body, f"<u{a}", n).astype(np.uint64)
+    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(body, "<u2", n, n * a), np.frombuffer(body, f"<u{b}", n, n * (a + 2)).astype(np.int64)
+
 
+def _sums(least: int):
+    """To each shard and part its fingerprints of at least `least` occurrences, with twice that count, plus 1 for the first shard.
 
-def _allowed(least: int):
-    """Per shard and part the values whose sum over all shards reaches `least`; rows come part by part."""
+    Rows come sorted by part and shard; one part at a time is held.
+    """
 
     def close(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         opened = [unpack(x) for _, x in rows]
-        values = np.concatenate([v for v, _ in opened])
-        _, at = np.unique(values, return_inverse=True)
-        enough = np.bincount(at, weights=np.concatenate([c for _, c in opened])) >= least
-        ends = np.cumsum([len(v) for v, _ in opened])
-        shards, packed = [], []
-        for (shard, _), (v, _), end in zip(rows, opened, ends.tolist(), strict=True):
-            v = v[enough[at[end - len(v) : end]]]
-            if len(v):
+        values, checks, counts = (np.concatenate(x) for x in zip(*opened, strict=True))
+        _, first, at = np.unique(values, return_index=True, return_inverse=True)
+        if (checks != checks[first[at]]).any():
+            both = np.empty(len(values), dtype=[("v", "<u8"), ("c", "<u2")])
+            both["v"], both["c"] = values, checks
+            _, first, at = np.unique(both, return_index=True, return_inverse=True)
+        total = np.bincount(at, weights=counts).astype(np.int64)
+        told = 2 * total[at]
+        told[first] += 1
+        enough = total[at] >= least
+        shards, packed, begin = [], [], 0
+        for (shard, _), (v, c, _) in zip(rows, opened, strict=True):
+            some, mine = enough[begin : begin + len(v)], told[begin : begin + len(v)]
+            if some.any():
                 shards.append(shard)
-                packed.append(pack(v, np.zeros(len(v), dtype=np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "allowed"])
+                packed.append(pack(v[some], c[some], mine[some]))
+            begin += len(v)
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(packed, pa.binary())], names=["shard", "reply"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part = [], None
@@ -313,7 +329,7 @@ def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST, shard_bytes:
     """All phrases of 1 to DEPTH words with at least `least` occurrences (lang, phrase, f, size), and all words per lang (lang, n)."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits, part_bits = max(16, (2 * size).bit_length()), max(0, (size // PART_BYTES).bit_length())
+    part_bits = (size // PART_BYTES).bit_length()
     buckets = max(4, -(-size // BUCKET_BYTES))
     table = f"phrases_{uuid.uuid4().hex}"
     try:
@@ -321,38 +337,29 @@ def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST, shard_bytes:
             shards(docs, shard_bytes).write.format("parquet").option("compression", "zstd").option("path", f"{scratch.root}/shards").bucketBy(buckets, "shard").saveAsTable(table)
         stored = spark.table(table)
         totals = scratch.save("totals", stored.groupBy("lang").agg(F.sum("n").alias("n")))
-        return _rounds(stored, scratch, least, bits, part_bits, buckets), totals
+        return _rounds(stored, scratch, least, part_bits, buckets), totals
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         scratch.drop("shards")
 
 
-def _rounds(stored: DataFrame, scratch: Scratch, least: int, bits: int, part_bits: int, buckets: int) -> DataFrame:
-    words = stored.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    nothing = F.lit(None).cast("int")
-    found = words.select("lang", F.col("w.words").alias("phrase"), "shard", (F.col("at") + 1).alias("w1"), nothing.alias("w2"), nothing.alias("w3"), F.col("w.counts").alias("c"))
-    grams = None
+def _rounds(stored: DataFrame, scratch: Scratch, least: int, part_bits: int, buckets: int) -> DataFrame:
+    grams, kept = None, None
     for depth in range(1, DEPTH + 1):
-        if depth > 1:
-            step = Round(depth, bits, part_bits)
-            lists = kept.groupBy("shard").agg(F.collect_list(F.struct("w1", "w2", "w3")).alias("known"))
-            lists = scratch.save(f"back-{depth}", lists)
-            met = stored.select("shard", "lang", "words", F.col(step.side).alias("transformed")).hint("merge").join(lists.repartition(buckets, "shard"), "shard")
-            parts = met.mapInArrow(step.bounds, "part int, shard long, packed binary").repartition(max(buckets, 1 << part_bits), "part").sortWithinPartitions("part")
-            allowed = parts.mapInArrow(_allowed(least), "shard long, allowed binary")
-            allowed = scratch.save(f"allowed-{depth}", allowed.groupBy("shard").agg(F.collect_list("allowed").alias("allowed")))
-            found = met.join(allowed.repartition(buckets, "shard"), "shard").mapInArrow(step.longer, FOUND)
-        if depth < DEPTH:  # one exchange gives both the sums and the shards to return to
-            every = Window.partitionBy("lang", "phrase")
-            summed = found.withColumn("f", F.sum("c").over(every))
-            kept = scratch.save(f"kept-{depth}", summed.filter(F.col("f") >= least).drop("c"))
-            sums = kept.groupBy("lang", "phrase").agg(F.max("f").alias("f"))
-        else:
-            sums = found.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-        sums = scratch.save(f"grams-{depth}", sums.withColumn("size", F.lit(depth)))
+        step = Round(depth, part_bits)
+        source = stored.select("shard", "lang", "words", F.col(step.side).alias("side")).hint("merge")
+        if kept is not None:
+            source = source.join(kept.select("shard", "known").repartition(buckets, "shard"), "shard")
+        parts = source.mapInArrow(step.send, "part int, shard long, packed binary")
+        parts = parts.repartition(max(buckets, 1 << part_bits), "part").sortWithinPartitions("part", "shard")
+        replies = parts.mapInArrow(_sums(least), "shard long, reply binary").groupBy("shard").agg(F.collect_list("reply").alias("replies"))
+        replies = scratch.save(f"replies-{depth}", replies)
+        kept = scratch.save(f"kept-{depth}", source.join(replies.repartition(buckets, "shard"), "shard").mapInArrow(step.keep, KEPT))
+        rows = kept.select("lang", F.explode(F.arrays_zip("phrases", "f")).alias("x"))
+        sums = scratch.save(f"grams-{depth}", rows.select("lang", F.col("x.phrases").alias("phrase"), F.col("x.f").alias("f"), F.lit(depth).alias("size")))
         grams = sums if grams is None else grams.union(sums)
-        if depth > 1:
-            scratch.drop(f"back-{depth}", f"allowed-{depth}", f"kept-{depth - 1}")
+        scratch.drop(f"replies-{depth}", f"kept-{depth - 1}")
+    scratch.drop(f"kept-{DEPTH}")
     return grams
 
 
