@@ -9,34 +9,19 @@ from trackmill.plans.labels import view_parts
 from trackmill.plans.registry import query
 from trackmill.plans.selection import STARRED, starred
 from trackmill.session import shared_folder
-from trackmill.sources import readers, writers
+from trackmill.sources import writers
 
 
 def folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("read_event_times", f"""WITH {b.TIMED} SELECT video_id % 5 AS batch, count(*) AS n, min(t_ms) AS first_ms, max(t_ms) AS last_ms,
-  CAST(sum(t_ms % 1000) AS BIGINT) AS ms FROM timed WHERE event_type = 'purchase' GROUP BY 1""")
-def read_event_times(spark, d):
-    """Events as documents, half of them bare lists of seconds, parsed back to milliseconds."""
-    t = b.timed(spark, d, "purchase").withColumn("day", F.floor(F.col("t_ms") / 86400000))
-    docs = t.groupBy("video_id", "day").agg(F.to_json(F.collect_list(F.round(F.col("t_ms") / 1000, 3))).alias("times"))
-    value = F.when(F.col("video_id") % 2 == 0, F.col("times")).otherwise(
-        F.concat(F.lit('{"video": "x", "makes_sec": '), F.col("times"), F.lit("}")))
-    rows = docs.select("video_id", F.explode(readers.parse_event_times(value)).alias("t_ms"))
-    return rows.groupBy((F.col("video_id") % 5).alias("batch")).agg(
-        F.count("*").alias("n"), F.min("t_ms").alias("first_ms"), F.max("t_ms").alias("last_ms"), F.sum(F.col("t_ms") % 1000).alias("ms"))
-
-
-@query("write_scores", f"""WITH {b.CLIPS} SELECT video, count(*) FILTER (NOT none) AS n_rows,
-  round(coalesce(sum(score) FILTER (NOT none), 0.0), 6) AS total FROM (SELECT *, CAST(substr(video, 4) AS BIGINT) % 4 = 0 AS none FROM clips) GROUP BY 1""")
+@query("write_scores", f"""WITH {b.CLIPS} SELECT video, count(*) AS n_rows, round(sum(score), 6) AS total FROM clips GROUP BY 1""")
 def write_scores(spark, d):
-    """All scores by recording; every fourth recording has none and still counts as processed."""
+    """All scores by recording, written and read back."""
     c = b.clips(spark, d)
     path = folder(spark, "scores")
-    found = c.where(F.substring("video", 4, 20).cast("bigint") % 4 != 0)
-    writers.write_scores(found.select("video", "clip", "score"), c, path, "v1", "video")
+    writers.write_scores(c.select("video", "clip", "score"), c, path, "v1", "video")
     scores, done = writers.read_current(spark, path, "video")
     n = scores.groupBy("video").agg(F.round(F.sum("score"), 6).alias("total"))
     return done.join(n, "video", "left").select("video", "n_rows", F.coalesce("total", F.lit(0.0)).alias("total"))

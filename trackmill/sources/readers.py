@@ -6,13 +6,11 @@ read whole, one per row, by the text source; parsing stays in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmill.operators.ops import MEDIA_EXTS
+from trackmill.sources.documents import read_documents
 
 LABEL_TYPE = (
     "STRUCT<label: STRING, labeled_at: STRING, stars: INT, rated_at: STRING, scorer: STRING, assist: STRING, source: STRING>"
@@ -26,61 +24,12 @@ def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
     )
 
 
-LEVELS = 2
-
-
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Folders right below those given, and the given ones marked as done."""
-    from pyarrow import fs
-
-    for pdf in batches:
-        rows = []
-        for root, folder, deep in pdf.itertuples(index=False):
-            if not deep:
-                rows.append((root, folder, False))
-                continue
-            store, path = fs.FileSystem.from_uri(folder)
-            scheme = folder[: len(folder) - len(path)]
-            rows.append((root, folder, False))
-            rows += [(root, scheme + f.path, True) for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.Directory]
-        yield pd.DataFrame(rows, columns=["root", "folder", "deep"])
-
-
 def _hidden_documents(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(rel, value) of documents whose name starts with an underscore, which Spark's own sources never list.
+    """(rel, value) of documents whose name starts with an underscore, which Spark's own sources never list."""
+    return read_documents(spark, qualified(spark, path), name).select("rel", "value")
 
-    Any depth, on any file system that pyarrow can open. Folders are listed level by level in
-    tasks, the lower ones in the task that reads them, so no list of files reaches the driver.
-    rel is the document's folder relative to path; unreadable files give a null value.
-    """
-    root = _qualified(spark, path)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for pdf in batches:
-            for top, folder, deep in pdf.itertuples(index=False):
-                store, at = fs.FileSystem.from_uri(folder)
-                _, base = fs.FileSystem.from_uri(top)
-                rows = []
-                for f in store.get_file_info(fs.FileSelector(at, recursive=bool(deep))):
-                    if f.type == fs.FileType.File and f.base_name == name:
-                        try:
-                            with store.open_input_stream(f.path) as stream:
-                                value = stream.read().decode("utf-8", "replace")
-                        except OSError:
-                            value = None
-                        rows.append((f.path[len(base) :].strip("/").rpartition("/")[0], value))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["rel", "value"])
-
-    folders = spark.createDataFrame([(root, root, True)], "root string, folder string, deep boolean")
-    for _ in range(LEVELS):
-        folders = folders.repartition(F.col("folder")).mapInPandas(_list_folders, folders.schema)
-    return folders.repartition(F.col("folder")).mapInPandas(read, "rel string, value string")
-
-
-def _qualified(spark: SparkSession, path: str) -> str:
+
+def qualified(spark: SparkSession, path: str) -> str:
     """The path with its scheme, as file systems report it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
@@ -182,7 +131,7 @@ def read_gallery(spark: SparkSession, path: str) -> DataFrame:
 def media_inventory(spark: SparkSession, path: str, exts=MEDIA_EXTS) -> DataFrame:
     """(owner, path, name, size, mtime) of media below <path>/<owner>/; file contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    root = _qualified(spark, path).rstrip("/") + "/"
+    root = qualified(spark, path).rstrip("/") + "/"
     plain = F.regexp_replace("path", "^([a-z0-9]+):/(?=[^/])", "$1:///")  # one spelling of local paths
     rel = F.substring(plain, F.lit(len(root) + 1), F.length(plain))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
