@@ -173,3 +173,23 @@ def test_infill_options(spark, make_docs, lines):
     assert infill.digests(make_docs()).count() == 0 and infill.transform(make_docs()).count() == 0
     con = connect(SF)
     assert diff(infill.digests(spark.read.parquet(f"{SF}/documents.parquet")), con, infill.sql()) is None
+
+
+@pytest.mark.parametrize("top", [1 << 8, 1 << 40, (1 << 64) - 1])
+def test_packed_fingerprints(top):
+    import numpy as np
+
+    rng = np.random.default_rng(top % 1000)
+    values = np.unique(rng.integers(0, top, 300, dtype=np.uint64, endpoint=True))
+    checks, counts = rng.integers(0, 1 << 16, len(values)).astype(np.uint64), rng.integers(0, top >> 2, len(values), endpoint=True).astype(np.int64)
+    for n in (len(values), 1):
+        got = phrases.unpack(phrases.pack(values[:n], checks[:n], counts[:n]))
+        assert all((a == b[:n]).all() for a, b in zip(got, (values, checks, counts), strict=True))
+    # equal values with other checks are other phrases
+    one = phrases.pack(np.array([5, 5, 9], np.uint64), np.array([1, 2, 0], np.uint64), np.array([3, 4, 2]))
+    two = phrases.pack(np.array([5, 9], np.uint64), np.array([2, 0], np.uint64), np.array([1, 1]))
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array([7, 8]), pa.array([one, two])], names=["part", "shard", "packed"])
+    out = {s: [x.tolist() for x in phrases.unpack(r)] for b in phrases._sums(3)([rows]) for s, r in zip(*(b.column(c).to_pylist() for c in ("shard", "reply")), strict=True)}
+    assert out == {7: [[5, 5, 9], [1, 2, 0], [7, 11, 7]], 8: [[5, 9], [2, 0], [10, 6]]}

@@ -10,9 +10,10 @@ Phrases grow by one word a round, to the right in the index of the reversed sequ
 left in the other, in turn: the words within an interval of a transform are the extensions, and how
 often each stands there is the longer phrase's count. A phrase is only looked for if both phrases it
 consists of, without its first and without its last word, have `least` occurrences everywhere, since no
-longer phrase is more frequent. Counts are summed across shards by 80-bit fingerprints of language and
-phrase: a shard sends its sorted fingerprints, range by range, as packed gaps with their counts (about
-eight bytes a phrase); a range's sums go back, as packed, to the shards that have the frequent ones;
+longer phrase is more frequent. Counts are summed across shards by fingerprints of language and phrase,
+of twice as many bits as a corpus byte's number has (so about 3 corpora in 10,000 have a frequent phrase
+that shares its fingerprint): a shard sends its sorted fingerprints, range by range, as packed gaps with
+their counts (about six bytes a phrase); a range's sums go back, as packed, to the shards that have the frequent ones;
 and the first of these shards writes the phrase and its count out. No shard's own count decides.
 Shards are stored in buckets, so the rounds bring short lists to them and never move them.
 
@@ -188,8 +189,8 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 class Round:
     """One round: the phrases of `depth` words that a shard can have, from its frequent ones of one word less."""
 
-    def __init__(self, depth: int, part_bits: int):
-        self.depth, self.part_bits = depth, part_bits
+    def __init__(self, depth: int, part_bits: int, bits: int):
+        self.depth, self.part_bits, self.bits = depth, part_bits, bits
         self.right = depth % 2 == 0
         self.side = "counts" if depth == 1 else "backward" if self.right else "forward"
 
@@ -213,7 +214,9 @@ class Round:
             for c in found.T:
                 value = mix(value + of_word[c - 1])
             prints.append(value)
-        return found, counts, prints[0], (prints[1] >> np.uint64(48)).astype(np.uint16), words
+        # a sorted value of up to 64 bits, and a check of up to 32 more
+        value, check = prints[0] >> np.uint64(max(0, 64 - self.bits)), prints[1] >> np.uint64(64 - min(max(self.bits - 64, 1), 32))
+        return found, counts, value, check * np.uint64(self.bits > 64), words
 
     def send(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """part, shard and the packed fingerprints of that part with their counts."""
@@ -224,7 +227,7 @@ class Round:
                     continue
                 order = np.argsort(value)
                 value, check, counts = value[order], check[order], counts[order]
-                edges = np.searchsorted(value, np.arange(1 << self.part_bits, dtype=np.uint64) << np.uint64(64 - self.part_bits)) if self.part_bits else np.zeros(1, np.int64)
+                edges = np.searchsorted(value, np.arange(1 << self.part_bits, dtype=np.uint64) << np.uint64(min(self.bits, 64) - self.part_bits))
                 edges = np.append(edges, len(value))
                 parts = np.flatnonzero(edges[1:] > edges[:-1])
                 packed = [pack(value[a:b], check[a:b], counts[a:b]) for a, b in zip(edges[parts].tolist(), edges[parts + 1].tolist(), strict=True)]
@@ -270,17 +273,26 @@ def _least_width(x: np.ndarray) -> np.dtype:
 
 def pack(values: np.ndarray, checks: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted fingerprints as gaps, with their checks and counts, compressed."""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    kinds = [_least_width(gaps), _least_width(counts)]
-    body = gaps.astype(kinds[0]).tobytes() + checks.astype("<u2").tobytes() + counts.astype(kinds[1]).tobytes()
-    return struct.pack("<QBB", len(values), *(k.itemsize for k in kinds)) + pa.Codec("zstd").compress(body, asbytes=True)
+    columns = [np.diff(values, prepend=np.uint64(0)), checks, counts]
+    kinds = [_least_width(x) for x in columns]
+    body = b"".join(_planes(x, k) for x, k in zip(columns, kinds, strict=True))
+    return struct.pack("<QBBB", len(values), *(k.itemsize for k in kinds)) + pa.Codec("zstd").compress(body, asbytes=True)
+
+
+def _planes(x: np.ndarray, kind: np.dtype) -> bytes:
+    """Byte by byte of significance, so that bytes of like distribution stand together."""
+    return x.astype(kind).view(np.uint8).reshape(len(x), kind.itemsize).T.tobytes()
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, a, b = struct.unpack_from("<QBB", data)
-    body = pa.Codec("zstd").decompress(data[10:], decompressed_size=n * (a + 2 + b), asbytes=True)
-    gaps = np.frombuffer(body, f"<u{a}", n).astype(np.uint64)
-    return np.cumsum(gaps, dtype=np.uint64), np.frombuffer(body, "<u2", n, n * a), np.frombuffer(body, f"<u{b}", n, n * (a + 2)).astype(np.int64)
+    n, *widths = struct.unpack_from("<QBBB", data)
+    body = pa.Codec("zstd").decompress(data[11:], decompressed_size=n * sum(widths), asbytes=True)
+    out, at = [], 0
+    for w in widths:
+        planes = np.frombuffer(body, np.uint8, n * w, at).reshape(w, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{w}").reshape(n).astype(np.uint64))
+        at += n * w
+    return np.cumsum(out[0], dtype=np.uint64), out[1], out[2].astype(np.int64)
 
 
 def _sums(least: int):
@@ -294,7 +306,7 @@ def _sums(least: int):
         values, checks, counts = (np.concatenate(x) for x in zip(*opened, strict=True))
         _, first, at = np.unique(values, return_index=True, return_inverse=True)
         if (checks != checks[first[at]]).any():
-            both = np.empty(len(values), dtype=[("v", "<u8"), ("c", "<u2")])
+            both = np.empty(len(values), dtype=[("v", "<u8"), ("c", "<u8")])
             both["v"], both["c"] = values, checks
             _, first, at = np.unique(both, return_index=True, return_inverse=True)
         total = np.bincount(at, weights=counts).astype(np.int64)
@@ -329,7 +341,7 @@ def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST, shard_bytes:
     """All phrases of 1 to DEPTH words with at least `least` occurrences (lang, phrase, f, size), and all words per lang (lang, n)."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    part_bits = (size // PART_BYTES).bit_length()
+    part_bits, bits = (size // PART_BYTES).bit_length(), max(48, 2 * size.bit_length() - 4)
     buckets = max(4, -(-size // BUCKET_BYTES))
     table = f"phrases_{uuid.uuid4().hex}"
     try:
@@ -337,16 +349,16 @@ def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST, shard_bytes:
             shards(docs, shard_bytes).write.format("parquet").option("compression", "zstd").option("path", f"{scratch.root}/shards").bucketBy(buckets, "shard").saveAsTable(table)
         stored = spark.table(table)
         totals = scratch.save("totals", stored.groupBy("lang").agg(F.sum("n").alias("n")))
-        return _rounds(stored, scratch, least, part_bits, buckets), totals
+        return _rounds(stored, scratch, least, part_bits, bits, buckets), totals
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         scratch.drop("shards")
 
 
-def _rounds(stored: DataFrame, scratch: Scratch, least: int, part_bits: int, buckets: int) -> DataFrame:
+def _rounds(stored: DataFrame, scratch: Scratch, least: int, part_bits: int, bits: int, buckets: int) -> DataFrame:
     grams, kept = None, None
     for depth in range(1, DEPTH + 1):
-        step = Round(depth, part_bits)
+        step = Round(depth, part_bits, bits)
         source = stored.select("shard", "lang", "words", F.col(step.side).alias("side")).hint("merge")
         if kept is not None:
             source = source.join(kept.select("shard", "known").repartition(buckets, "shard"), "shard")
