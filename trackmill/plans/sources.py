@@ -119,11 +119,11 @@ def read_gallery(spark, d):
 
 
 @query("media_inventory", """SELECT 'user_' || (s_nationkey % 7) AS owner, (20260101 + s_suppkey % 20) || '/clip ' || s_suppkey || '.mp4' AS path,
-  'clip ' || s_suppkey || '.mp4' AS name, s_suppkey % 83 AS size FROM supplier WHERE s_suppkey % 6 > 0""")
+  'clip ' || s_suppkey || '.mp4' AS name, 1 + s_suppkey % 83 AS size FROM supplier WHERE s_suppkey % 6 > 0""")
 def media_inventory(spark, d):
     """One stored file per supplier; every sixth is not a media file."""
     k = F.col("s_suppkey")
     rel = F.concat(F.lit("user_"), text(F.col("s_nationkey") % 7), F.lit("/"), text(20260101 + k % 20))
     name = F.concat(F.lit("clip "), text(k), F.when(k % 6 > 0, ".mp4").otherwise(".txt"))
-    path = put(spark, table(spark, d, "supplier").select(rel.alias("rel"), name.alias("name"), F.expr("repeat('x', CAST(s_suppkey % 83 AS INT))").alias("value")), "media")
+    path = put(spark, table(spark, d, "supplier").select(rel.alias("rel"), name.alias("name"), F.expr("repeat('x', CAST(1 + s_suppkey % 83 AS INT))").alias("value")), "media")
     return readers.media_inventory(spark, path).drop("mtime")

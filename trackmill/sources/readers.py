@@ -129,7 +129,10 @@ def read_gallery(spark: SparkSession, path: str) -> DataFrame:
 
 
 def media_inventory(spark: SparkSession, path: str, exts=MEDIA_EXTS) -> DataFrame:
-    """(owner, path, name, size, mtime) of media below <path>/<owner>/; file contents are never read."""
+    """(owner, path, name, size, mtime) of media below <path>/<owner>/; file contents are never read.
+
+    Empty files are not listed (Spark leaves them out).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = qualified(spark, path).rstrip("/") + "/"
     plain = F.regexp_replace("path", "^([a-z0-9]+):/(?=[^/])", "$1:///")  # one spelling of local paths
