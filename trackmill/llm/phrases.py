@@ -53,6 +53,8 @@ BUCKET_BYTES = 8 << 20
 PART_BYTES = 12 << 20
 SPREAD = 32
 STEP = 1 << 19
+#: Pairs are by far the most; their fingerprints travel in two halves, one after the other.
+HALVES = (0, 1)
 
 ENDS = table_bytes(b".,;:!?\n\x0b\x0c\r")
 WORD = ~(ENDS | table_bytes(b" \t"))
@@ -189,8 +191,8 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 class Round:
     """One round: the phrases of `depth` words that a shard can have, from its frequent ones of one word less."""
 
-    def __init__(self, depth: int, part_bits: int, bits: int):
-        self.depth, self.part_bits, self.bits = depth, part_bits, bits
+    def __init__(self, depth: int, part_bits: int, bits: int, half: int | None = None):
+        self.depth, self.part_bits, self.bits, self.half = depth, part_bits, bits, half
         self.right = depth % 2 == 0
         self.side = "counts" if depth == 1 else "backward" if self.right else "forward"
 
@@ -223,6 +225,9 @@ class Round:
         for batch in batches:
             for i in range(batch.num_rows):
                 _, counts, value, check, _ = self.phrases(batch, i)
+                if self.half is not None:
+                    some = value >> np.uint64(min(self.bits, 64) - 1) == self.half
+                    counts, value, check = counts[some], value[some], check[some]
                 if not len(value):
                     continue
                 order = np.argsort(value)
@@ -362,15 +367,18 @@ def _rounds(stored: DataFrame, scratch: Scratch, least: int, part_bits: int, bit
         source = stored.select("shard", "lang", "words", F.col(step.side).alias("side")).hint("merge")
         if kept is not None:
             source = source.join(kept.select("shard", "known").repartition(buckets, "shard"), "shard")
-        parts = source.mapInArrow(step.send, "part int, shard long, packed binary")
-        parts = parts.repartition(max(buckets, 1 << part_bits), "part").sortWithinPartitions("part", "shard")
-        replies = parts.mapInArrow(_sums(least), "shard long, reply binary").groupBy("shard").agg(F.collect_list("reply").alias("replies"))
-        replies = scratch.save(f"replies-{depth}", replies)
+        told = None
+        for half in HALVES if depth == 2 else (None,):
+            parts = source.mapInArrow(Round(depth, part_bits, bits, half).send, "part int, shard long, packed binary")
+            parts = parts.repartition(max(buckets, 1 << part_bits), "part").sortWithinPartitions("part", "shard")
+            part = scratch.save(f"told-{depth}-{half}", parts.mapInArrow(_sums(least), "shard long, reply binary"))
+            told = part if told is None else told.union(part)
+        replies = told.groupBy("shard").agg(F.collect_list("reply").alias("replies"))
         kept = scratch.save(f"kept-{depth}", source.join(replies.repartition(buckets, "shard"), "shard").mapInArrow(step.keep, KEPT))
         rows = kept.select("lang", F.explode(F.arrays_zip("phrases", "f")).alias("x"))
         sums = scratch.save(f"grams-{depth}", rows.select("lang", F.col("x.phrases").alias("phrase"), F.col("x.f").alias("f"), F.lit(depth).alias("size")))
         grams = sums if grams is None else grams.union(sums)
-        scratch.drop(f"replies-{depth}", f"kept-{depth - 1}")
+        scratch.drop(f"kept-{depth - 1}", *(f"told-{depth}-{half}" for half in (None, *HALVES)))
     scratch.drop(f"kept-{DEPTH}")
     return grams
 
