@@ -49,7 +49,8 @@ KEEP = 2000
 EXPLAINED = 80
 SCALE = 2_000_000
 SHARD_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+BATCH_ROWS = 1000
 PART_BYTES = 12 << 20
 SPREAD = 32
 STEP = 1 << 19
@@ -169,6 +170,7 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 number += 1
                 counts = np.bincount(ids, minlength=len(encoded.dictionary) + 1)[1:]
                 both = [transform(x).tobytes() for x in (sequence, sequence[::-1])]
+                pa.default_memory_pool().release_unused()
                 row = [number, lang, len(ids), encoded.dictionary.to_pylist(), counts, *both]
                 types = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[c.split()[0] for c in SHARDS.split(", ")])
@@ -198,6 +200,7 @@ class Round:
 
     def phrases(self, batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Word ids, counts, fingerprints and their checks of the phrases, and the shard's words."""
+        pa.default_memory_pool().release_unused()
         words, side = batch.column("words")[i].values, batch.column("side")[i]
         if self.depth == 1:
             found, counts = np.arange(1, len(words) + 1)[:, None], side.values.to_numpy()
@@ -350,7 +353,7 @@ def frequent(docs: DataFrame, scratch: Scratch, least: int = LEAST, shard_bytes:
     buckets = max(4, -(-size // BUCKET_BYTES))
     table = f"phrases_{uuid.uuid4().hex}"
     try:
-        with setting(spark, CLEAN, "true"):
+        with setting(spark, CLEAN, "true"), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
             shards(docs, shard_bytes).write.format("parquet").option("compression", "zstd").option("path", f"{scratch.root}/shards").bucketBy(buckets, "shard").saveAsTable(table)
         stored = spark.table(table)
         totals = scratch.save("totals", stored.groupBy("lang").agg(F.sum("n").alias("n")))
@@ -373,8 +376,8 @@ def _rounds(stored: DataFrame, scratch: Scratch, least: int, part_bits: int, bit
             parts = parts.repartition(max(buckets, 1 << part_bits), "part").sortWithinPartitions("part", "shard")
             part = scratch.save(f"told-{depth}-{half}", parts.mapInArrow(_sums(least), "shard long, reply binary"))
             told = part if told is None else told.union(part)
-        replies = told.groupBy("shard").agg(F.collect_list("reply").alias("replies"))
-        kept = scratch.save(f"kept-{depth}", source.join(replies.repartition(buckets, "shard"), "shard").mapInArrow(step.keep, KEPT))
+        replies = told.repartition(buckets, "shard").groupBy("shard").agg(F.collect_list("reply").alias("replies"))
+        kept = scratch.save(f"kept-{depth}", source.join(replies, "shard").mapInArrow(step.keep, KEPT))
         rows = kept.select("lang", F.explode(F.arrays_zip("phrases", "f")).alias("x"))
         sums = scratch.save(f"grams-{depth}", rows.select("lang", F.col("x.phrases").alias("phrase"), F.col("x.f").alias("f"), F.lit(depth).alias("size")))
         grams = sums if grams is None else grams.union(sums)
