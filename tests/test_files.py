@@ -66,7 +66,19 @@ def test_writers(spark, tmp_path):
     scores, done = wr.read_current(spark, out)
     assert sorted((r.video_id, r.clip) for r in scores.collect()) == [("a", "9"), ("c", "1")]
     assert {r.video_id: r.n_rows for r in done.collect()} == {"a": 1, "b": 0, "c": 1, "d": 0}
-    assert len(os.listdir(tmp_path / "out/rows")) <= wr.BUCKETS + 1
+    before = sorted(map(tuple, scores.collect())), sorted(map(tuple, done.collect()))
+    for _ in range(2):  # the second time there is nothing to do
+        wr.compact(spark, out)
+        assert [n for n in os.listdir(tmp_path / "out/rows") if n.startswith("run=")] == [] and len(os.listdir(tmp_path / "out/bases")) <= 2
+        scores, done = wr.read_current(spark, out)
+        assert (sorted(map(tuple, scores.select("video_id", "clip", "score").collect())), sorted(map(tuple, done.collect()))) == before
+    # an unfinished base counts for nothing, and a later run replaces what the base holds
+    (tmp_path / "out/base-9999999999999999999").mkdir()
+    wr.write_scores(spark.createDataFrame([("c", "7", 0.7)], schema), vids.where("video_id in ('c', 'a')"), out, "m1")
+    assert sorted((r.video_id, r.clip) for r in wr.read_current(spark, out)[0].collect()) == [("c", "7")]
+    wr.compact(spark, out)
+    assert sorted((r.video_id, r.clip) for r in wr.read_current(spark, out)[0].collect()) == [("c", "7")]
+    assert {r.video_id: r.n_rows for r in wr.read_current(spark, out)[1].collect()} == {"a": 0, "b": 0, "c": 1, "d": 0}
     goals = spark.createDataFrame([("a", "1", 5), ("a", "2", 3)], "video string, clip string, stars int")
     names = spark.createDataFrame([("a", "2", "Al"), ("a", "1", None)], "video string, clip string, suggested string")
     wr.write_suggestions(goals, goals.limit(1), names, vids.withColumnRenamed("video_id", "video"), str(tmp_path / "sug"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackmill.functions.vectors import mean_vector, sum_vector, unit
-from trackmill.ordered import split_block, with_rank_order
+from trackmill.ordered import with_rank_order
 from trackmill.session import cut_lineage
 
 # Fixed values of the grouping and naming rules.
@@ -18,6 +18,9 @@ OTHER_PERSON_SIM = 0.86
 MIN_CROP_H, MIN_CROP_W = 20, 8
 
 MAX_IN_TASK = 4000
+PIVOTS = 16
+SALTS = 32
+PLACES = 12
 
 
 def prototypes(gallery: DataFrame) -> DataFrame:
@@ -35,12 +38,16 @@ def mean_embedding(crops: DataFrame) -> DataFrame:
 
 
 def _nearest(sums, n, ids, others, on, oids, least):
-    """Index of each row's most similar other cluster with mean cosine >= least, or -1."""
-    sim = (sums / n[:, None]) @ (others / on[:, None]).T
+    """Index of each row's most similar other cluster with mean cosine >= least, or -1.
+
+    The one rule of both ways below: cosines count to PLACES places, and of equal ones the smallest
+    id is nearest (oids ascend). Then nearest neighbours never form a ring of three or more.
+    """
+    sim = np.round((sums / n[:, None]) @ (others / on[:, None]).T, PLACES)
     sim[ids[:, None] == oids[None, :]] = -np.inf
     best = sim.argmax(axis=1)
     top = sim[np.arange(len(ids)), best]
-    return np.where(top >= least, best, -1), top
+    return np.where(top >= round(least, PLACES), best, -1), top
 
 
 def _link(pdf: pd.DataFrame, distance: float) -> pd.DataFrame:
@@ -59,7 +66,7 @@ def _link(pdf: pd.DataFrame, distance: float) -> pd.DataFrame:
         at = np.arange(len(live))
         pair = (nn >= 0) & (nn[nn] == at) & (at < nn)
         if not pair.any():
-            # equal similarities can form a ring of nearest neighbours: join its best pair
+            # only if rounding falls differently for the two sides of a pair: join the first
             open_ = np.flatnonzero(nn >= 0)
             if not len(open_):
                 break
@@ -78,23 +85,36 @@ def _link(pdf: pd.DataFrame, distance: float) -> pd.DataFrame:
 def _merge_round(big: DataFrame, distance: float, limit: int) -> DataFrame:
     """Reciprocal nearest neighbours of sessions too large for one task: (session, cid, into).
 
-    Clusters are cut into blocks by their distance to one pivot. Means closer than
-    the linkage distance allows differ by at most `reach` in that distance, so only
-    block pairs within reach meet, and each row brings back a single neighbour.
+    A metric index keeps most pairs apart: up to PIVOTS clusters of a session are pivots, a cluster
+    belongs to the ball of its nearest pivot, and balls are cut into blocks of at most about
+    limit / 4 clusters. Means closer than the linkage distance allows lie within `reach` of each
+    other, so by the triangle inequality a block meets another only if their pivots are within
+    reach and both radii, and a cluster only if the other block's pivot is within reach and that
+    radius. Each row brings back a single neighbour per block.
     """
     reach = float(np.sqrt(2 * distance)) + 1e-6
-    mean = F.transform("total", lambda x: x / F.col("n"))
-    pivot = big.groupBy("session").agg(F.min_by(mean, F.xxhash64("cid")).alias("pivot"))
-    far = F.sqrt(F.aggregate(F.zip_with(mean, "pivot", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    d = cut_lineage(big.join(pivot, "session").withColumn("far", far).drop("pivot"))
-    n_rows = d.count()
-    d = d.withColumn("blk", split_block(d, ["session", "far", "cid"], max(2, -(-4 * n_rows // limit))))
-    spans = d.groupBy("session", "blk").agg(F.min("far").alias("lo"), F.max("far").alias("hi"))
-    o = spans.select("session", F.col("blk").alias("oblk"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
-    meets = spans.join(o, "session").where(
-        (F.col("lo") <= F.col("ohi") + reach) & (F.col("olo") <= F.col("hi") + reach)
-    ).select("session", "blk", "oblk")
-    left = d.join(meets, ["session", "blk"]).select("session", "blk", "oblk", "cid", "n", "total")
+    apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    d = big.withColumn("mean", F.transform("total", lambda x: x / F.col("n")))
+    first = Window.partitionBy("session").orderBy(F.xxhash64("cid"), "cid")
+    pivots = d.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= PIVOTS)
+    pivots = cut_lineage(pivots.select("session", (F.col("_r") - 1).alias("home"), F.col("mean").alias("at")))
+    sets = pivots.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("home", "at"))).alias("pivots"))
+    # a session may be a third of all rows, so its pivots are dealt out in copies
+    sets = sets.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = d.withColumn("_s", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(sets, ["session", "_s"])
+    d = d.withColumn("far", F.transform("pivots", lambda p: apart(F.col("mean"), p["at"]))).drop("_s", "pivots", "mean")
+    d = cut_lineage(d.withColumn("home", (F.array_position("far", F.array_min("far")) - 1).cast("int")))
+    balls = d.groupBy("session", "home").agg(F.ceil(F.count("*") * 4 / limit).cast("int").alias("parts"))
+    d = d.join(balls, ["session", "home"])
+    d = d.withColumn("blk", F.col("home") * (1 << 32) + F.pmod(F.xxhash64("cid"), F.col("parts"))).drop("parts")
+    d = cut_lineage(d)
+    spans = d.groupBy("session", "blk", "home").agg(F.max(F.get("far", F.col("home"))).alias("r"))
+    o = spans.select("session", F.col("blk").alias("oblk"), F.col("home").alias("ohome"), F.col("r").alias("or"))
+    between = pivots.alias("x").join(pivots.select("session", F.col("home").alias("ohome"), F.col("at").alias("oat")), "session").select(
+        "session", "home", "ohome", apart(F.col("at"), F.col("oat")).alias("gap"))
+    meets = cut_lineage(spans.join(between, ["session", "home"]).join(o, ["session", "ohome"]).where(
+        F.col("gap") <= F.col("r") + F.col("or") + reach).select("session", "blk", "oblk", "ohome", "or"))
+    left = d.join(meets, ["session", "blk"]).where(F.get("far", F.col("ohome")) <= F.col("or") + reach).select("session", "blk", "oblk", "cid", "n", "total")
     fresh = [F.col(c).alias(a) for c, a in (("session", "session"), ("blk", "oblk"), ("cid", "ocid"), ("n", "on"), ("total", "ototal"))]
     right = d.select(*fresh).join(meets, ["session", "oblk"]).select(
         *[F.col(c).alias(c) for c in ("session", "blk", "oblk")], "ocid", "on", "ototal"
@@ -103,6 +123,7 @@ def _merge_round(big: DataFrame, distance: float, limit: int) -> DataFrame:
     def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame()
+        b = b.sort_values("ocid")
         nn, top = _nearest(
             np.stack(a["total"].to_numpy()), a["n"].to_numpy(float), a["cid"].to_numpy(),
             np.stack(b["ototal"].to_numpy()), b["on"].to_numpy(float), b["ocid"].to_numpy(), 1 - distance,
@@ -116,22 +137,25 @@ def _merge_round(big: DataFrame, distance: float, limit: int) -> DataFrame:
     keys = ["session", "blk", "oblk"]
     schema = f"session {dict(d.dtypes)['session']}, cid bigint, near bigint, sim double"
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, schema)
-    best = cut_lineage(
-        found.groupBy("session", "cid").agg(F.max_by("near", F.struct(F.round("sim", 12), -F.col("near"))).alias("near"))
-    )
+    best = cut_lineage(found.groupBy("session", "cid").agg(F.max(F.struct("sim", (-F.col("near")).alias("_near"))).alias("b")).select(
+        "session", "cid", "b.sim", (-F.col("b._near")).alias("near")))
     back = best.select("session", F.col("cid").alias("near"), F.col("near").alias("_back"))
-    return best.join(back, ["session", "near"]).where(
-        (F.col("_back") == F.col("cid")) & (F.col("cid") > F.col("near"))
-    ).select("session", "cid", F.col("near").alias("into"))
+    pairs = cut_lineage(best.join(back, ["session", "near"]).where((F.col("_back") == F.col("cid")) & (F.col("cid") > F.col("near"))).select(
+        "session", "cid", F.col("near").alias("into")))
+    # a session with neighbours but no pair (see _link): join its best one
+    alone = best.join(pairs.select("session").distinct(), "session", "left_anti").groupBy("session").agg(
+        F.max(F.struct("sim", (-F.least("cid", "near")).alias("a"), (-F.greatest("cid", "near")).alias("b"))).alias("m"))
+    return pairs.unionByName(alone.select("session", (-F.col("m.b")).alias("cid"), (-F.col("m.a")).alias("into")))
 
 
 def group_embeddings(goals: DataFrame, distance: float = GROUP_DISTANCE, limit: int = MAX_IN_TASK) -> DataFrame:
     """Average-linkage cosine groups per session: (session, clip, group_no), 0 the largest.
 
-    Equal vectors become one weighted point first. Sessions of up to `limit`
-    points are linked inside one task each. Larger ones merge reciprocal nearest
-    neighbours in rounds, which average linkage allows in any order, until they
-    fit. goals(session, clip BIGINT, emb).
+    Equal vectors become one weighted point first. Reciprocal nearest neighbours
+    merge in rounds, which average linkage allows in any order. Sessions of up to
+    `limit` points go through their rounds inside one task each, larger ones
+    through rounds of jobs until they fit; both follow the same rule, so the limit
+    decides on where the work is done only. goals(session, clip BIGINT, emb).
     """
     pts = goals.where("emb is not null").select("session", "clip", unit(F.col("emb")).alias("u"))
     # the point id stands for its vector: equal vectors share the hash of their content

@@ -40,6 +40,23 @@ def replace_video_outputs(spark, d):
     return rows.groupBy("video").agg(F.count("*").alias("n"), F.sum("clip").alias("clips"))
 
 
+@query("compact_outputs", f"""WITH {b.CLIPS}, kept AS (SELECT video, clip FROM clips
+  WHERE CASE CAST(substr(video, 4) AS BIGINT) % 3 WHEN 0 THEN clip % 2 = 0 WHEN 1 THEN clip % 4 = 1 ELSE true END)
+SELECT video, count(*) AS n, CAST(sum(clip) AS BIGINT) AS clips FROM kept GROUP BY 1""")
+def compact_outputs(spark, d):
+    """Runs over all, over some before and over others after a compaction, then compacted again: what is current stays."""
+    c = b.clips(spark, d).select("video", "clip", "score")
+    n = F.substring("video", 4, 20).cast("bigint") % 3
+    path = folder(spark, "compact")
+    writers.write_scores(c, c, path, "v1", "video")
+    writers.write_scores(c.where((n == 0) & (F.col("clip") % 2 == 0)), c.where(n == 0), path, "v1", "video")
+    writers.compact(spark, path, "video")
+    writers.write_scores(c.where((n == 1) & (F.col("clip") % 4 == 1)), c.where(n == 1), path, "v1", "video")
+    writers.compact(spark, path, "video")
+    rows, _ = writers.read_current(spark, path, "video")
+    return rows.groupBy("video").agg(F.count("*").alias("n"), F.sum("clip").alias("clips"))
+
+
 @query("write_ranked_csv", f"""WITH {STARRED} SELECT session, pos, clip, stars, round(ai_score, 3) AS ai_score FROM starred""")
 def write_ranked_csv(spark, d):
     path = folder(spark, "csv")

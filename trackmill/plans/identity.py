@@ -52,6 +52,12 @@ def group_embeddings(spark, d):
     return idn.group_embeddings(b.embeddings(spark, d))
 
 
+@query("group_embeddings_in_rounds", f"WITH {GROUPED} SELECT session, clip, group_no FROM lab JOIN grp USING (session, label)")
+def group_embeddings_in_rounds(spark, d):
+    """The same groups; sessions of more than 100 points go through rounds of jobs."""
+    return idn.group_embeddings(b.embeddings(spark, d), limit=100)
+
+
 def by_label(spark, d):
     """embeddings grouped by label, numbered like groups: largest first."""
     e = b.embeddings(spark, d)

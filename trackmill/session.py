@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
+        if shared is None and not re.fullmatch(r"local(\[[^\[]*\])?", sc.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trackmill-"))
     return sc.getCheckpointDir()

@@ -4,6 +4,16 @@ Rows are appended under the number of their run, in a fixed number of hash bucke
 folders nor files grow with the number of recordings and a large recording is split over
 tasks. A second table says which recordings a run covered; readers take each recording's last
 run. A run whose second table was not written counts for nothing.
+
+    <path>/rows/run=<number>/bucket=<b>      what a run wrote
+    <path>/processed/run=<number>            which recordings it covered
+    <path>/base-<number>/rows, processed     what is current as of that run, after compact()
+    <path>/bases/<number>                    mark of a finished base; the largest one counts
+
+compact() writes the current outputs as a new base, marks it, and then removes the runs and bases
+that it replaces. Creating the mark is the only step that readers notice, so a reader or an
+interrupted compaction sees either the old state or the new one; runs that come in meanwhile have
+larger numbers and stay.
 """
 
 from __future__ import annotations
@@ -28,10 +38,63 @@ def processed_videos(videos: DataFrame, rows: DataFrame, method: str, video: str
 def replace_video_outputs(rows: DataFrame, videos: DataFrame, path: str, method: str, video: str = "video_id") -> None:
     """Make rows the current output of the recordings in videos, rows or not, and leave all others alone."""
     run = F.lit(time.time_ns()).alias("run")
-    bucket = F.pmod(F.xxhash64(video), F.lit(BUCKETS)).alias("bucket")
-    dealt = rows.select("*", run, bucket).hint("rebalance", "bucket")
-    dealt.write.mode("append").partitionBy("bucket").parquet(f"{path}/rows")
-    processed_videos(videos, rows, method, video).select("*", run).write.mode("append").parquet(f"{path}/processed")
+    dealt = rows.select("*", run, _bucket(video)).hint("rebalance", "bucket")
+    dealt.write.mode("append").partitionBy("run", "bucket").parquet(f"{path}/rows")
+    processed_videos(videos, rows, method, video).select("*", run).write.mode("append").partitionBy("run").parquet(f"{path}/processed")
+
+
+def _bucket(video: str):
+    return F.pmod(F.xxhash64(video), F.lit(BUCKETS)).alias("bucket")
+
+
+def _folder(spark, path: str):
+    """The file system of a path, and the names right below it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store, [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+
+
+def _base(spark, path: str) -> int:
+    """Number of the last finished base; 0 if there is none."""
+    return max((int(n) for n in _folder(spark, f"{path}/bases")[1] if n.isdigit()), default=0)
+
+
+def _read(spark, path: str, kind: str, since: int) -> DataFrame:
+    """rows or processed of the base `since` and of all later runs."""
+    parts = []
+    if since:
+        parts.append(spark.read.parquet(f"{path}/base-{since}/{kind}"))
+    if any(n.startswith("run=") for n in _folder(spark, f"{path}/{kind}")[1]):
+        parts.append(spark.read.parquet(f"{path}/{kind}").where(F.col("run") > since))
+    if not parts:
+        raise FileNotFoundError(f"no outputs in {path}")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def compact(spark, path: str, video: str = "video_id") -> None:
+    """Make what is current a new base and remove superseded runs. One compaction at a time."""
+    old = _base(spark, path)
+    last = _read(spark, path, "processed", old).agg(F.max("run")).first()[0]
+    if last == old:
+        return
+    runs = _last_runs(_read(spark, path, "processed", old).where(F.col("run") <= last), video)
+    rows = _read(spark, path, "rows", old).join(runs.select(video, "run"), [video, "run"], "left_semi")
+    rows.drop("bucket").select("*", _bucket(video)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/base-{last}/rows")
+    runs.write.mode("overwrite").parquet(f"{path}/base-{last}/processed")
+    store, _ = _folder(spark, path)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    store.create(at(f"{path}/bases/{last}"), True).close()
+    for kind in ("processed", "rows"):
+        for name in _folder(spark, f"{path}/{kind}")[1]:
+            if name.startswith("run=") and int(name[4:]) <= last:
+                store.delete(at(f"{path}/{kind}/{name}"), True)
+    if old:
+        store.delete(at(f"{path}/bases/{old}"), True)
+        store.delete(at(f"{path}/base-{old}"), True)
+
+
+def _last_runs(processed: DataFrame, video: str) -> DataFrame:
+    return processed.groupBy(video).agg(F.max(F.struct("run", "method", "n_rows")).alias("last")).select(video, "last.method", "last.n_rows", "last.run")
 
 
 def write_scores(scores: DataFrame, videos: DataFrame, path: str, method: str, video: str = "video_id") -> None:
@@ -53,10 +116,10 @@ def write_suggestions(goals: DataFrame, in_reel: DataFrame, names: DataFrame, vi
 
 def read_current(spark, path: str, video: str = "video_id") -> tuple[DataFrame, DataFrame]:
     """(rows of each recording's last run, processed recordings)."""
-    runs = spark.read.parquet(f"{path}/processed").groupBy(video).agg(F.max(F.struct("run", "method", "n_rows")).alias("last"))
-    done = runs.select(video, "last.method", "last.n_rows")
-    rows = spark.read.parquet(f"{path}/rows")
-    return rows.join(runs.select(video, "last.run"), [video, "run"], "left_semi").drop("run", "bucket"), done
+    since = _base(spark, path)
+    runs = _last_runs(_read(spark, path, "processed", since), video)
+    rows = _read(spark, path, "rows", since)
+    return rows.join(runs.select(video, "run"), [video, "run"], "left_semi").drop("run", "bucket"), runs.drop("run")
 
 
 def write_ranked_csv(ranked: DataFrame, path: str, columns: Sequence[str], order: str = "rank") -> None:
