@@ -48,8 +48,8 @@ LEAST = 30
 KEEP = 2000
 EXPLAINED = 80
 SCALE = 2_000_000
-SHARD_BYTES = 8 << 20
-BUCKET_BYTES = 4 << 20
+SHARD_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 BATCH_ROWS = 1000
 PART_BYTES = 12 << 20
 SPREAD = 32
@@ -367,9 +367,9 @@ def _rounds(stored: DataFrame, scratch: Scratch, least: int, part_bits: int, bit
     grams, kept = None, None
     for depth in range(1, DEPTH + 1):
         step = Round(depth, part_bits, bits)
-        source = stored.select("shard", "lang", "words", F.col(step.side).alias("side")).hint("merge")
+        source = stored.select("shard", "lang", "words", F.col(step.side).alias("side"))
         if kept is not None:
-            source = source.join(kept.select("shard", "known").repartition(buckets, "shard"), "shard")
+            source = source.join(kept.select("shard", "known").repartition(buckets, "shard").hint("shuffle_hash"), "shard")
         told = None
         for half in HALVES if depth == 2 else (None,):
             parts = source.mapInArrow(Round(depth, part_bits, bits, half).send, "part int, shard long, packed binary")
@@ -377,7 +377,7 @@ def _rounds(stored: DataFrame, scratch: Scratch, least: int, part_bits: int, bit
             part = scratch.save(f"told-{depth}-{half}", parts.mapInArrow(_sums(least), "shard long, reply binary"))
             told = part if told is None else told.union(part)
         replies = told.repartition(buckets, "shard").groupBy("shard").agg(F.collect_list("reply").alias("replies"))
-        kept = scratch.save(f"kept-{depth}", source.join(replies, "shard").mapInArrow(step.keep, KEPT))
+        kept = scratch.save(f"kept-{depth}", source.join(replies.hint("shuffle_hash"), "shard").mapInArrow(step.keep, KEPT))
         rows = kept.select("lang", F.explode(F.arrays_zip("phrases", "f")).alias("x"))
         sums = scratch.save(f"grams-{depth}", rows.select("lang", F.col("x.phrases").alias("phrase"), F.col("x.f").alias("f"), F.lit(depth).alias("size")))
         grams = sums if grams is None else grams.union(sums)
