@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions.vectors import mean_vector, sum_vector, unit
 from trackmill.ordered import with_rank_order
-from trackmill.session import cut_lineage
+from trackmill.session import cut_lineage, hand_over
 
 # Fixed values of the grouping and naming rules.
 GROUP_DISTANCE = 0.12
@@ -97,22 +97,22 @@ def _merge_round(big: DataFrame, distance: float, limit: int) -> DataFrame:
     d = big.withColumn("mean", F.transform("total", lambda x: x / F.col("n")))
     first = Window.partitionBy("session").orderBy(F.xxhash64("cid"), "cid")
     pivots = d.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= PIVOTS)
-    pivots = cut_lineage(pivots.select("session", (F.col("_r") - 1).alias("home"), F.col("mean").alias("at")))
+    pivots = hand_over(pivots.select("session", (F.col("_r") - 1).alias("home"), F.col("mean").alias("at")))
     sets = pivots.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("home", "at"))).alias("pivots"))
     # a session may be a third of all rows, so its pivots are dealt out in copies
     sets = sets.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     d = d.withColumn("_s", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int")).join(sets, ["session", "_s"])
     d = d.withColumn("far", F.transform("pivots", lambda p: apart(F.col("mean"), p["at"]))).drop("_s", "pivots", "mean")
-    d = cut_lineage(d.withColumn("home", (F.array_position("far", F.array_min("far")) - 1).cast("int")))
+    d = hand_over(d.withColumn("home", (F.array_position("far", F.array_min("far")) - 1).cast("int")))
     balls = d.groupBy("session", "home").agg(F.ceil(F.count("*") * 4 / limit).cast("int").alias("parts"))
     d = d.join(balls, ["session", "home"])
     d = d.withColumn("blk", F.col("home") * (1 << 32) + F.pmod(F.xxhash64("cid"), F.col("parts"))).drop("parts")
-    d = cut_lineage(d)
+    d = hand_over(d)
     spans = d.groupBy("session", "blk", "home").agg(F.max(F.get("far", F.col("home"))).alias("r"))
     o = spans.select("session", F.col("blk").alias("oblk"), F.col("home").alias("ohome"), F.col("r").alias("or"))
     between = pivots.alias("x").join(pivots.select("session", F.col("home").alias("ohome"), F.col("at").alias("oat")), "session").select(
         "session", "home", "ohome", apart(F.col("at"), F.col("oat")).alias("gap"))
-    meets = cut_lineage(spans.join(between, ["session", "home"]).join(o, ["session", "ohome"]).where(
+    meets = hand_over(spans.join(between, ["session", "home"]).join(o, ["session", "ohome"]).where(
         F.col("gap") <= F.col("r") + F.col("or") + reach).select("session", "blk", "oblk", "ohome", "or"))
     left = d.join(meets, ["session", "blk"]).where(F.get("far", F.col("ohome")) <= F.col("or") + reach).select("session", "blk", "oblk", "cid", "n", "total")
     fresh = [F.col(c).alias(a) for c, a in (("session", "session"), ("blk", "oblk"), ("cid", "ocid"), ("n", "on"), ("total", "ototal"))]
@@ -137,10 +137,10 @@ def _merge_round(big: DataFrame, distance: float, limit: int) -> DataFrame:
     keys = ["session", "blk", "oblk"]
     schema = f"session {dict(d.dtypes)['session']}, cid bigint, near bigint, sim double"
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, schema)
-    best = cut_lineage(found.groupBy("session", "cid").agg(F.max(F.struct("sim", (-F.col("near")).alias("_near"))).alias("b")).select(
+    best = hand_over(found.groupBy("session", "cid").agg(F.max(F.struct("sim", (-F.col("near")).alias("_near"))).alias("b")).select(
         "session", "cid", "b.sim", (-F.col("b._near")).alias("near")))
     back = best.select("session", F.col("cid").alias("near"), F.col("near").alias("_back"))
-    pairs = cut_lineage(best.join(back, ["session", "near"]).where((F.col("_back") == F.col("cid")) & (F.col("cid") > F.col("near"))).select(
+    pairs = hand_over(best.join(back, ["session", "near"]).where((F.col("_back") == F.col("cid")) & (F.col("cid") > F.col("near"))).select(
         "session", "cid", F.col("near").alias("into")))
     # a session with neighbours but no pair (see _link): join its best one
     alone = best.join(pairs.select("session").distinct(), "session", "left_anti").groupBy("session").agg(
@@ -159,9 +159,9 @@ def group_embeddings(goals: DataFrame, distance: float = GROUP_DISTANCE, limit:
     """
     pts = goals.where("emb is not null").select("session", "clip", unit(F.col("emb")).alias("u"))
     # the point id stands for its vector: equal vectors share the hash of their content
-    members = cut_lineage(pts.select("session", "clip", F.xxhash64("u").alias("h"), "u"))
+    members = hand_over(pts.select("session", "clip", F.xxhash64("u").alias("h"), "u"))
     points = members.groupBy("session", "h", "u").agg(F.min("clip").alias("cid"), F.count("*").alias("n"))
-    points = cut_lineage(points)
+    points = hand_over(points)
     owner = members.join(points.select("session", "h", "u", "cid"), ["session", "h", "u"]).select("session", "clip", "cid")
     clusters = points.select("session", "cid", "n", F.transform("u", lambda x: x * F.col("n")).alias("total"))
     merged = []
@@ -169,12 +169,12 @@ def group_embeddings(goals: DataFrame, distance: float = GROUP_DISTANCE, limit:
         big = clusters.groupBy("session").agg(F.count("*").alias("k")).where(F.col("k") > limit).select("session")
         if big.isEmpty():
             break
-        pairs = cut_lineage(_merge_round(clusters.join(big, "session", "left_semi"), distance, limit))
+        pairs = hand_over(_merge_round(clusters.join(big, "session", "left_semi"), distance, limit))
         if pairs.isEmpty():
             break
         merged.append(pairs)
         moved = clusters.join(pairs, ["session", "cid"], "left").withColumn("cid", F.coalesce("into", "cid"))
-        clusters = cut_lineage(
+        clusters = hand_over(
             moved.groupBy("session", "cid").agg(F.sum("n").alias("n"), sum_vector(F.col("total")).alias("total"))
         )
     # a session that stopped merging above the limit is finished; the rest fit in a task
@@ -186,7 +186,7 @@ def group_embeddings(goals: DataFrame, distance: float = GROUP_DISTANCE, limit:
         owner = owner.join(step, ["session", "cid"], "left").select(
             "session", "clip", F.coalesce("into", "cid").alias("cid")
         )
-    owner = cut_lineage(owner)
+    owner = hand_over(owner)
     sizes = owner.groupBy("session", "cid").agg((-F.count("*")).alias("_neg"), F.min("clip").alias("_first"))
     ids = with_rank_order(sizes, ["session"], ["_neg", "_first"], "no")
     return owner.join(ids, ["session", "cid"]).select("session", "clip", (F.col("no") - 1).alias("group_no"))

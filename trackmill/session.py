@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +39,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def hand_over(df: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back.
+
+    For loops: a checkpoint keeps the size that the plan before it was estimated at, and estimates of
+    joins multiply, so after some rounds they have millions of digits. A written table has its own size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
