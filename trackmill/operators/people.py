@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions.geometry import Box, at_hands, box_of, iou
 from trackmill.ordered import with_rank_order
+from trackmill.session import cut_lineage
 
 # Fixed values of the shooter rules.
 SAME_BOX_IOU = 0.7
@@ -72,7 +73,12 @@ def frames(dets: DataFrame) -> DataFrame:
 
 def merge_people(dets: DataFrame) -> DataFrame:
     """Merged person boxes per frame: (clip, frame_idx, t_ms, pos, cls, conf, box)."""
-    return frames(dets).select("clip", "frame_idx", "t_ms", F.posexplode("people").alias("pos", "p")).select(
+    return people_of(frames(dets))
+
+
+def people_of(seen: DataFrame) -> DataFrame:
+    """merge_people's rows from frames that are merged already."""
+    return seen.select("clip", "frame_idx", "t_ms", F.posexplode("people").alias("pos", "p")).select(
         "clip", "frame_idx", "t_ms", "pos", "p.*"
     )
 
@@ -83,13 +89,18 @@ def in_window(dets: DataFrame, makes: DataFrame) -> DataFrame:
     return dets.join(makes, "clip").where((t >= m - WINDOW_BEFORE_MS) & (t < m + WINDOW_AFTER_MS))
 
 
-def pick_shooter(dets: DataFrame, makes: DataFrame) -> DataFrame:
-    """Per clip the shooter's anchor: (clip, frame_idx, t_ms, box, method); makes(clip, make_ms).
+def window_frames(dets: DataFrame, makes: DataFrame) -> DataFrame:
+    """frames() of the scanned windows, kept: what picking, following and cleaning all read."""
+    return cut_lineage(frames(in_window(dets, makes).drop("make_ms")))
+
+
+def pick_shooter(seen: DataFrame, makes: DataFrame) -> DataFrame:
+    """Per clip the shooter's anchor: (clip, frame_idx, t_ms, box, method); seen: window_frames, makes(clip, make_ms).
 
     The best scorer box before the make wins, with a bonus for the ball at hands;
     without one, the last ball holder. Each clip is one aggregate over boxes.
     """
-    f = frames(in_window(dets, makes).drop("make_ms")).join(makes, "clip")
+    f = seen.join(makes, "clip")
     p = f.select("clip", "frame_idx", "t_ms", "make_ms", "balls", F.posexplode("people").alias("pos", "p"))
     hands = F.exists("balls", lambda b: at_hands(box_of("p.box"), box_of(b)))
     p = p.withColumn("hands", hands).withColumn(
@@ -131,9 +142,9 @@ def _walk(seq: Column, anchor: Column, start: Column) -> Column:
     return F.aggregate(seq, zero, step)["out"]
 
 
-def follow(dets: DataFrame, anchors: DataFrame, makes: DataFrame) -> DataFrame:
-    """The shooter's box per frame, linked by overlap both ways from the anchor: (clip, frame_idx, box)."""
-    f = frames(in_window(dets, makes).drop("make_ms")).groupBy("clip").agg(
+def follow(seen: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The shooter's box per frame of window_frames, linked by overlap both ways from the anchor: (clip, frame_idx, box)."""
+    f = seen.groupBy("clip").agg(
         F.sort_array(F.collect_list(F.struct(F.col("frame_idx").cast("bigint").alias("frame_idx"), "people"))).alias("fs")
     )
     j = f.join(anchors.select("clip", F.col("frame_idx").cast("bigint").alias("a"), "box"), "clip")
@@ -146,7 +157,7 @@ def follow(dets: DataFrame, anchors: DataFrame, makes: DataFrame) -> DataFrame:
 
 
 def clean_frames(track: DataFrame, people: DataFrame) -> DataFrame:
-    """Adds `clean`: no other person overlaps the tracked one; people is merge_people's output."""
+    """Adds `clean`: no other person overlaps the tracked one; people is people_of's output for the same frames."""
     p = people.select("clip", "frame_idx", F.col("box").alias("other"))
     v = iou(box_of("box"), box_of("other"))
     j = track.join(p, ["clip", "frame_idx"], "left").groupBy("clip", "frame_idx", "box").agg(

@@ -101,21 +101,25 @@ def merge_people(spark, d):
 
 @query("pick_shooter", f"WITH RECURSIVE {PICK} SELECT clip, frame_idx, t_ms, method, {PARTS} FROM picked")
 def pick_shooter(spark, d):
-    return as_parts(people.pick_shooter(detections(spark, d), makes(spark, d)))
+    m = makes(spark, d)
+    return as_parts(people.pick_shooter(people.window_frames(detections(spark, d), m), m))
 
 
 def followed(spark, d):
-    det, m = detections(spark, d), makes(spark, d)
-    return people.follow(det, people.pick_shooter(det, m), m)
+    """The frames of all windows, and the shooter's track through them."""
+    m = makes(spark, d)
+    seen = people.window_frames(detections(spark, d), m)
+    return seen, people.follow(seen, people.pick_shooter(seen, m))
 
 
 @query("follow", f"WITH RECURSIVE {WALK} SELECT clip, frame_idx, {PARTS} FROM track")
 def follow(spark, d):
-    return as_parts(followed(spark, d))
+    return as_parts(followed(spark, d)[1])
 
 
 def cleaned(spark, d):
-    return people.clean_frames(followed(spark, d), people.merge_people(detections(spark, d)))
+    seen, track = followed(spark, d)
+    return people.clean_frames(track, people.people_of(seen))
 
 
 @query("clean_frames", f"WITH RECURSIVE {CLEAN} SELECT clip, frame_idx, clean, {PARTS} FROM clean")
