@@ -199,19 +199,23 @@ def centroids(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("session", "group_no").agg(unit(mean_vector(unit(F.col("emb")))).alias("emb"))
 
 
-def name_similarity(groups: DataFrame, protos: DataFrame, block: int = MAX_IN_TASK) -> DataFrame:
-    """Per group its two most similar names: (session, group_no, rank, name, sim).
+def name_similarity(groups: DataFrame, protos: DataFrame, block: int = MAX_IN_TASK, scope: str | None = None) -> DataFrame:
+    """Per group its two most similar names: (scope, session, group_no, rank, name, sim).
 
-    Groups and prototypes meet block by block as matrix products. A name stays in
-    one prototype block, so two names per block are enough and pairs never leave
-    the task.
+    With `scope`, a column of both (an account, say), groups only meet prototypes of their own scope.
+    Groups and prototypes of a scope meet block by block as matrix products, and a block brings back a
+    group's two best names: a name among a group's best two is among the best two of the block that
+    holds its most similar prototype. So a name may have any number of prototypes in any blocks.
     """
-    parts_g = max(1, -(-groups.count() // block))
-    parts_p = max(1, -(-protos.count() // block))
-    part = lambda c, n: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    g = groups.withColumn("gb", part(["session", "group_no"], parts_g)).withColumn("pb", every(parts_p))
-    p = protos.select("name", "emb").withColumn("pb", part(["name"], parts_p)).withColumn("gb", every(parts_g))
+    keys = [*([scope] if scope else []), "session", "group_no"]
+    own = F.col(scope) if scope else F.lit(0)
+    g0, p0 = groups.select(own.alias("_scope"), *keys, "emb"), protos.select(own.alias("_scope"), "name", "emb")
+    parts = lambda d, name: d.groupBy("_scope").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = cut_lineage(parts(g0, "_gn").join(parts(p0, "_pn"), "_scope"))
+    part = lambda c, n: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    g = g0.join(sizes, "_scope").withColumn("gb", part(["session", "group_no"], "_gn")).withColumn("pb", every("_pn"))
+    p = p0.join(sizes, "_scope").withColumn("pb", part(["name", "emb"], "_pn")).withColumn("gb", every("_gn"))
 
     def two_best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -221,16 +225,16 @@ def name_similarity(groups: DataFrame, protos: DataFrame, block: int = MAX_IN_TA
         per_name = np.full((len(a), len(names)), -np.inf)
         for j in range(sims.shape[1]):
             np.maximum(per_name[:, inv[j]], sims[:, j], out=per_name[:, inv[j]])
-        top = np.argsort(-per_name, axis=1, kind="stable")[:, :2]
+        top = np.argsort(-np.round(per_name, PLACES), axis=1, kind="stable")[:, :2]
         rows = np.repeat(np.arange(len(a)), top.shape[1])
-        return pd.DataFrame({
-            "session": a["session"].to_numpy()[rows], "group_no": a["group_no"].to_numpy()[rows],
-            "name": names[top.ravel()], "sim": per_name[rows, top.ravel()],
-        })
-
-    schema = f"session {dict(groups.dtypes)['session']}, group_no bigint, name string, sim double"
-    best = g.groupBy("gb", "pb").cogroup(p.groupBy("gb", "pb")).applyInPandas(two_best, schema)
-    w = Window.partitionBy("session", "group_no").orderBy(F.desc(F.round("sim", 12)), "name")
+        return pd.DataFrame({**{k: a[k].to_numpy()[rows] for k in keys}, "name": names[top.ravel()], "sim": per_name[rows, top.ravel()]})
+
+    kinds = dict(groups.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys[:-1]), "group_no bigint, name string, sim double"])
+    on = ["_scope", "gb", "pb"]
+    found = g.select(*on, *keys, "emb").groupBy(*on).cogroup(p.select(*on, "name", "emb").groupBy(*on)).applyInPandas(two_best, schema)
+    best = found.groupBy(*keys, "name").agg(F.max("sim").alias("sim"))
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.round("sim", PLACES)), "name")
     return best.withColumn("rank", F.row_number().over(w)).where("rank <= 2")
 
 
