@@ -98,6 +98,17 @@ class Encoder:
         return b"".join([known[u] if u in known else self._known(u) for u in units])
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(tokenizer_file: str, width: int) -> Encoder:
+    """One encoder per worker process, so tasks find the units of the tasks before them."""
+    key = (tokenizer_file, width)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(tokenizer_file, width)
+    return _ENCODERS[key]
+
+
 class EliasFano:
     """A non-decreasing sequence of non-negative integers in near-minimal space."""
 
@@ -223,7 +234,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = END_I
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer_file, width)
+        encoder = _encoder(tokenizer_file, width)
         tail = np.array([end_id], dtype=encoder.kind).tobytes()
 
         def rows():
