@@ -39,8 +39,8 @@ def test_last_seen_and_lag(rows):
     same(got.select("k", "t", "x"), rows.select("k", "t", F.lag("v").over(W()).alias("x")))
 
 
-def test_split_block_follows_order(rows):
-    d = rows.withColumn("b", o.split_block(rows, ["k", "t"], 16))
+def test_ranges_follow_the_order(rows):
+    d = o.in_ranges(rows, ["k", "t"], 16).withColumnRenamed(o.BLK, "b")
     per = d.groupBy("k", "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n")).collect()
     assert max(r.n for r in per) < 300  # the hot key is split
     for a in per:

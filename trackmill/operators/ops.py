@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions.strings import account_slug, format_bytes, format_duration
 from trackmill.operators.matching import compose
-from trackmill.ordered import split_block, with_prefix_sum, with_rank_order
+from trackmill.ordered import BLK, in_ranges, with_prefix_sum, with_rank_order
 from trackmill.session import cut_lineage
 
 # Fixed values of the job rules, in seconds.
@@ -76,8 +76,8 @@ def retention_victims(files: DataFrame, cap: int, keys: Sequence[str] = ()) -> D
     """Oldest files to delete until the total is at most cap: (mtime, path order)."""
     keys = list(keys)
     order = ["mtime", "path"]
-    d = cut_lineage(files.select(*keys, "mtime", "path", "size"))
-    run = with_prefix_sum(d, keys, split_block(d, [*keys, *order]), order, "size", "_upto")
+    d = in_ranges(files.select(*keys, "mtime", "path", "size"), [*keys, *order])
+    run = with_prefix_sum(d, keys, F.col(BLK), order, "size", "_upto")
     total = d.groupBy(*keys).agg(F.sum("size").alias("_total"))
     run = run.join(total, keys) if keys else run.crossJoin(F.broadcast(total))  # one row without keys
     return run.where(F.col("_total") - (F.col("_upto") - F.col("size")) > cap).select(*keys, "path", "mtime", "size")

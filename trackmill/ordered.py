@@ -4,8 +4,8 @@ A plain window partitioned by recording runs one task per recording, so one
 recording with a third of all rows decides the run time. Everything here splits
 each key into *blocks* that follow the order, works inside (key, block), and
 carries a one-row summary per block across. Blocks come either from a fixed
-width of the time axis (`time_block`) or from sampled split points
-(`split_block`, the range partitioner's method), for orders that are not time.
+width of the time axis (`time_block`) or, for orders that are not time, from
+Spark's range partitioning (`in_ranges`), as many as there are shuffle partitions.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from trackmill.session import cut_lineage
 
 BLK = "_blk"
-SAMPLE_ROWS = 4096
+LEAST_RANGES = 16
 
 
 def col(c: str | Column) -> Column:
@@ -42,33 +42,15 @@ def with_time_halo(df: DataFrame, t: str, width: int, lookback: int = 0, lookahe
     )
 
 
-def split_block(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -> Column:
-    """Ordinal of the value range a row falls in, as a plain expression.
+def in_ranges(df: DataFrame, order: Sequence[Column | str], n: int | None = None) -> DataFrame:
+    """df, materialised, with BLK: the ordinal of the value range a row falls in.
 
-    Split points are literals drawn from a bounded sample (at most SAMPLE_ROWS
-    rows reach the driver), so every evaluation puts a row in the same range.
-    Rows equal in `order` always share a range.
+    Spark picks the ranges for about equal row counts. Rows equal in `order` share a range, and a
+    row's range is stored with it, so every later use agrees.
     """
-    spark = df.sparkSession
-    n = n or max(16, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    key = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    picked = df.select(key.alias("k")).orderBy(F.rand(17)).limit(SAMPLE_ROWS)
-    ktype = picked.schema["k"].dataType
-    sample = {tuple(r.k) for r in picked.collect()}
-    rows = sorted((t for t in sample if all(v == v for v in t)), key=lambda t: [(v is not None, v) for v in t])
-    step = max(1, -(-len(rows) // n))
-    cuts = rows[step::step]
-    if not cuts:
-        return F.lit(0)
-    splits = F.array(
-        *[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, ktype.fields)]) for c in cuts]
-    )
-    jumps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(j) for j in jumps]),
-        F.lit(0),
-        lambda p, j: F.when(F.get(splits, p + j - 1) <= key, p + j).otherwise(p),
-    )
+    n = n or max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(n, *[col(c) for c in order])
+    return cut_lineage(ranged.withColumn(BLK, F.spark_partition_id().cast("bigint")))
 
 
 def _before(keys: Sequence[str]):
@@ -93,11 +75,10 @@ def with_ordinal(df, keys, block, order, name) -> DataFrame:
 def with_rank_order(df, keys, order, name) -> DataFrame:
     """row_number() per key for an order that is not time.
 
-    The rows are materialised once, then sampled for split points, counted per
-    range and numbered, so nothing upstream runs again.
+    The rows are materialised once, in ranges, then counted per range and
+    numbered, so nothing upstream runs again.
     """
-    d = cut_lineage(df)
-    return with_ordinal(d, keys, split_block(d, [*keys, *order]), order, name)
+    return with_ordinal(in_ranges(df, [*keys, *order]), keys, F.col(BLK), order, name)
 
 
 def with_last_seen(df, keys, block, order, value, name) -> DataFrame:
@@ -132,12 +113,11 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, extra: dict[str,
     key's size; `extra` adds summed columns (name -> per-row number) with the
     same `<name>`, `<name>_below`, `<name>_total`. Counting collapses ties before
     any ordering, so a value shared by many rows costs one row. The counts are
-    materialised once; sampling and both passes over blocks read those.
+    materialised once, in ranges; both passes over blocks read those.
     """
     extra = extra or {}
     sums = {"n": F.lit(1), **extra}
-    counts = cut_lineage(df.groupBy(*keys, value).agg(*[F.sum(e).alias(k) for k, e in sums.items()]))
-    d = counts.withColumn(BLK, split_block(counts, [*keys, value]))
+    d = in_ranges(df.groupBy(*keys, value).agg(*[F.sum(e).alias(k) for k, e in sums.items()]), [*keys, value])
     blocks = d.groupBy(*keys, BLK).agg(*[F.sum(k).alias(f"_s_{k}") for k in sums])
     whole = Window.partitionBy(*keys)
     carry = blocks.select(
