@@ -198,16 +198,14 @@ def fit(rows: DataFrame, features: Sequence[str], s: Settings, fold: Column | No
 
 def predict(model: Model, rows: DataFrame, name: str = "raw", fold: Column | None = None) -> DataFrame:
     """Adds the probability of the label under the model without the row's fold (without fold: the one on all rows)."""
-    x = F.array(*[_number(f) for f in model.features])
+    levels = F.array(*[F.lit(i) for i in range(model.depth)])
 
     def value(t):
-        place = F.lit(0)
-        for _ in range(model.depth):
-            place = 2 * place + 1 + (F.get(x, F.get(t["f"], place)) > F.get(t["c"], place)).cast("int")
-        return F.get(t["v"], place - (2**model.depth - 1))
+        leaf = F.aggregate(levels, F.lit(0), lambda at, _: 2 * at + 1 + (F.get("_x", F.get(t["f"], at)) > F.get(t["c"], at)).cast("int"))
+        return F.get(t["v"], leaf - (2**model.depth - 1))
 
     every = F.broadcast(model.rows.where("fold IS NULL").select(F.struct("base", "trees").alias("_all")))  # one row
-    d = rows.crossJoin(every)
+    d = rows.withColumn("_x", F.array(*[_number(f) for f in model.features])).crossJoin(every)
     if fold is None:
         d = d.withColumn("_m", F.col("_all"))
     else:
